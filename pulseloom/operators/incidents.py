@@ -178,15 +178,15 @@ def claim_incidents(
         claims = again
 
 
-def session_incident_id() -> Column:
-    """Id of the incident a session creates: the same on every run."""
-    return incident_id(F.col("source"), F.col("env"), F.col("session_start"))
+def session_incident_id(as_of: Column) -> Column:
+    """Id of the incident a session creates: the same whenever a job runs again."""
+    return incident_id(F.col("source"), F.col("env"), F.col("session_start"), F.unix_micros(as_of))
 
 
 def create_incidents(analyzed: DataFrame, as_of: Column) -> DataFrame:
     """New incidents from analysed high-severity sessions."""
     return analyzed.filter(is_high(F.col("max_severity"))).select(
-        session_incident_id().alias("id"),
+        session_incident_id(as_of).alias("id"),
         F.lit(TITLE).alias("title"),
         F.lit(RESOLVED).alias("status"),
         F.col("max_severity").alias("severity"),

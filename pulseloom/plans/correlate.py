@@ -48,7 +48,7 @@ def correlate(
     claims = claim_incidents(analyzed.select(*session, "session_end"), incidents, window_us)
     fresh = analyzed.join(claims, session, "left_anti")
     owners = claims.unionByName(
-        fresh.filter(is_high(F.col("max_severity"))).select(*session, session_incident_id().alias("incident_id"))
+        fresh.filter(is_high(F.col("max_severity"))).select(*session, session_incident_id(as_of).alias("incident_id"))
     )
     links = (
         session_members(signals, window_us)
