@@ -180,8 +180,8 @@ analyzed as (
   from sessions s left join folded f using (source, env, session_start)
     left join advice_text a using (source, env, session_start))"""
 
-SCORES = """array_to_string(list_transform(range(n), lambda i: round(greatest(0.4,
-  case analysis_source when 'rule-based' then 0.83 else 0.62 end - 0.07 * i), 2)), ',')"""
+SCORES = """array_to_string(list_transform(range(n), lambda i: cast(round(greatest(0.4,
+  case analysis_source when 'rule-based' then 0.83 else 0.62 end - 0.07 * i), 2) as double)), ',')"""
 
 
 def scores(column: str) -> Column:

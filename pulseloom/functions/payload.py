@@ -54,6 +54,14 @@ def typed_conditions(conditions: str) -> Column:
     return F.expr(f"transform({conditions}, c -> named_struct('field', c.field, 'operator', c.operator, 'want', {wanted}))")
 
 
+def comparable_conditions(conditions: str) -> Column:
+    """Conditions in a form that is equal when the stored JSON is: 2 is 2.0, key order is free."""
+    value = "try_parse_json(coalesce(c.value, 'null'))"
+    return F.expr(f"""transform({conditions}, c -> element_at(transform(array({_typed(value)}), t -> named_struct(
+        'f', c.field, 'o', c.operator, 'k', t.kind, 'n', case when t.kind = 'number' then t.num end,
+        'j', case when t.kind <> 'number' then to_json({value}) end)), 1))""")
+
+
 # Truth of one condition, given p.have and p.want of the same kind or not.
 _HOLDS = """coalesce(case p.operator
     when 'equals' then p.have.kind = p.want.kind and case p.have.kind

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulseloom.functions.payload import condition_error, normalize_keys
+from pulseloom.functions.payload import comparable_conditions, condition_error, normalize_keys
 from pulseloom.functions.regex import jvm_regex
 from pulseloom.functions.text import empty_to_null, environment_error, normalize_environment, strip
 from pulseloom.session import checkpointed
@@ -150,15 +150,7 @@ def _comparable(column: str) -> Column:
     if column == "variable_mappings":
         return F.array_sort(F.map_entries(column))
     if column == "payload_conditions":
-        return F.transform(
-            column,
-            lambda c: F.struct(
-                c["field"].alias("f"),
-                c["operator"].alias("o"),
-                F.coalesce(F.to_json(F.try_parse_json(c["value"])), F.lit("null")).alias("v"),
-                F.try_variant_get(F.try_parse_json(c["value"]), "$", "double").isNull().alias("t"),
-            ),
-        )
+        return comparable_conditions(column)
     return F.col(column)
 
 
