@@ -6,7 +6,7 @@ from importlib import import_module
 
 from pulseloom.catalog.base import ORACLE, QUERIES, Query
 
-_MODULES = ("signals", "analysis", "incidents")
+_MODULES = ("signals", "analysis", "incidents", "maintenance", "streams")
 
 
 def _load() -> None:

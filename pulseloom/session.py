@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,13 +46,12 @@ def local_session(app: str = "pulseloom", cores: str = "*", partitions: int = 8,
     return spark
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage through the reliable checkpoint folder of the cluster.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the cluster, from ``spark.checkpoint.dir``.
 
-    The folder comes from ``spark.checkpoint.dir``. Only a local master, where
-    every task shares the machine, may fall back to a temporary folder.
+    Only a local master, where every task shares the machine, may fall back to
+    a temporary folder.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir", None)
@@ -60,4 +60,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="pulseloom-ckpt-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut lineage through the shared checkpoint folder: survives lost executors."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder next to the checkpoints, for tables a job needs only while it runs."""
+    return f"{shared_folder(spark).rstrip('/')}/scratch-{uuid.uuid4()}"

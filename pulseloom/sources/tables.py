@@ -93,9 +93,23 @@ MESSAGE = """case event_id % 7 when 0 then 'timeout after 120ms' when 1 then 'lo
 SEVERITY = "cast(cast(floor(value) as bigint) % 6 as int)"
 
 
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as a file stream."""
+    schema = table(spark, sf_dir, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+
+
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signals_of(table(spark, sf_dir, "events"))
+
+
+def raw_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raw_signals_of(table(spark, sf_dir, "events"))
+
+
+def signals_of(events: DataFrame) -> DataFrame:
     """Valid signals, one per event."""
-    return table(spark, sf_dir, "events").selectExpr(
+    return events.selectExpr(
         "concat('evt-', event_id) as id",
         f"{EVENT_TYPE} as event_type",
         "concat('svc-', user_id % 5) as source",
@@ -108,9 +122,9 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def raw_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_signals_of(events: DataFrame) -> DataFrame:
     """Signals as clients send them: bad values, missing ones and repeated ids."""
-    return table(spark, sf_dir, "events").selectExpr(
+    return events.selectExpr(
         "cast(floor(event_id / 100) as bigint) as batch_id",
         "cast(event_id % 100 as int) as pos",
         "concat('evt-', case when event_id % 29 = 0 and event_id > 0 then event_id - 1 else event_id end) as id",
