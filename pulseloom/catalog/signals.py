@@ -278,8 +278,9 @@ checked as (
     f"with {_STORED_SQL} select batch_id, pos, id from checked where dup",
 )
 def duplicate_signals(spark, sf_dir):
-    valid = ing.valid_signals(validated(spark, sf_dir))
-    return ing.duplicate_signals(valid, stored_signals(spark, sf_dir)).select("batch_id", "pos", "id")
+    rows = validated(spark, sf_dir)
+    repeated = ing.duplicate_signals(ing.valid_signals(rows), stored_signals(spark, sf_dir), rows)
+    return repeated.select("batch_id", "pos", "id")
 
 
 @query(
@@ -299,8 +300,8 @@ def first_write_wins(spark, sf_dir):
       cast(json(payload) as varchar) as payload from checked where not dup""",
 )
 def insert_signals(spark, sf_dir):
-    valid = ing.valid_signals(validated(spark, sf_dir))
-    fresh = ing.accepted_signals(valid, stored_signals(spark, sf_dir))
+    rows = validated(spark, sf_dir)
+    fresh = ing.accepted_signals(ing.valid_signals(rows), stored_signals(spark, sf_dir), rows)
     return ing.stored_form(fresh, F.array(F.lit("k"))).select(
         "id", "event_type", "source", "env", micros().alias("ts_us"), "severity", "message", "payload"
     )

@@ -91,49 +91,62 @@ def default_timestamp(ts: Column, as_of: Column) -> Column:
 
 # The three masking patterns, with ASCII word boundaries and
 # white space written out because the JVM classes are wider. Case folding
-# includes the two non-ASCII letters that fold onto "s" and "k".
+# includes the two non-ASCII letters that fold onto "s" and "k". A cheap test
+# comes before each pattern, and each starts with the set of its first letters.
 _WORD = "0-9A-Za-z_"
-_EDGE = f"(?:(?<![{_WORD}])(?=[{_WORD}])|(?<=[{_WORD}])(?![{_WORD}]))"
 _SPACE = r"\t\n\f\r "
+_LONG_S, _KELVIN = "\u017f", "\u212a"
 
 
 def _fold(words: str) -> str:
-    return words.replace("s", "[s\u017f]").replace("k", "[k\u212a]")
+    return words.replace("s", f"[s{_LONG_S}]").replace("k", f"[k{_KELVIN}]")
 
 
 _SECRET_NAMES = "|".join(
     [
-        _fold("api") + "[_-]?" + _fold("key"),
-        _fold("access") + "[_-]?" + _fold("token"),
-        _fold("refresh") + "[_-]?" + _fold("token"),
-        _fold("token"),
-        _fold("password"),
-        _fold("passwd"),
-        _fold("secret"),
+        f"(?<![{_WORD}])(?:"
+        + "|".join(
+            [
+                "api[_-]?" + _fold("key"),
+                _fold("access[_-]?token"),
+                "refre" + _fold("s") + "h[_-]?" + _fold("token"),
+                _fold("token"),
+                _fold("password"),
+                _fold("passwd"),
+                "secret",
+            ]
+        )
+        + ")",
+        f"(?<=[{_WORD}]){_LONG_S}ecret",
     ]
 )
 CREDENTIAL_RE = (
-    f"(?i){_EDGE}({_SECRET_NAMES}){_EDGE}"
-    f"([{_SPACE}]*[:=][{_SPACE}]*)"
+    f"(?i)(?=[aprst{_LONG_S}])({_SECRET_NAMES})(?![{_WORD}])"
+    f"([{_SPACE}]*+[:=][{_SPACE}]*)"
     f"(\"[^\"]*\"|'[^']*'|[^{_SPACE},;]+)"
 )
-BEARER_RE = f"(?i){_EDGE}Bearer[{_SPACE}]+[A-Za-z0-9\\-._~+/\u017f\u212a]+=*"
+BEARER_RE = f"(?i)(?=b)(?<![{_WORD}])Bearer[{_SPACE}]++[A-Za-z0-9\\-._~+/{_LONG_S}{_KELVIN}]++=*+"
 EMAIL_RE = (
-    f"(?i){_EDGE}[a-z0-9._%+\\-\u017f\u212a]+@[a-z0-9.\\-\u017f\u212a]+"
-    f"\\.[a-z\u017f\u212a]{{2,}}{_EDGE}"
+    f"(?i)(?=[a-z0-9._%+\\-{_LONG_S}{_KELVIN}])"
+    f"(?:(?<![{_WORD}])(?=[{_WORD}])|(?<=[{_WORD}])(?![{_WORD}]))"
+    f"[a-z0-9._%+\\-{_LONG_S}{_KELVIN}]++@[a-z0-9.\\-{_LONG_S}{_KELVIN}]+"
+    f"\\.[a-z{_LONG_S}{_KELVIN}]{{2,}}(?:(?<![{_WORD}])(?=[{_WORD}])|(?<=[{_WORD}])(?![{_WORD}]))"
 )
 
 
 def mask_credentials(message: Column) -> Column:
-    return F.regexp_replace(message, CREDENTIAL_RE, "$1$2[REDACTED]")
+    assigns = F.contains(message, F.lit("=")) | F.contains(message, F.lit(":"))
+    return F.when(assigns, F.regexp_replace(message, CREDENTIAL_RE, "$1$2[REDACTED]")).otherwise(message)
 
 
 def mask_bearer(message: Column) -> Column:
-    return F.regexp_replace(message, BEARER_RE, "Bearer [REDACTED_TOKEN]")
+    named = F.contains(F.lower(message), F.lit("bearer"))
+    return F.when(named, F.regexp_replace(message, BEARER_RE, "Bearer [REDACTED_TOKEN]")).otherwise(message)
 
 
 def mask_emails(message: Column) -> Column:
-    return F.regexp_replace(message, EMAIL_RE, "[REDACTED_EMAIL]")
+    has_at = F.contains(message, F.lit("@"))
+    return F.when(has_at, F.regexp_replace(message, EMAIL_RE, "[REDACTED_EMAIL]")).otherwise(message)
 
 
 def sanitize_message(message: Column) -> Column:

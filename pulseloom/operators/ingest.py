@@ -7,6 +7,8 @@ message, payload (JSON text), metadata.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,6 +54,18 @@ def signal_errors(event_type: Column, source: Column, severity: Column, environm
     return F.array_compact(checks)
 
 
+def signal_is_valid(event_type: Column, source: Column, severity: Column, environment: Column, timestamp: Column) -> Column:
+    """Whether ``signal_errors`` is empty, as one generated expression without lists."""
+    checks = (
+        F.coalesce(is_event_type(event_type), F.lit(False)),
+        ~_blank(source),
+        is_severity(severity),
+        environment_error(environment).isNull(),
+        _blank(timestamp) | parse_rfc3339(timestamp).isNotNull(),
+    )
+    return reduce(Column.__and__, checks)
+
+
 def default_id(given: Column, batch_id: Column, pos: Column) -> Column:
     """The given id, else one derived from the position, so replays agree."""
     derived = F.sha2(F.concat_ws(":", batch_id.cast("string"), pos.cast("string")), 256)
@@ -59,8 +73,12 @@ def default_id(given: Column, batch_id: Column, pos: Column) -> Column:
 
 
 def validate_signals(raw: DataFrame, as_of: Column) -> DataFrame:
-    """Typed signals with their ``errors``; an empty array means valid."""
+    """Typed signals with ``is_valid`` and the list of their ``errors``.
+
+    Errors are only computed where they are read; the valid branch prunes them.
+    """
     c = F.col
+    checked = (c("event_type"), c("source"), c("severity"), c("environment"), c("timestamp"))
     return raw.select(
         "batch_id",
         "pos",
@@ -73,17 +91,18 @@ def validate_signals(raw: DataFrame, as_of: Column) -> DataFrame:
         F.coalesce(c("message"), F.lit("")).alias("message"),
         "payload",
         "metadata",
-        signal_errors(c("event_type"), c("source"), c("severity"), c("environment"), c("timestamp")).alias("errors"),
+        signal_is_valid(*checked).alias("is_valid"),
+        signal_errors(*checked).alias("errors"),
     )
 
 
 def valid_signals(validated: DataFrame) -> DataFrame:
-    return validated.filter(F.size("errors") == 0).drop("errors")
+    return validated.filter("is_valid").drop("is_valid", "errors")
 
 
 def rejected_errors(validated: DataFrame) -> DataFrame:
     """One row per error: batch, position, order within the signal, client text."""
-    return validated.filter(F.size("errors") > 0).select(
+    return validated.filter(~F.col("is_valid")).select(
         "batch_id",
         "pos",
         F.posexplode("errors").alias("error_pos", "_error"),
@@ -96,45 +115,50 @@ def error_pages(validated: DataFrame, page_rows: int = PAGE_ROWS) -> DataFrame:
     return paged_lists(errors, ["batch_id"], "error", page_rows)
 
 
-def repeated_ids(valid: DataFrame) -> DataFrame:
-    """Ids that occur more than once, with the place of the first occurrence.
+def known_ids(valid: DataFrame, stored_ids: DataFrame | None = None, incoming_ids: DataFrame | None = None) -> DataFrame:
+    """Ids that make duplicates: (id, first place, stored already or not).
 
-    Only (id, batch_id, pos) is shuffled, reduced before the shuffle.
+    Only (id, batch_id, pos) is shuffled, reduced before the shuffle. Stored ids
+    are met by a semi join against ``incoming_ids``, which may hold invalid rows
+    too (default: the valid ones): while those are few they are broadcast, and
+    the store is read without a shuffle.
     """
-    return (
-        valid.groupBy("id")
-        .agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("batch_id", "pos")).alias("_first"))
-        .filter("_n > 1")
-        .select("id", "_first")
-    )
-
-
-def flag_duplicates(valid: DataFrame, stored_ids: DataFrame | None = None) -> DataFrame:
+    ids = valid.groupBy("id").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("batch_id", "pos")).alias("_first"))
+    if stored_ids is None:
+        return ids.filter("_n > 1").select("id", "_first", F.lit(False).alias("_stored"))
+    incoming = valid if incoming_ids is None else incoming_ids
+    stored = stored_ids.select("id").join(incoming.select("id"), "id", "left_semi").distinct()
+    both = ids.join(stored.withColumn("_stored", F.lit(True)), "id", "left")
+    return both.filter("_n > 1 or _stored").select("id", "_first", F.coalesce("_stored", F.lit(False)).alias("_stored"))
+
+
+def flag_duplicates(
+    valid: DataFrame, stored_ids: DataFrame | None = None, incoming_ids: DataFrame | None = None
+) -> DataFrame:
     """Add ``is_duplicate``: the id is stored already, or an earlier row has it.
 
-    The joins meet only the repeated or stored ids, normally few, so AQE turns
-    them into broadcasts; a hot id on the left is split by the skew join.
+    The join meets only repeated and stored ids, normally few, so AQE turns it
+    into a broadcast; a hot id on the left is split by the skew join.
     """
-    place = F.struct("batch_id", "pos")
-    flagged = valid.join(repeated_ids(valid), "id", "left").withColumn(
-        "is_duplicate", F.coalesce(F.col("_first") != place, F.lit(False))
+    late = F.col("_stored") | (F.col("_first") != F.struct("batch_id", "pos"))
+    return (
+        valid.join(known_ids(valid, stored_ids, incoming_ids), "id", "left")
+        .withColumn("is_duplicate", F.coalesce(late, F.lit(False)))
+        .select(*valid.columns, "is_duplicate")
     )
-    if stored_ids is not None:
-        incoming = valid.select("id").distinct()
-        known = stored_ids.select("id").join(incoming, "id", "left_semi").distinct().withColumn("_stored", F.lit(True))
-        flagged = flagged.join(known, "id", "left").withColumn(
-            "is_duplicate", F.col("is_duplicate") | F.coalesce(F.col("_stored"), F.lit(False))
-        ).drop("_stored")
-    return flagged.drop("_first").select(*valid.columns, "is_duplicate")
 
 
-def duplicate_signals(valid: DataFrame, stored_ids: DataFrame | None = None) -> DataFrame:
-    return flag_duplicates(valid, stored_ids).filter("is_duplicate").drop("is_duplicate")
+def duplicate_signals(
+    valid: DataFrame, stored_ids: DataFrame | None = None, incoming_ids: DataFrame | None = None
+) -> DataFrame:
+    return flag_duplicates(valid, stored_ids, incoming_ids).filter("is_duplicate").drop("is_duplicate")
 
 
-def accepted_signals(valid: DataFrame, stored_ids: DataFrame | None = None) -> DataFrame:
+def accepted_signals(
+    valid: DataFrame, stored_ids: DataFrame | None = None, incoming_ids: DataFrame | None = None
+) -> DataFrame:
     """First write wins on id: what goes on to storage and to correlation (raw text)."""
-    return flag_duplicates(valid, stored_ids).filter(~F.col("is_duplicate")).drop("is_duplicate")
+    return flag_duplicates(valid, stored_ids, incoming_ids).filter(~F.col("is_duplicate")).drop("is_duplicate")
 
 
 def stored_form(accepted: DataFrame, allow_list: Column | DataFrame | None = None) -> DataFrame:
@@ -158,10 +182,10 @@ def stored_form(accepted: DataFrame, allow_list: Column | DataFrame | None = Non
 
 def classified_signals(validated: DataFrame, stored_ids: DataFrame | None = None) -> DataFrame:
     """(batch_id, pos, outcome) of every signal that came in."""
-    flagged = flag_duplicates(valid_signals(validated).select("id", "batch_id", "pos"), stored_ids)
+    flagged = flag_duplicates(valid_signals(validated).select("id", "batch_id", "pos"), stored_ids, validated)
     outcome = F.when(F.col("is_duplicate"), F.lit(DUPLICATE)).otherwise(F.lit(ACCEPTED))
     good = flagged.select("batch_id", "pos", outcome.alias("outcome"))
-    bad = validated.filter(F.size("errors") > 0).select("batch_id", "pos", F.lit(REJECTED).alias("outcome"))
+    bad = validated.filter(~F.col("is_valid")).select("batch_id", "pos", F.lit(REJECTED).alias("outcome"))
     return good.unionByName(bad)
 
 

@@ -39,7 +39,7 @@ def ingest(
     what ``stored_ids`` reads.
     """
     validated = validate_signals(raw, as_of)
-    accepted = accepted_signals(valid_signals(validated), stored_ids)
+    accepted = accepted_signals(valid_signals(validated), stored_ids, validated)
     summary = ingest_summary(classified_signals(validated, stored_ids))
     if materialize:
         accepted, summary = checkpointed(accepted), checkpointed(summary)
