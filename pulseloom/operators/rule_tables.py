@@ -121,7 +121,7 @@ def parse_conditions(requests: DataFrame, column: str = "conditions_json") -> Da
     Adds ``payload_conditions`` (values stay JSON text) and ``condition_error``.
     """
     items = F.from_json(column, "array<variant>")
-    texts = F.transform(items, F.to_json)
+    texts = F.transform(items, lambda c: F.to_json(c))
     errors = F.array_compact(F.transform(texts, condition_error))
     conditions = F.transform(
         items,

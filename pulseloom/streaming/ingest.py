@@ -65,7 +65,7 @@ def correlate_epoch(
     table, changes, links = f"{base}/incidents", f"{base}/changes/epoch={epoch}", f"{base}/links"
     as_of = epoch_time(spark, f"{base}/epochs", epoch)
     if not _exists(spark, f"{changes}/_SUCCESS"):
-        result = correlate(accepted, read_table(spark, table, INCIDENTS), rules, patterns, as_of, window_us)
+        result = correlate(accepted, read_table(spark, table, INCIDENTS).select(*INCIDENTS.names), rules, patterns, as_of, window_us)
         (
             result.links.withColumn("epoch", F.lit(epoch).cast("long"))
             .write.mode("overwrite")
@@ -75,9 +75,10 @@ def correlate_epoch(
         )
         result.changes.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(changes)
     delta = spark.read.schema(INCIDENTS).parquet(changes)
-    day = F.to_date("created_at").alias("created_on")
-    stored = read_table(spark, table, INCIDENTS).withColumn("created_on", F.to_date("created_at"))
-    touched = stored.join(delta.select(day).distinct(), "created_on", "left_semi").drop("created_on")
+    # The join on the partition column prunes the partitions that are read.
+    days = delta.select(F.to_date("created_at").alias("created_on")).distinct()
+    stored = read_table(spark, table, T.StructType([*INCIDENTS.fields, T.StructField("created_on", T.DateType())]))
+    touched = stored.join(days, "created_on", "left_semi").drop("created_on")
     merged = upsert_incidents(touched, delta, as_of)
     overwrite_partitions(merged.withColumn("created_on", F.to_date("created_at")), table, "created_on")
 
