@@ -21,6 +21,7 @@ from pulseloom.functions.text import (
     sanitize_message,
 )
 from pulseloom.operators.sessions import PAGE_ROWS, add_position, paged_lists
+from pulseloom.session import broadcast_if_small
 
 # Event types and severities that are accepted.
 EVENT_TYPES = ("log", "deployment", "database", "queue", "health")
@@ -120,14 +121,14 @@ def known_ids(valid: DataFrame, stored_ids: DataFrame | None = None, incoming_id
 
     Only (id, batch_id, pos) is shuffled, reduced before the shuffle. Stored ids
     are met by a semi join against ``incoming_ids``, which may hold invalid rows
-    too (default: the valid ones): while those are few they are broadcast, and
-    the store is read without a shuffle.
+    too (default: the valid ones). Their size is measured: a small batch is
+    broadcast, and the store is read without a shuffle.
     """
     ids = valid.groupBy("id").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("batch_id", "pos")).alias("_first"))
     if stored_ids is None:
         return ids.filter("_n > 1").select("id", "_first", F.lit(False).alias("_stored"))
-    incoming = valid if incoming_ids is None else incoming_ids
-    stored = stored_ids.select("id").join(incoming.select("id"), "id", "left_semi").distinct()
+    incoming = broadcast_if_small((valid if incoming_ids is None else incoming_ids).select("id"))
+    stored = stored_ids.select("id").join(incoming, "id", "left_semi").distinct()
     both = ids.join(stored.withColumn("_stored", F.lit(True)), "id", "left")
     return both.filter("_n > 1 or _stored").select("id", "_first", F.coalesce("_stored", F.lit(False)).alias("_stored"))
 
@@ -137,12 +138,13 @@ def flag_duplicates(
 ) -> DataFrame:
     """Add ``is_duplicate``: the id is stored already, or an earlier row has it.
 
-    The join meets only repeated and stored ids, normally few, so AQE turns it
-    into a broadcast; a hot id on the left is split by the skew join.
+    The join meets only repeated and stored ids. They are computed once and
+    measured: normally few, they are broadcast and the signals are not shuffled.
+    Otherwise a hot id on the left is split by the skew join.
     """
     late = F.col("_stored") | (F.col("_first") != F.struct("batch_id", "pos"))
     return (
-        valid.join(known_ids(valid, stored_ids, incoming_ids), "id", "left")
+        valid.join(broadcast_if_small(known_ids(valid, stored_ids, incoming_ids), materialize=True), "id", "left")
         .withColumn("is_duplicate", F.coalesce(late, F.lit(False)))
         .select(*valid.columns, "is_duplicate")
     )

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulseloom.functions.analysis import HIGH_SEVERITY, max_severity
-from pulseloom.session import checkpointed
+from pulseloom.session import broadcast_if_small, checkpointed
 
 SESSION_KEYS = ("source", "env")
 DEFAULT_WINDOW_US = 60_000_000
@@ -95,10 +95,13 @@ def session_members(
 ) -> DataFrame:
     """Every signal with its session; the order in a session is (timestamp, id).
 
-    The join key holds the cell, so a long session spreads over many tasks, and
-    AQE splits what is left of a hot cell.
+    Cells are computed once and measured. Few of them are broadcast, and the
+    signals stay where they are. Otherwise both sides shuffle on (key, cell), which
+    spreads a long session over many tasks; AQE splits what is left of a hot cell.
     """
-    cells = session_cells(signals, window_us, keys).select(*keys, "cell", "session_start")
+    cells = broadcast_if_small(
+        session_cells(signals, window_us, keys).select(*keys, "cell", "session_start"), materialize=True
+    )
     return with_cell(signals, window_us).join(cells, [*keys, "cell"]).drop("cell")
 
 

@@ -6,6 +6,9 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 # Settings the operators rely on. AQE supplies the run-time size check for
 # broadcasts and the splitting of skewed join partitions; the session merge
@@ -54,7 +57,7 @@ def shared_folder(spark: SparkSession) -> str:
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
             if not context.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
@@ -69,6 +72,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES, materialize: bool = False) -> DataFrame:
+    """``df`` with a broadcast hint if its measured size is below ``max_bytes``.
+
+    Planned sizes of joins and aggregates are guesses; with a large guess Spark
+    shuffles the other side before it learns better. This measures instead (one
+    aggregate job). Above the limit ``df`` comes back without a hint and joins by
+    shuffle. ``materialize`` computes ``df`` once, for use after the measuring.
+    """
+    held = checkpointed(df) if materialize else df
+    width = F.sum(F.octet_length(F.to_json(F.struct(*held.columns))))
+    size = held.agg(F.coalesce(width, F.lit(0)).alias("size")).first()["size"]
+    return F.broadcast(held) if size <= max_bytes else held
+
+
 def scratch_folder(spark: SparkSession) -> str:
     """A new folder next to the checkpoints, for tables a job needs only while it runs."""
     return f"{shared_folder(spark).rstrip('/')}/scratch-{uuid.uuid4()}"

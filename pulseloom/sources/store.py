@@ -20,11 +20,13 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
 
 def append_signals(signals: DataFrame, path: str, epoch: int = 0) -> None:
     """Append under (date, epoch). Running an epoch again replaces what its first
-    run wrote, so a repeated micro-batch leaves one copy. The bloom filter lets
-    id lookups skip row groups."""
+    run wrote, so a repeated micro-batch leaves one copy. Rebalancing makes files
+    of even size whether a day is hot or nearly empty. The bloom filter lets id
+    lookups skip row groups."""
     (
         signals.withColumn("dt", F.to_date("timestamp"))
         .withColumn("epoch", F.lit(epoch).cast("long"))
+        .hint("rebalance", "dt")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .option("parquet.bloom.filter.enabled#id", "true")

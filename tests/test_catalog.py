@@ -57,9 +57,24 @@ def test_session_summary_prunes_columns(spark):
     assert "props" not in text and "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz,user_id:bigint,value:double>" in text
 
 
-def test_first_write_wins_reduces_before_the_shuffle(spark):
-    text = plan(catalog.queries()["first_write_wins"](spark, SF))
-    assert "partial_min(struct" in text
+def test_ids_are_reduced_before_their_shuffle(spark):
+    from pulseloom.catalog.signals import validated
+    from pulseloom.operators.ingest import known_ids, valid_signals
+
+    assert "partial_min(struct" in plan(known_ids(valid_signals(validated(spark, SF))))
+
+
+def test_signals_are_not_shuffled_for_few_duplicates_or_cells(spark):
+    for name in ("first_write_wins", "sessionize_bucketed"):
+        assert "Exchange hashpartitioning" not in plan(catalog.queries()[name](spark, SF))
+
+
+def test_a_large_side_is_not_broadcast(spark):
+    from pulseloom.session import broadcast_if_small
+
+    frame = spark.range(1_000)
+    assert "Broadcast" not in plan(spark.range(10).join(broadcast_if_small(frame, 100).hint("shuffle_hash"), "id"))
+    assert "BroadcastHashJoin" in plan(frame.join(broadcast_if_small(spark.range(10).toDF("id"), materialize=True), "id"))
 
 
 def test_top_k_is_not_a_global_sort(spark):
