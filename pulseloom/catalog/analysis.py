@@ -31,6 +31,7 @@ from pulseloom.operators import rules as ru
 from pulseloom.operators import suggest as su
 from pulseloom.operators.incidents import create_incidents, session_incident_id
 from pulseloom.operators.sessions import session_members, session_summary
+from pulseloom.session import checkpointed
 from pulseloom.sources.tables import sample_patterns, sample_rules, signals, table
 
 KEYS = ("source", "env", "session_start")
@@ -414,7 +415,7 @@ _PAGE = 3
       from pages join counts c using (id)""",
 )
 def build_prompt(spark, sf_dir):
-    rows = analyzed(spark, sf_dir, high_only=True)
+    rows = checkpointed(analyzed(spark, sf_dir, high_only=True))
     incidents = create_incidents(rows, as_of()).withColumns(
         {
             "status": F.lit("in-progress"),

@@ -12,6 +12,7 @@ from pulseloom.operators import incidents as inc
 from pulseloom.operators import retention as rt
 from pulseloom.operators.sessions import session_members, session_summary
 from pulseloom.plans.correlate import correlate
+from pulseloom.session import checkpointed
 from pulseloom.sources.tables import signals, table
 
 # One stored incident per 1 h session; two in five are open, and their last
@@ -45,7 +46,12 @@ def sessions(spark, sf_dir):
 
 
 def stored_incidents(spark, sf_dir):
-    return sessions(spark, sf_dir).selectExpr(
+    """Written once, as the stored table it stands for."""
+    return checkpointed(_incident_rows(sessions(spark, sf_dir)))
+
+
+def _incident_rows(sessions_):
+    return sessions_.selectExpr(
         "concat('inc-', source, '-', env, '-', session_start) as id",
         "'Auto-generated incident' as title",
         f"{STATUS} as status",
@@ -156,19 +162,22 @@ def create_incident(spark, sf_dir):
 
 @query("merge_high", f"with {FULL}, {CLAIMS} {_merged_sql('a.max_severity >= 4')}")
 def merge_high(spark, sf_dir):
-    rows = analyzed(spark, sf_dir)
-    return flat(inc.merge_high(rows, claims(spark, sf_dir), stored_incidents(spark, sf_dir), as_of()))
+    stored = stored_incidents(spark, sf_dir)
+    taken = inc.claim_incidents(sessions(spark, sf_dir), stored, HOUR)
+    return flat(inc.merge_high(analyzed(spark, sf_dir), taken, stored, as_of()))
 
 
 @query("merge_low", f"with {FULL}, {CLAIMS} {_merged_sql('a.max_severity < 4')}")
 def merge_low(spark, sf_dir):
-    rows = analyzed(spark, sf_dir)
-    return flat(inc.merge_low(rows, claims(spark, sf_dir), stored_incidents(spark, sf_dir), as_of()))
+    stored = stored_incidents(spark, sf_dir)
+    taken = inc.claim_incidents(sessions(spark, sf_dir), stored, HOUR)
+    return flat(inc.merge_low(analyzed(spark, sf_dir), taken, stored, as_of()))
 
 
-def _correlated(spark, sf_dir):
+def _correlated(spark, sf_dir, stored=None):
     rules, patterns = tables_of(spark)
-    return correlate(signals(spark, sf_dir), stored_incidents(spark, sf_dir), rules, patterns, as_of(), HOUR)
+    stored = stored_incidents(spark, sf_dir) if stored is None else stored
+    return correlate(signals(spark, sf_dir), stored, rules, patterns, as_of(), HOUR)
 
 
 _CHANGES = f"""changes as ({_merged_sql('true')}
@@ -210,7 +219,8 @@ def union_signal_links(spark, sf_dir):
       from stored where id not in (select id from changes)""",
 )
 def upsert_incidents(spark, sf_dir):
-    return flat(inc.upsert_incidents(stored_incidents(spark, sf_dir), _correlated(spark, sf_dir).changes, as_of()))
+    stored = stored_incidents(spark, sf_dir)
+    return flat(inc.upsert_incidents(stored, _correlated(spark, sf_dir, stored).changes, as_of()))
 
 
 # -- status -----------------------------------------------------------------

@@ -182,13 +182,17 @@ def stored_form(accepted: DataFrame, allow_list: Column | DataFrame | None = Non
     return masked.withColumn("payload", redact_payload(F.col("payload"), allow_list))
 
 
-def classified_signals(validated: DataFrame, stored_ids: DataFrame | None = None) -> DataFrame:
-    """(batch_id, pos, outcome) of every signal that came in."""
-    flagged = flag_duplicates(valid_signals(validated).select("id", "batch_id", "pos"), stored_ids, validated)
+def outcomes(flagged: DataFrame, validated: DataFrame) -> DataFrame:
+    """(batch_id, pos, outcome) from the flagged valid rows and the invalid ones."""
     outcome = F.when(F.col("is_duplicate"), F.lit(DUPLICATE)).otherwise(F.lit(ACCEPTED))
     good = flagged.select("batch_id", "pos", outcome.alias("outcome"))
-    bad = validated.filter(~F.col("is_valid")).select("batch_id", "pos", F.lit(REJECTED).alias("outcome"))
-    return good.unionByName(bad)
+    return good.unionByName(validated.filter(~F.col("is_valid")).select("batch_id", "pos", F.lit(REJECTED).alias("outcome")))
+
+
+def classified_signals(validated: DataFrame, stored_ids: DataFrame | None = None) -> DataFrame:
+    """The outcome of every signal that came in, over narrow rows only."""
+    narrow = valid_signals(validated).select("id", "batch_id", "pos")
+    return outcomes(flag_duplicates(narrow, stored_ids, validated), validated)
 
 
 def ingest_summary(classified: DataFrame) -> DataFrame:

@@ -41,11 +41,12 @@ def correlate(
     """Every session looks for an open incident first. Without one a session of
     high severity becomes an incident and any other is dropped.
 
-    The analysis is fixed once (one row per session); all branches read it.
+    The analysis and the claims are fixed once (one row per session or less);
+    all branches read them.
     """
     analyzed = checkpointed(analyzer(signals, rules, patterns, window_us))
     session = [*SESSION_KEYS, "session_start"]
-    claims = claim_incidents(analyzed.select(*session, "session_end"), incidents, window_us)
+    claims = checkpointed(claim_incidents(analyzed.select(*session, "session_end"), incidents, window_us))
     fresh = analyzed.join(claims, session, "left_anti")
     owners = claims.unionByName(
         fresh.filter(is_high(F.col("max_severity"))).select(*session, session_incident_id(as_of).alias("incident_id"))

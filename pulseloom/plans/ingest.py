@@ -5,11 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from pulseloom.operators.ingest import (
-    accepted_signals,
-    classified_signals,
+    flag_duplicates,
     ingest_summary,
+    outcomes,
     rejected_errors,
     stored_form,
     valid_signals,
@@ -33,14 +34,15 @@ def ingest(
     allow_list: Column | DataFrame | None = None,
     materialize: bool = False,
 ) -> Ingested:
-    """Both branches start from the same accepted rows.
+    """All results start from the same flagged rows.
 
     ``materialize`` fixes those rows first; needed when storing them changes
     what ``stored_ids`` reads.
     """
     validated = validate_signals(raw, as_of)
-    accepted = accepted_signals(valid_signals(validated), stored_ids, validated)
-    summary = ingest_summary(classified_signals(validated, stored_ids))
+    flagged = flag_duplicates(valid_signals(validated), stored_ids, validated)
     if materialize:
-        accepted, summary = checkpointed(accepted), checkpointed(summary)
+        flagged = checkpointed(flagged)
+    accepted = flagged.filter(~F.col("is_duplicate")).drop("is_duplicate")
+    summary = ingest_summary(outcomes(flagged, validated))
     return Ingested(accepted, stored_form(accepted, allow_list), summary, rejected_errors(validated))

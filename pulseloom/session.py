@@ -66,10 +66,22 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared checkpoint folder: survives lost executors."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder next to the checkpoints, for tables a job needs only while it runs."""
+    return f"{shared_folder(spark).rstrip('/')}/scratch-{uuid.uuid4()}"
+
+
+def checkpointed(df: DataFrame, session: SparkSession | None = None) -> DataFrame:
+    """Cut lineage: ``df`` as a table written to the shared checkpoint folder.
+
+    It survives lost executors, is read back with its real size known to the
+    planner, and later reads prune columns. The folder belongs to the cluster's
+    checkpoint clean-up. ``session`` reads it back in another session: streams
+    run their micro-batches in a copy of the session without adaptive execution.
+    """
+    folder = scratch_folder(df.sparkSession)
+    df.write.parquet(folder)
+    return (session or df.sparkSession).read.schema(df.schema).parquet(folder)
 
 
 def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES, materialize: bool = False) -> DataFrame:
@@ -84,8 +96,3 @@ def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES, material
     width = F.sum(F.octet_length(F.to_json(F.struct(*held.columns))))
     size = held.agg(F.coalesce(width, F.lit(0)).alias("size")).first()["size"]
     return F.broadcast(held) if size <= max_bytes else held
-
-
-def scratch_folder(spark: SparkSession) -> str:
-    """A new folder next to the checkpoints, for tables a job needs only while it runs."""
-    return f"{shared_folder(spark).rstrip('/')}/scratch-{uuid.uuid4()}"

@@ -15,6 +15,7 @@ from pulseloom.operators.sessions import DEFAULT_WINDOW_US
 from pulseloom.plans.correlate import correlate
 from pulseloom.plans.ingest import Ingested, ingest
 from pulseloom.schemas import INCIDENTS, SIGNALS
+from pulseloom.session import checkpointed
 from pulseloom.sources.store import append_signals, overwrite_partitions, read_table
 from pulseloom.streaming.metrics import append_summary
 
@@ -92,9 +93,11 @@ def stream_ingest(
     **trigger: object,
 ) -> StreamingQuery:
     """Start continuous ingest; ``on_accepted`` gets the raw accepted rows of each epoch."""
+    outer = raw_stream.sparkSession
 
     def run(batch: DataFrame, epoch: int) -> None:
-        result = ingest_epoch(batch, epoch, base, allow_list)
+        # Read the source once, and go on in the outer session with adaptive plans.
+        result = ingest_epoch(checkpointed(batch, outer), epoch, base, allow_list)
         if on_accepted is not None:
             on_accepted(result.accepted, epoch)
 
