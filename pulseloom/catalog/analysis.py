@@ -30,7 +30,7 @@ from pulseloom.functions.text import sanitize_message
 from pulseloom.operators import rules as ru
 from pulseloom.operators import suggest as su
 from pulseloom.operators.incidents import create_incidents, session_incident_id
-from pulseloom.operators.sessions import session_members, session_summary
+from pulseloom.operators.sessions import add_position, session_members, session_summary
 from pulseloom.session import checkpointed
 from pulseloom.sources.tables import sample_patterns, sample_rules, signals, table
 
@@ -346,18 +346,17 @@ def attach_fallback(spark, sf_dir):
 
 @query(
     "rule_order",
-    """select p_brand, string_agg(cast(p_partkey as varchar), ',' order by p_size desc, p_retailprice desc, p_partkey) as ordered
-      from part group by p_brand""",
+    """select p_partkey, p_brand, row_number() over (partition by p_brand order by p_size desc, p_retailprice desc, p_partkey) - 1
+      as position from part""",
 )
 def rule_order(spark, sf_dir):
     """Parts as rules: size is the priority, the price (in cents) the creation time."""
-    created = F.timestamp_micros((F.col("p_retailprice") * 100).cast("long"))
-    key = ru.rule_order(F.col("p_size"), created, F.timestamp_micros(F.lit(0)), F.lpad(F.col("p_partkey").cast("string"), 12, "0"),
-                        F.col("p_partkey").alias("part"))
-    ordered = F.array_sort(F.collect_list(key)).getField("part")
-    return table(spark, sf_dir, "part").groupBy("p_brand").agg(
-        F.array_join(F.transform(ordered, lambda p: p.cast("string")), ",").alias("ordered")
+    created = F.timestamp_micros(F.round(F.col("p_retailprice") * 100).cast("long"))
+    key = ru.rule_order(
+        F.col("p_size"), created, F.timestamp_micros(F.lit(0)), F.lpad(F.col("p_partkey").cast("string"), 12, "0")
     )
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_brand", key.alias("key"))
+    return add_position(rows, ["p_brand"], ["key"]).select("p_partkey", "p_brand", "position")
 
 
 @query(

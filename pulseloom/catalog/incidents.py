@@ -286,11 +286,11 @@ def append_recommendations(spark, sf_dir):
 
 @query(
     "analysis_summary",
-    "select p_brand, string_agg(p_name, '; ' order by p_partkey) as summary from part group by 1",
+    "select p_partkey, p_brand || '; ' || p_type || '; ' || p_name as summary from part",
 )
 def analysis_summary(spark, sf_dir):
-    names = F.array_sort(F.collect_list(F.struct("p_partkey", "p_name"))).getField("p_name")
-    return table(spark, sf_dir, "part").groupBy("p_brand").agg(an.analysis_summary(names).alias("summary"))
+    texts = F.array("p_brand", "p_type", "p_name")
+    return table(spark, sf_dir, "part").select("p_partkey", an.analysis_summary(texts).alias("summary"))
 
 
 @query(

@@ -430,34 +430,11 @@ def sessionize_1h(spark, sf_dir):
     return _session_rows(spark, sf_dir, HOUR)
 
 
-@query("sessionize_by_lag", f"with {SIGNALS}, {sessions_sql(10 * MINUTE)} select id, session_start from members")
-def sessionize_by_lag(spark, sf_dir):
-    return ses.sessionize_by_lag(signals(spark, sf_dir), 10 * MINUTE).select("id", "session_start")
-
-
 @query("sessionize_bucketed", f"with {SIGNALS}, {sessions_sql(10 * MINUTE)} select id, session_start from members")
 def sessionize_bucketed(spark, sf_dir):
     return ses.session_members(signals(spark, sf_dir), 10 * MINUTE).select("id", "session_start")
 
 
-@query(
-    "session_window_native",
-    f"with {SIGNALS}, {sessions_sql(HOUR)} select source, env, session_start, session_end, signal_count from sessions",
-)
-def session_window_native(spark, sf_dir):
-    """The window the streaming form uses, run as a batch."""
-    return (
-        signals(spark, sf_dir)
-        .groupBy("source", "env", F.session_window("timestamp", f"{HOUR + 1} microseconds").alias("w"))
-        .agg(
-            F.min(micros()).alias("session_start"),
-            F.max(micros()).alias("session_end"),
-            F.count(F.lit(1)).alias("signal_count"),
-        )
-        .drop("w")
-    )
-
-
 @query(
     "session_summary",
     f"""with {SIGNALS}, {sessions_sql(HOUR)},

@@ -105,20 +105,6 @@ def session_members(
     return with_cell(signals, window_us).join(cells, [*keys, "cell"]).drop("cell")
 
 
-def sessionize_by_lag(
-    signals: DataFrame, window_us: int = DEFAULT_WINDOW_US, keys: Sequence[str] = SESSION_KEYS
-) -> DataFrame:
-    """Members in one ordered window per key, for data without hot keys.
-
-    Kept as the plain statement of the rule that the cell form is tested against.
-    """
-    by_time = Window.partitionBy(*keys).orderBy("ts_us", "id")
-    timed = signals.withColumn("ts_us", F.unix_micros("timestamp"))
-    pause = F.col("ts_us") - F.lag("ts_us").over(by_time)
-    starts = F.when(pause.isNull() | (pause > F.lit(int(window_us))), F.col("ts_us"))
-    return timed.withColumn("_start", starts).withColumn("session_start", F.max("_start").over(by_time)).drop("_start")
-
-
 def add_position(rows: DataFrame, group: Sequence[str], order: Sequence[str], name: str = "position") -> DataFrame:
     """0-based rank of every row in its group without gathering the group.
 

@@ -61,7 +61,7 @@ def expire_signals(spark: SparkSession, path: str, schema: T.StructType, env: Co
     limit = signal_cutoff(env, as_of)
     stored = spark.read.schema(
         T.StructType([*schema.fields, T.StructField("dt", T.DateType()), T.StructField("epoch", T.LongType())])
-    ).parquet(path)
+    ).parquet(path).filter(F.col("dt") <= F.to_date(limit))
     old = stored.filter(signal_expired(limit))
     touched = old.select("dt", "epoch").distinct()
     kept = keep_signals(stored.join(touched, ["dt", "epoch"], "left_semi"), limit)

@@ -59,10 +59,11 @@ PATTERNS = [
     "(a", "a)", r"\Qa.b\E+", r"\x41", r"\101", r"\1", "[a-\\d]", "[z-a]", "*a", "(?i:k)s", "é+", "a&&b", "[a&&b]", "[[a]",
     "\\", "a{1001}", "^*", "$", "", "[a-]", "[-a]", r"[\-\]]", r"\Z", r"\p{Greek}", r"[\w.]+@[\w.]+", "(?i)[a-c]+x", "{",
     "a{", "}", r"[\^a]", "#x y", "(?i", "(?z)a", "(?-i)a", "(?i-)a", r"\pX", "[[:nope:]]", r"(?:a|b)*c", r"\Ba",
+    r"(?i)\bs", r"(?i)\w+", r"(?i)[k]\b", "^*a", r"\A*b", "(?i)é", r"(?i)\x6b", "(?i)1", "(?s).{3}", r"a\b*",
 ]
 TEXTS = [
     "timeout after 12ms", "ERROR\n", "abab", "a\nb", "b", "é x", "foo bar", "xfooy", "éfoo", "a.b.b", "A", "k", "K",
-    "αβ", "a]", "&", "", "a\n", "x y #x y", "me@x.y", "a{", "{", "[a", "BAX", "bax", "aac", "\r\n", "ba",
+    "αβ", "a]", "&", "", "a\n", "x y #x y", "me@x.y", "a{", "{", "[a", "BAX", "bax", "aac", "\r\n", "ba", "ſs", "É", "ſ", "1k",
 ]
 
 
@@ -94,7 +95,7 @@ def test_regex_rewriter_accepts_what_re2_accepts(pattern):
 
 def test_regex_column_form(spark):
     frame = spark.createDataFrame([("a+",), ("[",), (None,)], "p string")
-    assert [r.v for r in frame.select(jvm_regex(F.col("p")).alias("v")).collect()] == ["(?:a)+", None, None]
+    assert [r.v for r in frame.select(jvm_regex(F.col("p")).alias("v")).collect()] == ["a+", None, None]
 
 
 @pytest.mark.parametrize(

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from pulseloom.operators import sessions as ses
 from pulseloom.schemas import SIGNALS
+from tests.plain import session_windows, sessionize_by_lag
 
 T0 = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
 
@@ -55,7 +56,7 @@ def test_cells_agree_with_the_plain_window_under_skew(spark):
     rng.shuffle(rows)
     signals = make(spark, rows)
     for window in (0, 1, 1_000_000, 60_000_000, 3_600_000_000):
-        assert members(ses.session_members(signals, window)) == members(ses.sessionize_by_lag(signals, window))
+        assert members(ses.session_members(signals, window)) == members(sessionize_by_lag(signals, window))
 
 
 def test_positions_and_pages_of_a_hot_group(spark):
@@ -78,3 +79,14 @@ def test_positions_and_pages_of_a_hot_group(spark):
 def test_batches_stay_apart_when_asked(spark):
     signals = make(spark, [("a", "s", "e", 0, 1), ("b", "s", "e", 1, 1)]).withColumn("batch_id", F.col("id"))
     assert ses.session_summary(signals, keys=("batch_id", "source", "env")).count() == 2
+
+
+def test_cells_agree_with_session_windows(spark):
+    rng = random.Random(9)
+    signals = make(spark, [(f"id-{n}", f"s{n % 3}", "e", rng.uniform(0, 9_000), 1) for n in range(500)])
+    mine = session_summary_rows(ses.session_summary(signals))
+    assert mine == session_summary_rows(session_windows(signals, ses.DEFAULT_WINDOW_US))
+
+
+def session_summary_rows(frame):
+    return {tuple(r) for r in frame.select("source", "env", "session_start", "signal_count").collect()}

@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import os
 
 from pyspark.sql import functions as F
 
@@ -31,7 +32,9 @@ def envelope_stream(spark, folder):
 
 def write(folder, number, *signals):
     folder.mkdir(exist_ok=True)
-    (folder / f"{number:03d}.json").write_text(envelope(*signals) + "\n")
+    path = folder / f"{number:03d}.json"
+    path.write_text(envelope(*signals) + "\n")
+    os.utime(path, (1_000_000 + number, 1_000_000 + number))  # files are read by age
 
 
 def test_ingest_stream_stores_each_id_once_and_late_rows_too(spark, tmp_path):
@@ -107,7 +110,9 @@ def test_stream_sessions_equal_batch_sessions_and_late_ones_are_repaired(spark,
             json.dumps({"id": s[0], "event_type": s[1], "source": s[2], "env": s[3], "timestamp": s[4].isoformat(), "severity": s[5], "message": s[6]})
             for s in part
         ]
-        (feed / f"{number:03d}.json").write_text("\n".join(lines) + "\n")
+        path = feed / f"{number:03d}.json"
+        path.write_text("\n".join(lines) + "\n")
+        os.utime(path, (1_000_000 + number, 1_000_000 + number))  # files are read by age
     emitted = run_sessions(spark, feed, base)
     batch = session_summary(spark.createDataFrame(rows_of(signals), SIGNALS))
     closed_before = int((signals[-1][4] - dt.timedelta(minutes=12)).timestamp() * 1e6)
