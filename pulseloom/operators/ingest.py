@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from pulseloom.functions.payload import redact_payload
 from pulseloom.functions.text import (
+    ZERO_TIME_US,
     empty_to_null,
     environment_error,
     normalize_environment,
@@ -73,6 +74,13 @@ def default_id(given: Column, batch_id: Column, pos: Column) -> Column:
     return F.coalesce(empty_to_null(given), derived)
 
 
+def signal_time(text: Column, as_of: Column) -> Column:
+    """The instant of a time text: ``as_of`` if blank or the unset instant, null if malformed."""
+    parsed = parse_rfc3339(text)
+    unset = _blank(text) | F.coalesce(F.unix_micros(parsed) == F.lit(ZERO_TIME_US), F.lit(False))
+    return F.when(unset, as_of).otherwise(parsed)
+
+
 def validate_signals(raw: DataFrame, as_of: Column) -> DataFrame:
     """Typed signals with ``is_valid`` and the list of their ``errors``.
 
@@ -87,7 +95,7 @@ def validate_signals(raw: DataFrame, as_of: Column) -> DataFrame:
         "event_type",
         "source",
         normalize_environment(c("environment")).alias("env"),
-        F.when(_blank(c("timestamp")), as_of).otherwise(parse_rfc3339(c("timestamp"))).alias("timestamp"),
+        signal_time(c("timestamp"), as_of).alias("timestamp"),
         "severity",
         F.coalesce(c("message"), F.lit("")).alias("message"),
         "payload",

@@ -124,3 +124,10 @@ def test_upsert_signals_last_write_wins(spark):
     stored = spark.createDataFrame([("a", 1), ("b", 1)], "id string, severity int")
     incoming = spark.createDataFrame([("a", 2, 0, 0), ("a", 3, 0, 1), ("c", 4, 1, 0)], "id string, severity int, batch_id int, pos int")
     assert {tuple(r) for r in ing.upsert_signals(stored, incoming).collect()} == {("a", 3), ("b", 1), ("c", 4)}
+
+
+def test_blank_and_unset_times_become_now(spark):
+    signals = [{**GOOD, "timestamp": t} for t in ("", "0001-01-01T00:00:00Z", "2024-01-01T00:00:00Z")]
+    rows = ing.validate_signals(envelope_signals(parsed(spark, batch(*signals))), as_of()).orderBy("pos")
+    times = [r.us for r in rows.select("pos", F.unix_micros("timestamp").alias("us")).collect()]
+    assert times == [1_706_745_600_000_000, 1_706_745_600_000_000, 1_704_067_200_000_000]
