@@ -17,19 +17,23 @@ from pulseloom.sources.tables import table
 
 # Requests with blank, missing and out-of-range values. Texts repeat, so that
 # many requests share a natural key.
-_RULE_FIELDS = """case when p_partkey % 4 = 0 then '' else concat(' rule-', p_partkey, ' ') end as id,
-  case when p_partkey % 41 = 0 then '  ' else concat(' ', p_name) end as name,
-  p_type as description,
-  case when p_partkey % 43 = 0 then 1.5e0 when p_partkey % 3 = 0 then null else (p_size % 2) / 2.0e0 end as confidence,
-  case when p_size % 7 = 0 then null when p_size % 7 = 1 then 500 when p_size % 7 = 2 then -1 else p_size % 4 end as priority,
-  case when p_size % 5 = 0 then null else p_size % 5 > 1 end as enabled,
-  case when p_partkey % 37 = 0 then 'ALL' when p_size % 3 = 0 then ' SINGLE ' when p_size % 3 = 1 then 'Correlation' else 'single' end
-    as match_type,
-  case when p_partkey % 53 = 0 then '' else concat(p_type, ' ') end as hypothesis_template,
-  case when p_partkey % 47 = 0 then 0 when p_size % 2 = 0 then null else 1 end as version"""
+_RULE_FIELDS = [
+    "case when p_partkey % 4 = 0 then '' else concat(' rule-', p_partkey, ' ') end as id",
+    "case when p_partkey % 41 = 0 then '  ' else concat(' ', p_name) end as name",
+    "p_type as description",
+    "case when p_partkey % 43 = 0 then 1.5e0 when p_partkey % 3 = 0 then null else (p_size % 2) / 2.0e0 end "
+    "as confidence",
+    "case when p_size % 7 = 0 then null when p_size % 7 = 1 then 500 when p_size % 7 = 2 then -1 else p_size "
+    "% 4 end as priority",
+    "case when p_size % 5 = 0 then null else p_size % 5 > 1 end as enabled",
+    "case when p_partkey % 37 = 0 then 'ALL' when p_size % 3 = 0 then ' SINGLE ' when p_size % 3 = 1 then "
+    "'Correlation' else 'single' end as match_type",
+    "case when p_partkey % 53 = 0 then '' else concat(p_type, ' ') end as hypothesis_template",
+    "case when p_partkey % 47 = 0 then 0 when p_size % 2 = 0 then null else 1 end as version",
+]
 
 _RULES_SQL = f"""requests as (
-  select p_partkey as pos, {_RULE_FIELDS}, p_name || '|' || p_type as advice, p_size from part),
+  select p_partkey as pos, {', '.join(_RULE_FIELDS)}, p_name || '|' || p_type as advice, p_size from part),
 validated as (
   select pos, p_size,
     case when trim(name) = '' then 'name is required' when trim(hypothesis_template) = '' then 'hypothesisTemplate is required'
@@ -51,24 +55,11 @@ stored as (select 'old-' || lpad(cast(min(pos) as varchar), 12, '0') as id, {_RU
 def rule_requests(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     fields = part.selectExpr(
-        "p_partkey as pos", *[f.strip() for f in _split_fields(_RULE_FIELDS)], "array(p_name, p_type) as recommendations", "p_size"
+        "p_partkey as pos", *_RULE_FIELDS, "array(p_name, p_type) as recommendations", "p_size"
     )
     return fields.withColumns({"priority": F.col("priority").cast("int"), "version": F.col("version").cast("int")})
 
 
-def _split_fields(text: str) -> list[str]:
-    """Select items of a field list: commas inside parentheses or case stay."""
-    items, depth, current = [], 0, ""
-    for char in text:
-        depth += (char == "(") - (char == ")")
-        if char == "," and depth == 0:
-            items.append(current)
-            current = ""
-        else:
-            current += char
-    return [*items, current]
-
-
 def valid_rules(spark, sf_dir):
     return rt.validate_rules(rule_requests(spark, sf_dir)).filter("error is null").drop("error")
 
@@ -177,18 +168,22 @@ def backfill_match_type(spark, sf_dir):
 
 # -- patterns ---------------------------------------------------------------
 
-_PATTERN_FIELDS = """case when c_custkey % 3 = 0 then '' else concat('pat-', c_custkey) end as id,
-  case when c_custkey % 61 = 0 then ' ' else concat('rule-', c_nationkey, ' ') end as rule_id,
-  case when c_custkey % 59 = 0 then '' else ' log' end as event_type,
-  case when c_custkey % 67 = 0 then null else concat('svc-', c_nationkey % 5) end as source,
-  case when c_custkey % 53 = 0 then '' when c_custkey % 47 = 0 then 'QA ' when c_nationkey % 2 = 0 then 'Prod' else 'stage' end as environment,
-  case when c_custkey % 43 = 0 then null when c_custkey % 41 = 0 then 101 else c_nationkey % 3 end as severity_min,
-  case when c_custkey % 37 = 0 then '' when c_custkey % 31 = 0 then 'prefix' when c_nationkey % 3 = 0 then 'EXACT'
-    when c_nationkey % 3 = 1 then ' Contains' else 'regex' end as message_match_type,
-  case when c_custkey % 29 = 0 then ' ' else concat(' ', c_mktsegment) end as message_pattern"""
+_PATTERN_FIELDS = [
+    "case when c_custkey % 3 = 0 then '' else concat('pat-', c_custkey) end as id",
+    "case when c_custkey % 61 = 0 then ' ' else concat('rule-', c_nationkey, ' ') end as rule_id",
+    "case when c_custkey % 59 = 0 then '' else ' log' end as event_type",
+    "case when c_custkey % 67 = 0 then null else concat('svc-', c_nationkey % 5) end as source",
+    "case when c_custkey % 53 = 0 then '' when c_custkey % 47 = 0 then 'QA ' when c_nationkey % 2 = 0 then "
+    "'Prod' else 'stage' end as environment",
+    "case when c_custkey % 43 = 0 then null when c_custkey % 41 = 0 then 101 else c_nationkey % 3 end as "
+    "severity_min",
+    "case when c_custkey % 37 = 0 then '' when c_custkey % 31 = 0 then 'prefix' when c_nationkey % 3 = 0 then "
+    "'EXACT' when c_nationkey % 3 = 1 then ' Contains' else 'regex' end as message_match_type",
+    "case when c_custkey % 29 = 0 then ' ' else concat(' ', c_mktsegment) end as message_pattern",
+]
 _PATTERN_ENV = sql_environment("environment")
 _PATTERNS_SQL = f"""requests as (
-  select c_custkey as pos, {_PATTERN_FIELDS}, case when c_custkey % 2 = 0 then 1 else 0 end as conditions, c_acctbal from customer),
+  select c_custkey as pos, {', '.join(_PATTERN_FIELDS)}, case when c_custkey % 2 = 0 then 1 else 0 end as conditions, c_acctbal from customer),
 validated as (
   select pos, c_acctbal,
     case when trim(rule_id) = '' then 'ruleId is required'
@@ -217,7 +212,7 @@ _KNOWN_RULES_SQL = "known as (select 'rule-' || n_nationkey as rule_id from nati
 def pattern_requests(spark, sf_dir):
     fields = table(spark, sf_dir, "customer").selectExpr(
         "c_custkey as pos",
-        *[f.strip() for f in _split_fields(_PATTERN_FIELDS)],
+        *_PATTERN_FIELDS,
         # Equal as JSON values although spelled in two ways.
         """case when c_custkey % 2 = 0 then array(named_struct('field', 'k', 'operator', 'equals',
            'value', case when c_custkey % 4 = 0 then '1.0' else '1' end)) end as payload_conditions""",
