@@ -4,7 +4,6 @@ import datetime as dt
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from pulseloom.functions.regex import to_jvm_regex
 from pulseloom.operators import rules as ru
