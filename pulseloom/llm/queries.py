@@ -8,22 +8,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pulseloom.llm import minhash, mixing, packing, pii, quality
-from pulseloom.llm.sql import MINHASH_SQL, MIXING_SQL, PII_SQL
+from pulseloom.llm import minhash, mixing, mtree, onebit, packing, pii, ppm, quality, tokens, toxicity
+from pulseloom.llm.sql import INNER_PRODUCT_SQL, MINHASH_SQL, MIXING_SQL, PII_SQL
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def mtree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_inner_products(_table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
 def minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def toxicity_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.grade(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+
+
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_counts(_table(spark, sf_dir, "documents"))
+
+
 def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sizes(_table(spark, sf_dir, "documents"))
 
 
+def one_bit_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return onebit.nearest(_table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -36,6 +53,10 @@ def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, digest.alias("base_sha256"), pii.digest(F.col("spans")).alias("spans"))
 
 
+def ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(_table(spark, sf_dir, "documents"))
+
+
 def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, _table(spark, sf_dir, "labels"))
@@ -44,14 +65,24 @@ def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_mtree_top_k": mtree_top_k,
         "op2_minhash_near_duplicates": minhash_near_duplicates,
+        "op3_toxicity_grades": toxicity_grades,
+        "op4_token_counts": token_counts,
         "op5_mix_sources": mix_sources,
+        "op6_one_bit_neighbours": one_bit_neighbours,
         "op7_best_fit_packing": pack_documents,
         "op8_personal_data": personal_data,
+        "op9_ppm_scores": ppm_scores,
         "op10_quality_classifier": quality_scores,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_minhash_near_duplicates": MINHASH_SQL, "op5_mix_sources": MIXING_SQL, "op8_personal_data": PII_SQL}
+    return {
+        "op1_mtree_top_k": INNER_PRODUCT_SQL,
+        "op2_minhash_near_duplicates": MINHASH_SQL,
+        "op5_mix_sources": MIXING_SQL,
+        "op8_personal_data": PII_SQL,
+    }

@@ -1,5 +1,16 @@
 """DuckDB twins: the plain statement of what a query returns, without regard to scale."""
 
+INNER_PRODUCT_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(256.0::double * x::double)) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select q.vec_id as query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint as score
+  from v q join v c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id),
+r as (select *, (row_number() over (partition by query_id order by score desc, vec_id))::int as rank from s)
+select query_id, rank, vec_id, score from r where rank <= 5
+"""
+
 MIXING_SQL = """
 with d as (
   select doc_id, source, coalesce(text, '') as t,

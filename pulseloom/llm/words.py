@@ -80,8 +80,20 @@ class Words(NamedTuple):
     end: np.ndarray
 
 
+def _sums(data: np.ndarray) -> np.ndarray:
+    """Prefix sums from which the polynomial over random letters of any span can be read."""
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_LETTERS[LOWER[data]] * _power("up", _BASE, len(data)), out=sums[1:])
+    return sums
+
+
+def _hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    value = (sums[end] - sums[start]) * _power("down", _INVERSE, len(sums))[start]
+    return mix(value + (end - start).astype(np.uint64))
+
+
 def words(texts: Texts) -> Words:
-    """All words with 64-bit hashes (polynomial over random letters, read off one prefix sum)."""
+    """All words with 64-bit hashes."""
     data, offsets = texts.data, texts.offsets
     n = len(data)
     if not n:
@@ -98,11 +110,18 @@ def words(texts: Texts) -> Words:
     after[ends - 1] = True
     start = np.flatnonzero(before & ~space)
     end = np.flatnonzero(after & ~space) + 1
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_LETTERS[LOWER[data]] * _power("up", _BASE, n), out=sums[1:])
-    value = (sums[end] - sums[start]) * _power("down", _INVERSE, n)[start]
     doc = np.searchsorted(offsets, start, side="right") - 1
-    return Words(doc, mix(value + (end - start).astype(np.uint64)), start, end)
+    return Words(doc, _hashes(_sums(data), start, end), start, end)
+
+
+def prefixes(texts: Texts, found: Words, sizes: tuple[int, ...]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each size: text and hash of the first ``size`` bytes of every longer word; never equal to a word's hash."""
+    sums, out = _sums(texts.data), []
+    for size in sizes:
+        longer = found.end - found.start > size
+        start = found.start[longer]
+        out.append((found.doc[longer], mix(_hashes(sums, start, start + size) ^ np.uint64(size))))
+    return out
 
 
 def word_hash(word: bytes) -> int:
