@@ -16,8 +16,9 @@ def components(links: DataFrame) -> DataFrame:
     A hub is met by joins whose other side has one row per key, which AQE can
     split. An empty table of links gives an empty result.
     """
-    both = links.select("a", "b").where("a is not null and b is not null")
-    edges = checkpointed(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    # Both directions from one pass over the links.
+    ways = F.explode(F.array(F.struct(F.col("a"), F.col("b")), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("way")
+    edges = checkpointed(links.where("a is not null and b is not null").select(ways).select("way.a", "way.b").distinct())
     labels = checkpointed(edges.groupBy(F.col("a").alias("doc_id")).agg(F.least(F.col("doc_id"), F.min("b")).alias("component")))
     while True:
         near = edges.join(labels.select(F.col("doc_id").alias("b"), "component"), "b").groupBy(F.col("a").alias("doc_id")).agg(F.min("component").alias("near"))
