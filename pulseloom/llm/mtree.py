@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 
 from pulseloom.llm.vectors import best, search, usable
 
-PAGE, FAN = 96, 24
+PAGE, FAN = 384, 24
 SLACK = 1e-9
 
 
@@ -100,9 +100,9 @@ def _in_block(k: int):
     def find(ids: np.ndarray, block: np.ndarray, query_ids: np.ndarray, queries: np.ndarray) -> Iterator[tuple]:
         block, queries = np.floor(block * 256.0), np.floor(queries * 256.0)
         most = max(np.abs(block).max(initial=0), np.abs(queries).max(initial=0))
-        # Beyond 64-bit sums Python's own integers take over.
-        small = most * most * max(1, block.shape[1]) < 2.0**62
-        as_int = (lambda x: x.astype(np.int64)) if small else lambda x: np.array([[int(v) for v in row] for row in x], dtype=object).reshape(x.shape)
+        # Sums below 2^53 are exact in doubles; beyond them Python's own integers take over.
+        small = most * most * max(1, block.shape[1]) < 2.0**53
+        as_int = (lambda x: x) if small else lambda x: np.array([[int(v) for v in row] for row in x], dtype=object).reshape(x.shape)
         exact, asked = as_int(block), as_int(queries)
         norms = (block**2).sum(axis=1)
         top = float(norms.max())
