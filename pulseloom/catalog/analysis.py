@@ -482,7 +482,7 @@ def classify_provider_error(spark, sf_dir):
 def fallback_analysis(spark, sf_dir):
     """Every unmatched session through the suggester hook, with a provider that always fails."""
     rows = analyzed(spark, sf_dir).filter("analysis_source = 'hybrid'").withColumn("id", F.concat_ws("|", *KEYS))
-    asked = su.ask_suggester(rows.select("id", F.col("id").alias("prompt")), lambda texts: [(None, "no provider") for _ in texts])
+    asked = su.ask_suggester(rows.select("id", F.lit(0).alias("part"), F.col("id").alias("text")), lambda texts: [(None, "no provider") for _ in texts])
     answered = su.attach_suggestions(rows, asked)
     return rows.select("id", *KEYS).join(answered, "id").select(
         *KEYS, joined("hypotheses").alias("hypotheses"), joined("recommendations").alias("recommendations")

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pulseloom.functions.analysis import FALLBACK_RECOMMENDATIONS
 from pulseloom.functions.text import WHITE_SPACE
 from pulseloom.sources.tables import EVENT_TYPE, MESSAGE, PATTERN_ROWS, RULE_ROWS, SEVERITY
 
@@ -106,6 +107,7 @@ flagged as (
   select *, row_number() over (partition by id order by batch_id, pos) > 1 as is_duplicate
   from validated where len(errors) = 0)"""
 
+# The masking patterns as the modelled service states them.
 CREDENTIALS = (
     r"(?i)\b(api[_-]?key|access[_-]?token|refresh[_-]?token|token|password|passwd|secret)\b"
     r"(\s*[:=]\s*)(\"[^\"]*\"|'[^']*'|[^\s,;]+)"
@@ -154,10 +156,7 @@ judged as (
     case r.match_type when 'single' then any_hit else all_hit end as matched
   from verdicts v join rules r using (rule_id))"""
 
-FALLBACK_ADVICE = (
-    "Collect additional traces and infrastructure metrics for this window.|"
-    "Escalate to hybrid analysis with service owner context."
-)
+FALLBACK_ADVICE = "|".join(FALLBACK_RECOMMENDATIONS)
 
 # First occurrences of a '|'-separated advice text, in order.
 ANALYZED = f"""folded as (

@@ -220,7 +220,9 @@ def union_signal_links(spark, sf_dir):
 )
 def upsert_incidents(spark, sf_dir):
     stored = stored_incidents(spark, sf_dir)
-    return flat(inc.upsert_incidents(stored, _correlated(spark, sf_dir, stored).changes, as_of()))
+    last = _correlated(spark, sf_dir, stored).changes
+    earlier = last.withColumn("severity", F.lit(0)).withColumn("pos", F.lit(0))
+    return flat(inc.upsert_incidents(stored, earlier.unionByName(last.withColumn("pos", F.lit(1))), as_of()))
 
 
 # -- status -----------------------------------------------------------------
@@ -246,7 +248,10 @@ def status_updates(spark, sf_dir):
       from stored""",
 )
 def set_status(spark, sf_dir):
-    updates, _ = status_updates(spark, sf_dir)
+    """Every incident that changes has an earlier request as well, which the last one overrules."""
+    last, _ = status_updates(spark, sf_dir)
+    earlier = last.where("status <> ''").select("id", F.lit("overruled").alias("status"))
+    updates = last.withColumn("pos", F.lit(1)).unionByName(earlier.withColumn("pos", F.lit(0)))
     return flat(inc.set_status(stored_incidents(spark, sf_dir), updates, as_of())).select("id", "status", "updated_us")
 
 
@@ -384,15 +389,19 @@ def oldest_expired_orders(spark, sf_dir):
 _STEPS = """(0,1,'deliver',0), (0,1,'ack',1000000),
  (1,1,'deliver',0), (1,1,'nack',1000000), (1,2,'deliver',0), (1,2,'ack',1000000),
  (2,1,'deliver',0), (2,1,'nack',1000000), (2,2,'deliver',0), (2,2,'nack',1000000), (2,3,'deliver',0), (2,3,'nack',1000000),
- (3,1,'deliver',0)"""
+ (3,1,'deliver',0),
+ (4,1,'deliver',0), (4,2,'deliver',0), (4,1,'ack',75000000),
+ (5,1,'deliver',0), (5,2,'deliver',0), (5,1,'nack',75000000), (5,2,'ack',20000000)"""
 _LAST_US = AS_OF_US - 2 * 24 * HOUR  # some leases are still running, later jobs are not there yet
 _DELIVERY = f"""log as (
   select e.event_id as job_id, a.attempt, a.step, epoch_us(ts) + a.attempt * 60000000 + a.off_us as ts_us
-  from events e join (values {_STEPS}) a(k, attempt, step, off_us) on e.event_id % 4 = a.k),
+  from events e join (values {_STEPS}) a(k, attempt, step, off_us) on e.event_id % 6 = a.k),
 seen as (select * from log where ts_us <= {_LAST_US}),
 attempts as (
-  select job_id, attempt, bool_or(step = 'ack') as acked, bool_or(step = 'nack') as nacked,
-    max(case when step = 'deliver' then ts_us end) as delivered from seen group by 1, 2),
+  select s.job_id, s.attempt, bool_or(s.step = 'ack' and n.ts_us is null) as acked, bool_or(s.step = 'nack' and n.ts_us is null) as nacked,
+    max(case when s.step = 'deliver' then s.ts_us end) as delivered, max(case when s.step <> 'deliver' and n.ts_us is null then s.ts_us end) as processed
+  from seen s left join seen n on n.job_id = s.job_id and n.step = 'deliver' and n.attempt = s.attempt + 1 and n.ts_us <= s.ts_us
+  group by 1, 2),
 judged_attempts as (
   select *, not acked and (nacked or delivered + 30000000 <= {_LAST_US} or attempt < max(attempt) over (partition by job_id)) as failed
   from attempts),
@@ -403,12 +412,12 @@ final as (
   select o.job_id, case when acked then 'acked' when last_failed and attempts + 1 > 3 then 'dead-letter'
       when last_failed then 'ready' else 'in-flight' end as outcome, attempts, cast(retries as integer) as retries,
     p.last_processed_us
-  from outcomes o left join (select job_id, max(ts_us) as last_processed_us from seen where step in ('ack', 'nack') group by 1) p
+  from outcomes o left join (select job_id, max(processed) as last_processed_us from attempts group by 1) p
     using (job_id))"""
 
 
 def outcomes(spark, sf_dir):
-    events = table(spark, sf_dir, "events").selectExpr("event_id", "event_id % 4 as k", "unix_micros(cast(ts as timestamp)) as us")
+    events = table(spark, sf_dir, "events").selectExpr("event_id", "event_id % 6 as k", "unix_micros(cast(ts as timestamp)) as us")
     steps = spark.sql(f"select * from values {_STEPS} as a(k, attempt, step, off_us)")
     log = events.join(steps, "k").selectExpr("event_id as job_id", "attempt", "step", "us + attempt * 60000000 + off_us as ts_us")
     return dl.delivery_outcomes(log, F.lit(_LAST_US))

@@ -142,7 +142,9 @@ def rule_updates(spark, sf_dir):
       case when u.id is null then 0 else {AS_OF_US} end as updated_us from stored s left join updates u using (id)""",
 )
 def update_rules(spark, sf_dir):
-    rows = rt.update_rules(stored_rules(spark, sf_dir), rule_updates(spark, sf_dir), as_of())
+    last = rule_updates(spark, sf_dir)
+    earlier = last.withColumn("description", F.lit("overruled")).withColumn("pos", F.lit(0))
+    rows = rt.update_rules(stored_rules(spark, sf_dir), earlier.unionByName(last.withColumn("pos", F.lit(1))), as_of())
     return rows.select(
         "id", "name", "description", "priority", joined("recommendations").alias("recommendations"),
         F.unix_micros("updated_at").alias("updated_us"),
@@ -307,7 +309,8 @@ def update_patterns(spark, sf_dir):
         F.create_map().cast("map<string,string>").alias("variable_mappings"),
         F.lit(None).cast("string").alias("message_regex"),
     )
-    rows = rt.update_patterns(patterns, updates, as_of())
+    earlier = updates.withColumn("source", F.lit("overruled")).withColumn("pos", F.lit(0))
+    rows = rt.update_patterns(patterns, earlier.unionByName(updates.withColumn("pos", F.lit(1))), as_of())
     return rows.select("id", "source", "message_pattern", F.unix_micros("updated_at").alias("updated_us"))
 
 

@@ -47,7 +47,7 @@ def validated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def envelope_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One JSON text per batch of 100 events; every 25th batch is broken in one of three ways."""
+    """One JSON text per batch of 100 events; five of 25 batches are broken, each in its own way."""
     item = F.struct(
         "id",
         F.col("event_type").alias("eventType"),
@@ -68,6 +68,8 @@ def envelope_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     value = (
         F.when(F.col("batch_id") % 25 == 7, F.lit("{"))
         .when(F.col("batch_id") % 25 == 8, F.lit('{"signals":[]}'))
+        .when(F.col("batch_id") % 25 == 10, F.lit('{"signals":[{"eventType":"log","source":5,"severity":1}]}'))
+        .when(F.col("batch_id") % 25 == 11, F.concat(body, F.lit(" tail")))
         .when(F.col("batch_id") % 25 == 9, F.lit('{"signals":[{"eventType":"log","source":"s","severity":"high"}]}'))
         .otherwise(body)
     )
@@ -77,7 +79,7 @@ def envelope_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "read_envelopes",
     f"""with {RAW} select batch_id, pos, id, event_type, source, environment, ts_text as "timestamp", severity, message,
-      cast(json_extract(payload, '$.k') as bigint) as k from raw where batch_id % 25 not in (7, 8, 9)""",
+      cast(json_extract(payload, '$.k') as bigint) as k from raw where batch_id % 25 not in (7, 8, 9, 10, 11)""",
 )
 def read_envelopes(spark, sf_dir):
     rows = env.envelope_signals(env.parse_envelopes(envelope_texts(spark, sf_dir)))
@@ -91,7 +93,7 @@ def read_envelopes(spark, sf_dir):
     "quarantine_batches",
     f"""with {RAW} select distinct batch_id, case when batch_id % 25 = 8
       then 'signals is required and must contain at least one item' else 'malformed body' end as reason
-      from raw where batch_id % 25 in (7, 8, 9)""",
+      from raw where batch_id % 25 in (7, 8, 9, 10, 11)""",
 )
 def quarantine_batches(spark, sf_dir):
     return env.quarantined_batches(env.parse_envelopes(envelope_texts(spark, sf_dir))).select("batch_id", "reason")

@@ -102,24 +102,10 @@ def _fold(words: str) -> str:
     return words.replace("s", f"[s{_LONG_S}]").replace("k", f"[k{_KELVIN}]")
 
 
-_SECRET_NAMES = "|".join(
-    [
-        f"(?<![{_WORD}])(?:"
-        + "|".join(
-            [
-                "api[_-]?" + _fold("key"),
-                _fold("access[_-]?token"),
-                "refre" + _fold("s") + "h[_-]?" + _fold("token"),
-                _fold("token"),
-                _fold("password"),
-                _fold("passwd"),
-                "secret",
-            ]
-        )
-        + ")",
-        f"(?<=[{_WORD}]){_LONG_S}ecret",
-    ]
-)
+# Names whose assigned values are masked.
+SECRET_NAMES = ("api[_-]?key", "access[_-]?token", "refresh[_-]?token", "token", "password", "passwd", "secret")
+# A name starts where a word does, so a long s, which is no word character, can be its first letter only after one.
+_SECRET_NAMES = f"(?<![{_WORD}])(?:{'|'.join(n[0] + _fold(n[1:]) for n in SECRET_NAMES)})|(?<=[{_WORD}]){_LONG_S}ecret"
 CREDENTIAL_RE = (
     f"(?i)(?=[aprst{_LONG_S}])({_SECRET_NAMES})(?![{_WORD}])"
     f"([{_SPACE}]*+[:=][{_SPACE}]*)"

@@ -1,12 +1,13 @@
 """Delivery statistics from a log of (job_id, attempt, step, ts_us) rows.
 
-Steps are enqueue, deliver, ack and nack. One partial aggregate per job decides
-its state; nothing is ordered.
+Steps are enqueue, deliver, ack and nack. A receipt is good for one attempt: an ack
+or nack counts if it is the first of its attempt and no later attempt was
+delivered before it. Attempts are reduced before they meet per job.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_MAX_ATTEMPTS = 3
@@ -25,13 +26,23 @@ def delivery_outcomes(
     """
     max_attempts = max(int(max_attempts), 1)
     timeout_us = int(timeout_us) if timeout_us > 0 else DEFAULT_TIMEOUT_US
-    step, attempt, at = F.col("step"), F.col("attempt"), F.col("ts_us")
-    jobs = log.filter(at <= as_of_us).groupBy("job_id").agg(
-        F.coalesce(F.max(F.when(step == "deliver", attempt)), F.lit(0)).alias("attempts"),
-        F.max(F.when(step == "deliver", at)).alias("_delivered_us"),
-        F.coalesce(F.max(F.when(step == "nack", attempt)), F.lit(0)).alias("_nacked"),
-        F.coalesce(F.bool_or(step == "ack"), F.lit(False)).alias("_acked"),
-        F.max(F.when(step.isin("ack", "nack"), at)).alias("last_processed_us"),
+    step, at = F.col("step"), F.col("ts_us")
+    first = lambda name: F.min(F.when(step == name, at)).alias(name)
+    tries = log.filter(at <= as_of_us).groupBy("job_id", "attempt").agg(
+        F.max(F.when(step == "deliver", at)).alias("delivered"), first("ack"), first("nack")
+    )
+    # Once a later attempt is delivered, the receipt of this one is gone. A job has few attempts.
+    later = Window.partitionBy("job_id").orderBy("attempt").rowsBetween(1, Window.unboundedFollowing)
+    settled = F.least("ack", "nack")
+    current = tries.withColumn("until", F.min("delivered").over(later)).withColumn("settled", settled)
+    current = current.withColumn("settled", F.when(F.col("until").isNull() | (F.col("settled") < F.col("until")), F.col("settled")))
+    delivered = F.col("delivered").isNotNull()
+    jobs = current.groupBy("job_id").agg(
+        F.coalesce(F.max(F.when(delivered, F.col("attempt"))), F.lit(0)).alias("attempts"),
+        F.max("delivered").alias("_delivered_us"),
+        F.coalesce(F.max(F.when((F.col("nack") == F.col("settled")) & ~F.col("ack").eqNullSafe(F.col("settled")), F.col("attempt"))), F.lit(0)).alias("_nacked"),
+        F.coalesce(F.bool_or(F.col("ack") == F.col("settled")), F.lit(False)).alias("_acked"),
+        F.max("settled").alias("last_processed_us"),
     )
     nacked = (F.col("attempts") > 0) & (F.col("_nacked") == F.col("attempts"))
     expired = ~nacked & (as_of_us >= F.col("_delivered_us") + F.lit(timeout_us))

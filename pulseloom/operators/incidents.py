@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulseloom.functions.analysis import append_recommendations, is_open
+from pulseloom.operators.changes import last_request
 from pulseloom.operators.sessions import DEFAULT_WINDOW_US, SESSION_KEYS, cell_of, is_high
 from pulseloom.session import checkpointed
 
@@ -240,9 +241,10 @@ def union_incident_signals(links: DataFrame, extra: DataFrame) -> DataFrame:
 
 
 def upsert_incidents(existing: DataFrame, incoming: DataFrame, as_of: Column) -> DataFrame:
-    """Insert or overwrite everything but ``created_at``; incoming ids are unique."""
+    """Insert or overwrite everything but ``created_at``; of several rows of one id the last by ``pos`` counts."""
     columns = existing.columns
     named = incoming.withColumn("id", F.coalesce(F.nullif("id", F.lit("")), incident_id(*[F.to_json(F.struct(*columns))])))
+    named = last_request(named)
     born = existing.select("id", F.col("created_at").alias("_born"))
     fresh = (
         named.join(born, "id", "left")
@@ -254,8 +256,9 @@ def upsert_incidents(existing: DataFrame, incoming: DataFrame, as_of: Column) ->
 
 
 def set_status(incidents: DataFrame, updates: DataFrame, as_of: Column) -> DataFrame:
-    """Apply (id, status) updates, one per id; blank ids or statuses change nothing."""
-    usable = updates.filter(status_error(F.col("id"), F.col("status")).isNull()).select("id", F.col("status").alias("_status"))
+    """Apply (id, status) updates; blank ids or statuses change nothing, of several for one id the last by ``pos`` counts."""
+    valid = updates.filter(status_error(F.col("id"), F.col("status")).isNull())
+    usable = last_request(valid).select("id", F.col("status").alias("_status"))
     return (
         incidents.join(usable, "id", "left")
         .withColumn("status", F.coalesce("_status", "status"))

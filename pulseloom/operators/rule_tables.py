@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pulseloom.operators.changes import last_request
 from pulseloom.functions.payload import comparable_conditions, condition_error, normalize_keys
 from pulseloom.functions.regex import jvm_regex
 from pulseloom.functions.text import empty_to_null, environment_error, normalize_environment, strip
@@ -214,8 +215,11 @@ def unknown_rules(requests: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def update_rows(table: DataFrame, updates: DataFrame, columns: tuple[str, ...], as_of: Column) -> DataFrame:
-    """Replace ``columns`` of the rows named by id; other rows stay as they are."""
-    changes = updates.select("id", F.struct(*columns).alias("_new"))
+    """Replace ``columns`` of the rows named by id; other rows stay as they are.
+
+    Several updates of one id count as requests in the order of ``pos``: the last wins.
+    """
+    changes = last_request(updates).select("id", F.struct(*columns).alias("_new"))
     joined = table.join(changes, "id", "left")
     hit = F.col("_new").isNotNull()
     replaced = {c: F.when(hit, F.col(f"_new.{c}")).otherwise(F.col(c)) for c in columns}

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulseloom.functions.analysis import fallback_hypotheses, fallback_recommendations
+from pulseloom.functions.strict import not_text, one_value
 from pulseloom.functions.text import WHITE_SPACE, ZERO_TIME_US, strip
 from pulseloom.operators.sessions import PAGE_ROWS, add_position, paged_lists
 
@@ -42,6 +43,7 @@ def list_or_none(items: Column) -> Column:
     return F.when(F.coalesce(F.size(items), F.lit(0)) > 0, F.array_join(items, ", ")).otherwise(F.lit("none"))
 
 
+# The layout of header and evidence lines.
 def prompt_header(evidence_count: Column) -> Column:
     """Incident section of a prompt, up to the evidence lines (fixed layout)."""
     c = F.col
@@ -100,18 +102,6 @@ def prompt_parts(incidents: DataFrame, evidence: DataFrame, page_rows: int = PAG
     )
 
 
-def prompts(parts: DataFrame, instructions: str = DEFAULT_INSTRUCTIONS) -> DataFrame:
-    """(id, prompt) of the incidents whose evidence fits one page.
-
-    Longer ones exceed what a provider takes; ``attach_suggestions`` gives them
-    the fallback with the reason, as for any provider failure.
-    """
-    short = parts.filter("parts <= 2")
-    text = F.concat(F.coalesce(F.max(F.when(F.col("part") == 0, F.col("text"))), F.lit("")),
-                    F.coalesce(F.max(F.when(F.col("part") == 1, F.col("text"))), F.lit("")))
-    return short.groupBy("id").agg(F.concat(F.lit(instructions), text).alias("prompt"))
-
-
 def clean_answer(text: Column) -> Column:
     """The answer without its code fence."""
     trimmed = strip(text)
@@ -123,10 +113,11 @@ def parse_suggestion(text: Column) -> Column:
     """struct(hypothesis, recommendations, error); ``error`` null means usable."""
     clean = clean_answer(text)
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
-    parsed = F.from_json(clean, "hypothesisTemplate string, recommendations array<string>, _corrupt string", options)
-    hypothesis = strip(F.coalesce(parsed["hypothesisTemplate"], F.lit("")))
-    advice = F.filter(F.transform(parsed["recommendations"], lambda r: strip(F.coalesce(r, F.lit("")))), lambda r: r != "")
-    broken = F.try_parse_json(clean).isNull() | parsed["_corrupt"].isNotNull()
+    parsed = F.from_json(clean, "hypothesisTemplate variant, recommendations array<variant>, _corrupt string", options)
+    hypothesis = strip(F.coalesce(parsed["hypothesisTemplate"].cast("string"), F.lit("")))
+    advice = F.filter(F.transform(parsed["recommendations"], lambda r: strip(F.coalesce(r.cast("string"), F.lit("")))), lambda r: r != "")
+    wrong = not_text(parsed["hypothesisTemplate"]) | F.coalesce(F.exists(parsed["recommendations"], not_text), F.lit(False))
+    broken = ~one_value(clean) | F.try_parse_json(clean).isNull() | parsed["_corrupt"].isNotNull() | wrong
     error = (
         F.when(text.isNull(), F.lit(NO_RESPONSE))
         .when(text == "", F.lit(EMPTY_RESPONSE))
@@ -150,28 +141,52 @@ def classify_provider_error(message: Column) -> Column:
 
 Suggester = Callable[[Sequence[str]], Sequence[tuple[str | None, str | None]]]
 
+ASK_ROWS = 16  # prompts handed over at a time
+
 
-def ask_suggester(prompt_rows: DataFrame, suggester: Suggester) -> DataFrame:
-    """Run a user function over batches of prompts: (answer, error) for each.
+def ask_suggester(parts: DataFrame, suggester: Suggester, instructions: str = DEFAULT_INSTRUCTIONS) -> DataFrame:
+    """Run a user function over the whole prompts of ``parts`` (id, part, text): (answer, error) for each id.
 
-    Only sessions without a rule match should come here.
+    Parts of an incident stream past in order and are joined in the task, so a
+    prompt of any number of pages is asked whole and no stored row grows. Only
+    sessions without a rule match should come here.
     """
+    ordered = parts.select("id", "part", "text").repartition("id").sortWithinPartitions("id", "part")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str, str]]:
+        current, texts = None, []
         for batch in batches:
-            pairs = list(suggester(batch["prompt"].tolist()))
-            yield pd.DataFrame(
-                {"id": batch["id"], "answer": [a for a, _ in pairs], "provider_error": [e for _, e in pairs]}
-            )
+            for id_, text in zip(batch["id"], batch["text"], strict=True):
+                if texts and id_ != current:
+                    yield current, "".join(texts)
+                    texts = []
+                current = id_
+                texts.append(text or "")
+        if texts:
+            yield current, "".join(texts)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def ask(held):
+            pairs = list(suggester([instructions + text for _, text in held]))
+            return pd.DataFrame({"id": [i for i, _ in held], "answer": [a for a, _ in pairs], "provider_error": [e for _, e in pairs]})
 
-    return prompt_rows.select("id", "prompt").mapInPandas(run, "id string, answer string, provider_error string")
+        held = []
+        for one in whole(batches):
+            held.append(one)
+            if len(held) == ASK_ROWS:
+                yield ask(held)
+                held = []
+        if held:
+            yield ask(held)
+
+    return ordered.mapInPandas(run, "id string, answer string, provider_error string")
 
 
 def attach_suggestions(unmatched: DataFrame, answers: DataFrame) -> DataFrame:
     """Hypotheses and recommendations of unmatched incidents from parsed answers.
 
-    Incidents without an answer, with a provider error or with an unusable
-    answer get the fallback; the error text is its last recommendation.
+    Incidents that were not asked get the plain fallback; with a provider error
+    or an unusable answer the error text is its last recommendation.
     """
     parsed = answers.select(
         "id",
@@ -180,10 +195,8 @@ def attach_suggestions(unmatched: DataFrame, answers: DataFrame) -> DataFrame:
         F.lit(True).alias("_asked"),
     )
     joined = unmatched.select("id").join(parsed, "id", "left")
-    error = F.when(F.col("_asked").isNull(), F.lit("evidence exceeds the prompt size")).otherwise(
-        F.coalesce("_provider", F.col("_parsed.error"))
-    )
-    usable = error.isNull()
+    error = F.coalesce("_provider", F.col("_parsed.error"))
+    usable = F.col("_asked").isNotNull() & error.isNull()
     return joined.select(
         "id",
         F.when(usable, F.array("_parsed.hypothesis")).otherwise(fallback_hypotheses()).alias("hypotheses"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -9,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_BYTES = 64 * 1024 * 1024
+_scratch: list[str] = []
 
 # Settings the operators rely on. AQE supplies the run-time size check for
 # broadcasts and the splitting of skewed join partitions; the session merge
@@ -61,21 +64,29 @@ def shared_folder(spark: SparkSession) -> str:
             if not context.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="pulseloom-ckpt-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
         context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 
 def scratch_folder(spark: SparkSession) -> str:
     """A new folder next to the checkpoints, for tables a job needs only while it runs."""
-    return f"{shared_folder(spark).rstrip('/')}/scratch-{uuid.uuid4()}"
+    _scratch.append(f"{shared_folder(spark).rstrip('/')}/scratch-{uuid.uuid4()}")
+    return _scratch[-1]
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete the scratch tables this process has written; call it when their results are stored elsewhere."""
+    while _scratch:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def checkpointed(df: DataFrame, session: SparkSession | None = None) -> DataFrame:
     """Cut lineage: ``df`` as a table written to the shared checkpoint folder.
 
     It survives lost executors, is read back with its real size known to the
-    planner, and later reads prune columns. The folder belongs to the cluster's
-    checkpoint clean-up. ``session`` reads it back in another session: streams
+    planner, and later reads prune columns. :func:`drop_scratch` deletes it. ``session`` reads it back in another session: streams
     run their micro-batches in a copy of the session without adaptive execution.
     """
     folder = scratch_folder(df.sparkSession)

@@ -5,13 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulseloom.schemas import ENVELOPE
+from pulseloom.functions.strict import not_text, one_value
+
+TEXTS = ("id", "eventType", "source", "environment", "timestamp", "message")
+_TYPED = (
+    "sourceContext variant, signals array<struct<id variant, eventType variant, source variant, environment variant, timestamp variant, "
+    "severity int, message variant, payload map<string,variant>, metadata map<string,variant>>>, _corrupt string"
+)
 
 
 def parse_envelopes(texts: DataFrame) -> DataFrame:
-    """Parse ``value`` of (batch_id, value) rows, batch or stream."""
+    """Parse ``value`` of (batch_id, value) rows, batch or stream. A ``batch_id`` names one envelope.
+
+    Text fields are read as variants first, since Spark would turn any value into
+    text: a number or an object there refuses the batch, as does text after the JSON.
+    """
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
-    return texts.withColumn("envelope", F.from_json("value", ENVELOPE, options))
+    typed = texts.withColumn("_typed", F.from_json("value", _TYPED, options))
+
+    def odd(s):
+        labels = F.coalesce(F.exists(F.map_values(s["metadata"]), not_text), F.lit(False))
+        return F.array_contains(F.array(*[not_text(s[c]) for c in TEXTS], labels), True)
+
+    def plain(s):
+        fields = [s[c].cast("string").alias(c) if c in TEXTS else s[c].alias(c) for c in (*TEXTS[:5], "severity", "message", "payload")]
+        return F.struct(*fields, F.transform_values(s["metadata"], lambda _, v: v.cast("string")).alias("metadata"))
+
+    signals = F.col("_typed.signals")
+    wrong = ~one_value(F.col("value")) | not_text(F.col("_typed.sourceContext")) | F.coalesce(F.exists(signals, odd), F.lit(False))
+    envelope = F.struct(
+        F.col("_typed.sourceContext").cast("string").alias("sourceContext"),
+        F.transform(signals, plain).alias("signals"),
+        F.coalesce("_typed._corrupt", F.when(wrong, F.col("value"))).alias("_corrupt"),
+    )
+    return typed.withColumn("envelope", F.when(F.col("_typed").isNotNull(), envelope)).drop("_typed")
 
 
 def _is_bad():
@@ -50,7 +77,15 @@ def envelope_signals(parsed: DataFrame) -> DataFrame:
 
 
 def read_envelopes(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
-    """Envelopes from files: one per line, or one per file. ``batch_id`` names the place."""
+    """Envelopes from files: one per line, or one per file.
+
+    ``batch_id`` names the place: the file and, for lines, where its block begins
+    and the line's number in the task that reads it, so that equal lines differ and
+    earlier lines of a block come first.
+    """
     texts = spark.read.text(path, wholetext=whole_files)
-    place = F.input_file_name() if whole_files else F.concat_ws("#", F.input_file_name(), F.sha2("value", 256))
+    number = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).cast("string")
+    block = F.col("_metadata.file_block_start").cast("string")
+    line = F.concat_ws("#", F.col("_metadata.file_path"), F.lpad(block, 16, "0"), F.lpad(number, 10, "0"))
+    place = F.col("_metadata.file_path") if whole_files else line
     return parse_envelopes(texts.select(place.alias("batch_id"), "value"))

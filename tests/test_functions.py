@@ -228,3 +228,12 @@ def test_confidence_and_lists(spark):
     assert one(spark, an.retention_profile(F.lit("prod")))["raw_days"] == 30
     assert one(spark, an.retention_profile(F.lit(" Stage")))["incident_days"] == 90
     assert one(spark, an.retention_profile(F.lit(None).cast("string")))["raw_days"] == 7
+
+
+def test_every_script_compiles_and_nested_counts_are_bounded(spark):
+    from pulseloom.functions.regex import SCRIPTS, to_jvm_regex
+
+    found = spark.range(1).select(*[F.col("id").cast("string").rlike(to_jvm_regex(rf"\p{{{script}}}")).alias(script) for script in SCRIPTS])
+    assert [script for script, hit in found.first().asDict().items() if hit] == ["Common"]
+    assert spark.range(1).filter(F.lit("\u03e2").rlike(to_jvm_regex(r"\p{Coptic}"))).count() == 1
+    assert to_jvm_regex("(a{1000}){1000}") is None and to_jvm_regex("((a{10})+b){100}") is not None

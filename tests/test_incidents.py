@@ -2,6 +2,7 @@ import datetime as dt
 import random
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pulseloom.operators import incidents as inc
 from pulseloom.plans.correlate import correlate
@@ -133,6 +134,14 @@ def test_upsert_keeps_created_at_and_repeats_safely(spark):
     assert sorted(map(repr, inc.upsert_incidents(once, new, as_of()).collect())) == sorted(map(repr, once.collect()))
 
 
+def test_the_last_request_for_an_id_wins(spark):
+    incidents = spark.createDataFrame([incident("a"), incident("b")], INCIDENTS)
+    updates = spark.createDataFrame([("a", "open", 2), ("a", "resolved", 5), ("a", "", 9), ("b", "x", 1)], "id string, status string, pos int")
+    assert sorted((r.id, r.status) for r in inc.set_status(incidents, updates, as_of()).collect()) == [("a", "resolved"), ("b", "x")]
+    new = spark.createDataFrame([(*incident("b", severity=4), 1), (*incident("b", severity=2), 3)], T.StructType([*INCIDENTS.fields, T.StructField("pos", T.IntegerType())]))
+    assert sorted((r.id, r.severity) for r in inc.upsert_incidents(incidents, new, as_of()).collect()) == [("a", 1), ("b", 2)]
+
+
 def test_set_status(spark):
     incidents = spark.createDataFrame([incident("a"), incident("b")], INCIDENTS)
     updates = spark.createDataFrame([("a", "resolved"), ("", "x"), ("b", ""), ("zz", "x")], "id string, status string")

@@ -68,6 +68,22 @@ def test_bad_batches_are_refused_as_a_whole(spark):
     assert [r.batch_id for r in envelope_signals(frame).collect()] == [5]
 
 
+def test_wrong_types_and_trailing_text_refuse_the_batch(spark):
+    wrong = [{"source": 5}, {"message": True}, {"environment": {"a": 1}}, {"metadata": {"a": 1}}, {"id": ["x"]}]
+    frame = parsed(spark, *[batch({**GOOD, **w}) for w in wrong], batch(GOOD) + " tail", batch(GOOD) + batch(GOOD), batch({**GOOD, "message": None}) + "\n")
+    assert {r.batch_id for r in quarantined_batches(frame).collect()} == set(range(7))
+    assert [r.batch_id for r in envelope_signals(frame).collect()] == [7]
+
+
+def test_a_repeated_line_is_a_duplicate(spark, tmp_path):
+    line = batch({**GOOD, "id": "x1"}) + "\n"
+    (tmp_path / "a.json").write_text(line * 3)
+    result = ingest(envelope_signals(read_envelopes(spark, str(tmp_path))), as_of())
+    assert result.accepted.count() == 1
+    counts = [(r.accepted_count, r.duplicate_count) for r in result.summary.orderBy("batch_id").collect()]
+    assert counts == [(1, 0), (0, 1), (0, 1)]
+
+
 def test_payload_keeps_its_types_and_metadata(spark):
     row = envelope_signals(parsed(spark, batch({**GOOD, "payload": {"a": 1, "b": "1", "c": None}, "metadata": {"m": "n"}}))).first()
     assert json.loads(row.payload) == {"a": 1, "b": "1", "c": None}

@@ -174,6 +174,14 @@ def test_expiry_counts_as_retry_at_its_very_instant(spark):
     assert stats(spark, [(1, 1, "enqueue", 0)], 5).queue_depth == 1
 
 
+def test_acks_and_nacks_of_past_attempts_do_not_count(spark):
+    twice = [(1, 1, "deliver", 0), (1, 2, "deliver", 20)]
+    row = stats(spark, [*twice, (1, 1, "ack", 21)], 25, timeout_us=15)
+    assert (row.queue_depth, row.retry_count, row.last_processed_us) == (1, 1, None)
+    row = stats(spark, [*twice, (1, 1, "nack", 21), (1, 2, "ack", 23)], 25, timeout_us=15)
+    assert (row.queue_depth, row.retry_count, row.last_processed_us) == (0, 1, 23)
+
+
 def test_empty_log_and_health(spark):
     empty = dl.delivery_outcomes(spark.createDataFrame([], DELIVERY_LOG), F.lit(0))
     row = dl.health_snapshot(empty, spark.createDataFrame([incident("a")], INCIDENTS)).first()
@@ -240,10 +248,11 @@ def test_prompts_and_suggester(spark):
     assert texts["c"].endswith("Evidence (0):\n- none")
 
     def suggester(prompts):
-        return [('{"hypothesisTemplate":"h","recommendations":["r"]}', None) if "- id: a" in p else (None, "429") for p in prompts]
+        whole = '{"hypothesisTemplate":"h","recommendations":["%d lines"]}'
+        return [(None, "429") if "- id: c" in p else (whole % p.count("\n- #"), None) for p in prompts]
 
-    answers = su.ask_suggester(su.prompts(parts), suggester)
+    answers = su.ask_suggester(parts, suggester)
     rows = {r.id: r for r in su.attach_suggestions(incidents, answers).collect()}
-    assert (rows["a"].hypotheses, rows["a"].recommendations) == (["h"], ["r"])
-    assert rows["b"].recommendations[-1] == "evidence exceeds the prompt size"
+    assert (rows["a"].hypotheses, rows["a"].recommendations) == (["h"], ["2 lines"])
+    assert rows["b"].recommendations == ["5 lines"]  # two pages, asked as one prompt
     assert rows["c"].recommendations[-1].startswith("OpenAI rate limit reached")
