@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import functions as F
 
 from pulseloom.catalog.base import (
@@ -31,6 +34,7 @@ from pulseloom.operators import rules as ru
 from pulseloom.operators import suggest as su
 from pulseloom.operators.incidents import create_incidents, session_incident_id
 from pulseloom.operators.sessions import add_position, session_members, session_summary
+from pulseloom.plans.correlate import suggested_analysis as ask_for_analysis
 from pulseloom.session import checkpointed
 from pulseloom.sources.tables import sample_patterns, sample_rules, signals, table
 
@@ -474,6 +478,31 @@ def classify_provider_error(spark, sf_dir):
     return texts.select("event_id", su.classify_provider_error(F.col("message")).alias("error"))
 
 
+def told_by_evidence(prompts):
+    """A suggester that answers from the whole prompt: how many lines, the first and the last id."""
+    answers = []
+    for prompt in prompts:
+        ids = re.findall(r"^- #\d+ id=(\S+) ", prompt, re.M)
+        answers.append((json.dumps({"hypothesisTemplate": f"saw {len(ids)} signals", "recommendations": [f"first {ids[0]}", f"last {ids[-1]}"]}), None))
+    return answers
+
+
+@query(
+    "suggested_analysis",
+    f"""with {ANALYSIS_CTES},
+    told as (select source, env, session_start, count(*) as lines, array_agg(id order by ts_us, id) as ids from members group by 1, 2, 3)
+    select source, env, session_start, case when analysis_source = 'hybrid' then 'saw ' || lines || ' signals' end as hypotheses,
+      case when analysis_source = 'hybrid' then 'first ' || ids[1] || '|last ' || ids[-1] end as recommendations
+    from analyzed join told using (source, env, session_start)""",
+)
+def suggested_analysis(spark, sf_dir):
+    """Every session; those without a rule match show what the suggester made of their whole prompt of many pages."""
+    rules, patterns = tables_of(spark)
+    rows = ask_for_analysis(told_by_evidence, as_of(), page_rows=_PAGE)(signals(spark, sf_dir), rules, patterns, HOUR)
+    told = F.col("analysis_source") == an.HYBRID
+    return rows.select(*KEYS, F.when(told, joined("hypotheses")).alias("hypotheses"), F.when(told, joined("recommendations")).alias("recommendations"))
+
+
 @query(
     "fallback_analysis",
     f"""with {ANALYSIS_CTES} select source, env, session_start, '{an.FALLBACK_HYPOTHESIS}' as hypotheses,

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pulseloom.operators import incidents as inc
-from pulseloom.plans.correlate import correlate
+from pulseloom.plans.correlate import correlate, suggested_analysis
 from pulseloom.schemas import INCIDENTS, PATTERNS, RULES
 from tests.test_rules import signal
 
@@ -98,9 +98,14 @@ def test_an_incident_updated_later_always_qualifies_unless_two_sided(spark):
     assert inc.related_incident(*frames(spark, sessions, incidents), two_sided=True).first().incident_id is None
 
 
+SIGNALS = (
+    "id string, event_type string, source string, env string, timestamp timestamp, severity int, message string, payload string, "
+    "metadata map<string,string>"
+)
+
+
 def run(spark, signals, incidents):
-    signals = spark.createDataFrame(signals, "id string, event_type string, source string, env string, timestamp timestamp, "
-                                    "severity int, message string, payload string, metadata map<string,string>")
+    signals = spark.createDataFrame(signals, SIGNALS)
     return correlate(signals, spark.createDataFrame(incidents, INCIDENTS), spark.createDataFrame([], RULES),
                      spark.createDataFrame([], PATTERNS), as_of())
 
@@ -148,3 +153,19 @@ def test_set_status(spark):
     assert {r.id: r.status for r in inc.set_status(incidents, updates, as_of()).collect()} == {"a": "resolved", "b": "new"}
     errors = {r.id: r.error for r in inc.status_errors(incidents, updates).collect()}
     assert errors == {"": "incident id is required", "b": "incident status is required", "zz": "not found"}
+
+
+def test_correlate_with_a_suggester_and_known_links(spark):
+    signals = spark.createDataFrame([signal("1", "m", severity=5), signal("2", "m", severity=4, at=5)], SIGNALS)
+    rules, patterns, none = spark.createDataFrame([], RULES), spark.createDataFrame([], PATTERNS), spark.createDataFrame([], INCIDENTS)
+
+    def suggester(prompts):
+        return [('{"hypothesisTemplate":"%d lines","recommendations":["look"]}' % p.count("\n- #"), None) for p in prompts]
+
+    analyzer = suggested_analysis(suggester, as_of(), page_rows=1)
+    first = correlate(signals, none, rules, patterns, as_of(), analyzer=analyzer)
+    row = first.created.first()
+    assert (row.analysis_summary, row.recommendations) == ("2 lines", ["look"])
+    known = first.links.filter("signal_id = '1'").select("incident_id", "signal_id")
+    again = correlate(signals, none, rules, patterns, as_of(), analyzer=analyzer, known_links=known)
+    assert [(r.incident_id, r.signal_id) for r in again.links.collect()] == [(row.id, "2")]
