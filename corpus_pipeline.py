@@ -19,7 +19,9 @@ ORACLE_SQL = None
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the quality classifier accepts (score of at least 0.7)."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(docs, model).where("predicted = 1").select(*docs.columns)
+    aside = {c: f"documents_{c}" for c in ("score", "predicted")}  # columns of these names are not the classifier's
+    scored = quality.score(docs.withColumnsRenamed(aside), model).where("predicted = 1").drop("score", "predicted")
+    return scored.withColumnsRenamed({v: k for k, v in aside.items()})
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

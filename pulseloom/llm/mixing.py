@@ -70,11 +70,11 @@ def mix(docs: DataFrame) -> DataFrame:
     """
     made = ["size", "source_size", "target", "taken"]
     own = [c for c in docs.columns if c not in made]
-    sized = docs.select(*own, word_count(F.col("text")).alias("size"))
-    keyed = sized.select(
-        *own, "size", exponential_key(F.col("doc_id"), quality_weight(F.col("text"), F.col("size"))).alias("key"), F.xxhash64("text").alias("tie")
-    ).withColumn("bucket", F.floor(F.log2("key") * FINE))
-    return _taken(keyed, checkpointed(keyed.select("doc_id", "source", "size", "key", "tie", "bucket"))).select(*own, *made)
+    # The row travels as one struct, so no name of its columns can clash with those used here.
+    held = docs.select(F.struct(*own).alias("row"), "doc_id", "source", "text", word_count(F.col("text")).alias("size"))
+    key = exponential_key(F.col("doc_id"), quality_weight(F.col("text"), F.col("size")))
+    keyed = held.select("row", "doc_id", "source", "size", key.alias("key"), F.xxhash64("text").alias("tie")).withColumn("bucket", F.floor(F.log2("key") * FINE))
+    return _taken(keyed, checkpointed(keyed.drop("row"))).select("row.*", *made)
 
 
 def mix_sizes(docs: DataFrame) -> DataFrame:
@@ -110,6 +110,6 @@ def _taken(rows: DataFrame, narrow: DataFrame) -> DataFrame:
 
 def draw(docs: DataFrame) -> DataFrame:
     """The mixed corpus: every document as often as it is taken (up to twice), same columns."""
-    mixed = mix(docs).where("taken > 0")
+    mixed = mix(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", "text")).where("taken > 0")
     times = F.explode(F.sequence(F.lit(1), (F.col("taken") / F.col("size")).cast("int")))
-    return mixed.withColumn("_time", times).select(*docs.columns)
+    return mixed.select("row", times.alias("time")).select("row.*")

@@ -131,7 +131,8 @@ def mask_personal_data(docs: DataFrame) -> DataFrame:
     Spans that overlap become one mask, named after the first. ``n_chars``, if
     there is one, is the new length. Null texts stay null; no row is dropped.
     """
-    found = find_personal_data(docs)
+    # The row travels as one struct, so no name of its columns can clash with those used here.
+    found = find_personal_data(docs.select(F.struct(*docs.columns).alias("row"), "text"))
 
     def join(done, span):
         last = F.element_at(done, -1)
@@ -148,6 +149,5 @@ def mask_personal_data(docs: DataFrame) -> DataFrame:
     rest = lambda done: F.concat(done["out"], F.substring(F.col("text"), done["at"] + 1, F.length("text")))
     masked = F.aggregate(apart, F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), write, rest)
     out = found.withColumn("text", F.when(F.size("spans") > 0, masked).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns)
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return out.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])

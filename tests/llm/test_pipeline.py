@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from pulseloom.llm import minhash, packing, pii, quality
 from pulseloom.llm.queries import oracle_sql, queries
@@ -30,3 +32,16 @@ def test_stages_take_effect_and_keep_columns(spark, tmp_path):
 def test_every_operator_has_a_query():
     assert [k.split("_")[0] for k in queries()] == [f"op{i}" for i in range(1, 11)] + ["pipeline"]
     assert set(oracle_sql()) <= set(queries())
+
+
+def test_stages_keep_columns_of_any_name(spark, corpus, docs, tmp_path):
+    names = ["score", "predicted", "spans", "base_spans", "_email", "row", "key", "tie", "bucket", "of", "last", "cut", "epochs", "rest", "size", "taken", "target"]
+    wide = docs.withColumns({name: F.concat(F.lit(name), F.col("doc_id").cast("string")) for name in names})
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, wide, str(tmp_path))
+        assert out.columns == wide.columns
+        rows = out.collect()
+        assert {r.doc_id for r in rows} <= {row[0] for row in corpus} and len(rows) > 40
+        assert all(r[name] == f"{name}{r.doc_id}" for r in rows for name in names)
+    assert corpus_pipeline.STAGES[-1][1](spark, wide, str(tmp_path)).count() >= len(corpus)
