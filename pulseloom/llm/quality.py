@@ -7,8 +7,11 @@ recent word. A tanh layer encodes it; ``softmax(w . (tanh(V h) * sigmoid(U h)))`
 weighs the passages, and a logistic unit scores their weighted mean. Only a few
 bad passages in a long document can therefore decide.
 
-The fit uses at most ``sample`` labelled documents of at most ``passages``
-passages in all (the ones with the smallest id hashes); scoring reads everything.
+The fit uses at most ``sample`` labelled documents of at most ``limit`` passages
+in all (the ones with the smallest id hashes; one that does not fit is passed
+over). A document of more than ``longest`` passages gives the fit that many, evenly
+spread over it, so at least ``limit / longest`` documents fit. Scoring reads every
+passage.
 """
 
 from __future__ import annotations
@@ -17,14 +20,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pulseloom.llm.samples import demand_both, fitting, one_row_each, spread
 from pulseloom.llm.words import Texts, slices, words
 from pulseloom.session import checkpointed
 
 PASSAGE = 48
-SAMPLE, PASSAGES = 4000, 40_000
+SAMPLE, PASSAGES, LONGEST = 4000, 40_000, 400
 HIDDEN, GATE, STEPS = 24, 12, 150
 
 # Classes of bytes: other, lower, upper, digit, blank, line end, sentence end, comma, dash and quote, bar, symbol, above ASCII.
@@ -140,36 +144,38 @@ def held_out(column: str = "doc_id", parts: int = 4):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % parts == 2
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, limit: int = PASSAGES) -> Attention | None:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, limit: int = PASSAGES, longest: int = LONGEST) -> Attention | None:
     """The model of ``labels`` (doc_id, quality 0 or 1), or None without labelled texts of both kinds.
 
     Labels that are null or anything else are not used; of contradicting labels
-    of a document the lower counts. Features are made by Spark; the driver gets
-    at most ``limit`` passages.
+    of a document the lower counts. A doc_id on several rows is one document, with
+    one of its texts. Features are made by Spark; the driver gets at most ``limit``
+    passages. If there are labelled texts of both kinds, but the sample has only
+    one, this raises ValueError.
     """
     usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).where(~held_out())
-    chosen = usable.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    usable = usable.groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    texts = one_row_each(docs, chosen, "quality")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch.column(1)):
                 x, owner = passages(part)
                 bounds = np.searchsorted(owner, np.arange(part.hi - part.lo + 1))
-                rows = [x[a:b].astype(np.float16).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                taken = [a + spread(b - a, longest) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                rows = [x[at].astype(np.float16).tobytes() for at in taken]
                 span = slice(part.lo, part.hi)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[span], batch.column(2)[span].cast(pa.int32()), pa.array(np.diff(bounds), pa.int64()), pa.array(rows, pa.binary())], names=["doc_id", "quality", "n", "x"]
+                    [batch.column(0)[span], batch.column(2)[span].cast(pa.int32()), pa.array([len(at) for at in taken], pa.int64()), pa.array(rows, pa.binary())], names=["doc_id", "quality", "n", "x"]
                 )
 
     made = checkpointed(texts.mapInArrow(run, "doc_id long, quality int, n long, x binary"))
-    # Documents in the order of their id hashes, as long as their passages fit: at most ``sample`` rows here.
-    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    fitting = made.select("doc_id", "n").withColumn("used", F.sum("n").over(order)).where(F.col("used") <= limit).select("doc_id").distinct()
-    rows = made.join(F.broadcast(fitting), "doc_id", "left_semi").select("doc_id", "quality", "x").toArrow()
+    rows = fitting(made, limit).select("doc_id", "quality", "x").toArrow()
     rows = rows.sort_by("doc_id")
     y = rows["quality"].to_numpy().astype(np.float32)
     if len(set(y)) < 2:
+        demand_both(docs, usable, "quality")
         return None
     parts = [np.frombuffer(v.as_buffer(), np.float16).reshape(-1, WIDTH) for c in rows["x"].chunks for v in c]
     x = np.concatenate(parts).astype(np.float32)

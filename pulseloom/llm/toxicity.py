@@ -9,7 +9,9 @@ toxic labels apart. The
 output is the probability of each grade and the expected severity.
 
 The fit reads at most ``sample`` labelled documents (those with the smallest id
-hashes) and gets at most ``limit`` word hashes of them; scoring reads everything.
+hashes) and gets at most ``limit`` word hashes of them; a document that does not
+fit is passed over. Of more than ``longest`` hashes of a document the fit gets that
+many, evenly spread over the hash values. Scoring reads everything.
 """
 
 from __future__ import annotations
@@ -18,13 +20,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pulseloom.llm.samples import demand_both, fitting, one_row_each, spread
 from pulseloom.llm.words import Texts, prefixes, slices, words
 from pulseloom.session import checkpointed
 
-SAMPLE, LIMIT = 8000, 12_000_000
+SAMPLE, LIMIT, LONGEST = 8000, 12_000_000, 120_000
 FEATURES = 1024
 GRADES = 3
 PREFIXES = (5, 6, 7)
@@ -98,16 +101,19 @@ def held_out():
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, limit: int = LIMIT) -> Ordinal | None:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, limit: int = LIMIT, longest: int = LONGEST) -> Ordinal | None:
     """The model of ``labels`` (doc_id, toxic 0 or 1), or None without labelled texts of both kinds.
 
     Labels that are null or anything else are not used; of contradicting labels
-    of a document toxic counts. Spark finds the words; the driver gets at most
-    ``limit`` hashes.
+    of a document toxic counts. A doc_id on several rows is one document, with one
+    of its texts. Spark finds the words; the driver gets at most ``limit`` hashes.
+    If there are labelled texts of both kinds, but the sample has only one, this
+    raises ValueError.
     """
     usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).where(~held_out())
-    chosen = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    usable = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    texts = one_row_each(docs, chosen, "toxic")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,6 +122,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, limit: int = L
                 order = np.argsort(doc, kind="stable")
                 bounds = np.searchsorted(doc[order], np.arange(part.hi - part.lo + 1))
                 rows = [np.unique(hashes[order[a:b]]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                rows = [h[spread(len(h), longest)] for h in rows]
                 span = slice(part.lo, part.hi)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -126,11 +133,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, limit: int = L
                 )
 
     made = checkpointed(texts.mapInArrow(run, "doc_id long, toxic int, n long, words binary"))
-    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    fitting = made.select("doc_id", "n").withColumn("used", F.sum("n").over(order)).where(F.col("used") <= limit).select("doc_id").distinct()
-    rows = made.join(F.broadcast(fitting), "doc_id", "left_semi").toArrow().sort_by("doc_id")
+    rows = fitting(made, limit).toArrow().sort_by("doc_id")
     toxic = rows["toxic"].to_numpy()
     if len(set(toxic)) < 2:
+        demand_both(docs, usable, "toxic")
         return None
     n = rows["n"].to_numpy()
     doc = np.repeat(np.arange(len(n)), n)

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pulseloom.llm import ppm, quality, tokens, toxicity
 
@@ -109,6 +110,42 @@ def test_toxicity_on_held_out_documents(spark, no_docs):
     assert toxicity.fit(no_docs, labels) is None and toxicity.grade(docs, None).where("toxic").count() == 0
 
 
+def with_first(spark, label, text, copies=1):
+    """The labelled documents and one more, the first in hash order, on ``copies`` rows."""
+    docs, labels = labelled(spark)
+    ids = spark.range(1000, 9000).withColumnRenamed("id", "doc_id").where(~quality.held_out())
+    first = ids.orderBy(F.xxhash64("doc_id")).first().doc_id
+    more = spark.createDataFrame([(first, f"{text} {i}", "x") for i in range(copies)], docs.schema)
+    return docs.union(more), labels.union(spark.createDataFrame([(first, *label)], labels.schema))
+
+
+def test_a_huge_labelled_document_does_not_end_the_sample(spark):
+    docs, labels = with_first(spark, (1, 0), " ".join(f"kori{i}" for i in range(30000)))
+    for model in (quality.fit(docs, labels, limit=500), quality.fit(docs, labels, limit=500, longest=1 << 20)):
+        got = quality.score(docs, model).join(labels.where("quality in (0, 1)"), "doc_id").where(quality.held_out()).collect()
+        assert len(got) > 30 and sum(r.predicted == r.quality for r in got) >= 0.95 * len(got)
+    assert toxicity.fit(docs, labels, limit=20_000, longest=1 << 20) is not None
+    assert toxicity.fit(docs, labels, limit=20_000, longest=1000) is not None
+
+
+def test_a_labelled_document_on_many_rows_counts_once(spark, monkeypatch):
+    docs, labels = with_first(spark, (1, 0), "ba kori mipe " * 300, copies=300)
+    held = []
+    monkeypatch.setattr(quality.Attention, "fit", lambda self, x, owner, y: held.append((len(x), len(y))))
+    quality.fit(docs, labels, limit=400)
+    assert held[0][0] <= 400 and held[0][1] > 100
+
+
+def test_a_sample_without_both_kinds_fails(spark):
+    docs, labels = labelled(spark)
+    with pytest.raises(ValueError, match="quality"):
+        quality.fit(docs, labels, limit=1)
+    with pytest.raises(ValueError, match="toxic"):
+        toxicity.fit(docs, labels, sample=1)
+    same = labels.where("quality = 1").unionByName(labels.where("quality = 1").withColumn("toxic", F.lit(5)))
+    assert quality.fit(docs, same) is None
+
+
 def test_thresholds_rise_and_grades_follow_the_score():
     grade = np.array([0] * 50 + [1] * 20 + [2] * 20)
     doc = np.concatenate([np.arange(50, 90), np.arange(70, 90)])
