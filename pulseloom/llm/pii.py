@@ -16,7 +16,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-NEAR = 48  # characters before a span in which context words count
+NEAR = 48  # characters before and after a span in which context words count
 BOOST, LEAST = 0.3, 0.5
 
 
@@ -90,7 +90,9 @@ def _spans(text: Column, rank: int, kind: Kind) -> Column:
     def place(done, pair):
         start = (done["at"] + pair["gap"]).cast("int")
         end = (start + F.length(pair["hit"])).cast("int")
-        near = F.lower(F.substring(text, F.greatest(start - NEAR, F.lit(0)) + 1, F.least(start, F.lit(NEAR))))
+        before = F.substring(text, F.greatest(start - NEAR, F.lit(0)) + 1, F.least(start, F.lit(NEAR)))
+        # The line end stands for the span: no context word reaches over it.
+        near = F.lower(F.concat(before, F.lit("\n"), F.substring(text, end + 1, F.lit(NEAR))))
         score = F.lit(kind.score) + F.when(near.rlike(rf"\b(?:{kind.context})\b"), BOOST).otherwise(0.0)
         sure = F.lit(True) if kind.name in BASE else score >= LEAST
         span = F.array(F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind.name).alias("kind"), F.least(score, F.lit(1.0)).alias("score")))

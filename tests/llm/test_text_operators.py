@@ -41,6 +41,14 @@ def test_base_spans_equal_plain_patterns(spark):
     assert "Python" not in found._jdf.queryExecution().toString()
 
 
+def test_context_words_after_a_span_count(spark):
+    texts = ["123-45-6789 (SSN)", "555-123-4567 is my mobile", "555-123-4567" + " x" * 30 + " phone", "social 123-45-6789 security", "555-123-4567 \U0001f600 phone 123-45-6789"]
+    found = pii.find_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    got = [r.spans for r in found.orderBy("doc_id").select(pii.digest(F.col("spans")).alias("spans")).collect()]
+    assert got == ["ssn:0:11", "local_phone:0:12", "", "", "local_phone:0:12"]
+    assert pii.mask_personal_data(found.drop("spans")).orderBy("doc_id").first().text == "[SSN] (SSN)"
+
+
 def test_masking_keeps_rows_and_columns(spark):
     rows = [(1, "mail a@b.cc or +1 (988) 555-2485!", 0), (2, None, None), (3, "4111111111111111@a.b", 0)]
     got = pii.mask_personal_data(spark.createDataFrame(rows, "doc_id long, text string, n_chars long"))
