@@ -16,11 +16,14 @@ documents are linked if ``100 * |A & B| >= percent * |A | B|``.
    one task for two blocks: pairs that sizes and signatures allow are verified
    there on the full sets, and only links are written. So no link is lost.
 
-With 20 bands of 4 a pair at Jaccard 0.85 is missed with probability 4e-7.
+Bands of 4 are as many as it takes to miss a pair at the threshold with probability
+of at most MISSED: 20 at Jaccard 0.85, 28 at 0.80. Signatures of a pair that shares
+a band rule it out in step 4 with probability of at most DOUBTED.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,11 +38,29 @@ from pulseloom.session import broadcast_if_small, checkpointed
 BANDS, ROWS = 20, 4
 MEMBERS = 256  # documents verified against one leader in one group
 BLOCK = 1024  # documents of an unresolved bucket compared at a time
-DOUBT = 0.18  # how far below the threshold an estimate may lie and still be verified: 4.5 standard deviations at 0.85
+MISSED = 4e-7  # most probable loss of a pair at the threshold: no band in common
+DOUBTED = 4e-8  # the same: a signature estimate too low to be verified
 
 _STEPS = np.random.default_rng(7).integers(1, 1 << 63, 8, dtype=np.uint64) | np.uint64(1)
 
 
+def bands_for(percent: int, rows: int = ROWS) -> int:
+    """Bands that miss a pair at the threshold with probability of at most MISSED; BANDS at least."""
+    apart = 1 - (percent / 100) ** rows
+    return BANDS if apart <= 0 else max(BANDS, math.ceil(math.log(MISSED) / math.log(apart)))
+
+
+def least_matches(percent: int, size: int) -> int:
+    """Equal coordinates of ``size`` that a pair at the threshold falls short of with probability of at most DOUBTED."""
+    p, below = min(percent / 100, 1 - 1e-12), 0.0
+    for m in range(size + 1):
+        choose = math.lgamma(size + 1) - math.lgamma(m + 1) - math.lgamma(size - m + 1)
+        below += math.exp(choose + m * math.log(p) + (size - m) * math.log1p(-p))
+        if below > DOUBTED:
+            return m
+    return size
+
+
 def shingle_sets(texts: Texts, width: int) -> Iterator[np.ndarray]:
     """For each text its sorted distinct shingle hashes."""
     found = words(texts)
@@ -153,14 +174,14 @@ def verify(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long, common long, total long")
 
 
-def _links_in_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _links_in_blocks(members: DataFrame, sets: DataFrame, percent: int, coordinates: int) -> DataFrame:
     """Links (a, b) between different components of one bucket, found block by block.
 
     A task holds two blocks of one bucket. It verifies, on the full sets, the
     pairs whose sizes and signatures allow a link, each pair in the first band
     where both meet, and returns only links.
     """
-    least = percent / 100 - DOUBT
+    least = least_matches(percent, coordinates)
     by_bucket = members.groupBy("band", "key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     own = members.join(by_bucket, ["band", "key"]).withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(3)), "blocks").cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
@@ -181,7 +202,7 @@ def _links_in_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataF
             if band and fits.any():
                 fits &= ~(bands == np.array(own_bands[:band])).any(axis=1)
             at = np.flatnonzero(fits)
-            at = at[(brief[at] == np.frombuffer(own_brief, np.uint8)).mean(axis=1) >= least] if len(at) else at
+            at = at[(brief[at] == np.frombuffer(own_brief, np.uint8)).sum(axis=1) >= least] if len(at) else at
             for x in at:
                 if i == j and right[x][1] < doc:
                     continue
@@ -212,7 +233,7 @@ def _links_in_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataF
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int | None = None, rows: int = ROWS) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
     ``component_id`` is the smallest doc_id that can be reached over links, itself
@@ -220,8 +241,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     shingles and stay alone. Rows whose doc_id is null are returned with a null
     component and kept. A doc_id on several rows: the rows count as one document
     that is linked with whatever any of its texts is linked with. An empty table
-    gives an empty result. Other columns are not read.
+    gives an empty result. Other columns are not read. ``bands`` is :func:`bands_for`
+    of ``percent`` if not given.
     """
+    bands = bands or bands_for(percent, rows)
     known = docs.where(F.col("doc_id").isNotNull())
     seen = checkpointed(sketches(known, width, bands, rows))
     full = seen.where("n_shingles > 0")
@@ -240,7 +263,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     led = checkpointed(verify(sets, checkpointed(pairs)).where(linked).select("a", "b"))
     members = _open_members(buckets, components(led))
     still = members.join(heads.select("doc_id", "bands", "brief"), "doc_id")
-    rest = _links_in_blocks(still, sets, percent)
+    rest = _links_in_blocks(still, sets, percent, bands * rows)
     whole = components(led.unionByName(rest).unionByName(copies))
     out = seen.select("doc_id", "n_shingles").join(whole, "doc_id", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

@@ -1,3 +1,4 @@
+import math
 import re
 
 import pyarrow as pa
@@ -40,6 +41,14 @@ def test_components_equal_brute_force(docs, corpus, monkeypatch, width, percent,
     assert got == brute_force([(r[0], r[1]) for r in corpus], width, percent)
 
 
+def test_pairs_at_the_threshold_are_hardly_ever_lost():
+    for percent, bands in ((85, 20), (80, 28), (100, 20)):
+        p, size = percent / 100, bands * minhash.ROWS
+        assert minhash.bands_for(percent) == bands and (1 - p**minhash.ROWS) ** bands <= 4e-7
+        least = minhash.least_matches(percent, size)
+        assert sum(math.comb(size, m) * p**m * (1 - p) ** (size - m) for m in range(least)) <= 4e-8
+
+
 def test_empty_null_and_repeated_ids(spark, no_docs):
     assert minhash.near_duplicates(no_docs).count() == 0
     rows = [(1, "a b c d e f"), (1, "u v w x y z"), (2, "u v w x y z"), (None, "a b c d e f"), (3, None)]
