@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulseloom.llm.components import components
@@ -280,14 +280,20 @@ def _open_members(buckets: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each group of near duplicates, the one with the smallest doc_id.
+    """``docs`` with one document of each group of near duplicates, the one with the smallest doc_id (null ids last).
 
-    Rows that repeat a kept doc_id come down to one, the row with the smallest text.
+    Every row is a document of its own, under a key of its id and text: rows that
+    repeat an id with other texts all stay, unless these are near duplicates. Rows
+    of equal id and text come down to one. Texts without words stay, once for each id.
     """
-    marks = near_duplicates(docs, width, percent).where("kept").select("doc_id").distinct()
-    kept = docs.join(marks.where("doc_id is not null"), "doc_id", "left_semi")
-    repeated = kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("doc_id")
-    single = kept.join(repeated, "doc_id", "left_anti")
-    order = Window.partitionBy("doc_id").orderBy("text", "lang", "source", "n_chars")
-    several = kept.join(repeated, "doc_id", "left_semi").withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
-    return single.unionByName(several).unionByName(docs.where("doc_id is null"))
+    # The row travels as one struct, so no name of its columns can clash with those used here.
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.struct(*docs.columns).alias("row"))
+    repeated = broadcast_if_small(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), materialize=True)
+    order = F.struct(*[F.col("row")[c] for c in ("lang", "source", "n_chars")])
+    several = keyed.join(repeated, "key", "left_semi").groupBy("key", F.col("row.doc_id"), F.col("row.text")).agg(F.min_by("row", order).alias("row"))
+    rows = keyed.join(repeated, "key", "left_anti").unionByName(several.select("key", "row"))
+    found = near_duplicates(rows.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text")), width, percent)
+    groups = found.select(F.col("doc_id").alias("key"), "component_id").distinct()
+    named = rows.select("key", F.col("row.doc_id").alias("doc_id")).join(groups, "key")
+    first = named.groupBy("component_id").agg(F.min_by("key", F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("key"))
+    return rows.join(first.select("key"), "key", "left_semi").select("row.*")

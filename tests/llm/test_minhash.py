@@ -61,6 +61,14 @@ def test_one_document_of_each_group_stays(docs, corpus):
     assert kept == {i for i, v in brute_force([(r[0], r[1]) for r in corpus], 5, 80).items() if v[2]}
 
 
+def test_only_near_equal_texts_of_an_id_fold(spark):
+    long = "a b c d e f g h"
+    rows = [(1, None), (1, long), (2, "u v w x y z"), (2, "m n o p q r"), (3, long), (None, "k k l l m m"), (None, "k k l l m m"), (None, "u v w x y z"), (4, "s t"), (4, "s t")]
+    docs = spark.createDataFrame([(*row, "l", "s", 0) for row in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in minhash.drop_near_duplicates(docs).collect()]
+    assert sorted(got, key=str) == sorted([(1, None), (1, long), (2, "u v w x y z"), (2, "m n o p q r"), (None, "k k l l m m"), (4, "s t")], key=str)
+
+
 def test_a_chain_is_one_component(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     got = {r.doc_id: r.component for r in components(links).collect()}
