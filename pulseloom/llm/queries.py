@@ -1,4 +1,4 @@
-"""The named queries of the ten operators and of the pipeline, with SQL twins where SQL can say the same."""
+"""The named queries of the thirteen operators and of the pipeline, with SQL twins where SQL can say the same."""
 
 from __future__ import annotations
 
@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pulseloom.llm import minhash, mixing, mtree, onebit, packing, pii, ppm, quality, tokens, toxicity
-from pulseloom.llm.sql import INNER_PRODUCT_SQL, MINHASH_SQL, MIXING_SQL, PII_SQL
+from pulseloom.llm import gnat, minhash, mixing, mtree, onebit, packing, pii, ppm, quality, tokens, toxicity
+from pulseloom.llm.sql import CODES_SQL, INNER_PRODUCT_SQL, MINHASH_SQL, MIXING_SQL, PII_SQL
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,10 @@ def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
 
 
+def gnat_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gnat.compress(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mtree_top_k": mtree_top_k,
@@ -75,6 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_personal_data": personal_data,
         "op9_ppm_scores": ppm_scores,
         "op10_quality_classifier": quality_scores,
+        "op13_gnat_codes": gnat_codes,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -85,4 +90,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_minhash_near_duplicates": MINHASH_SQL,
         "op5_mix_sources": MIXING_SQL,
         "op8_personal_data": PII_SQL,
+        "op13_gnat_codes": CODES_SQL,
     }

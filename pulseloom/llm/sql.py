@@ -102,3 +102,40 @@ select d.doc_id, coalesce(n_email, 0)::bigint as n_email, coalesce(n_ip, 0)::big
   coalesce(n_phone, 0)::bigint as n_phone, sha256(coalesce(spans, '')) as base_sha256, coalesce(spans, '') as spans
 from d left join g on g.doc_id = d.doc_id
 """
+
+
+def _codes_sql(rounds: int) -> str:
+    """Product codes: the assignment to every round's codebooks, written out."""
+    parts = [
+        """
+with k as materialized (
+  select vec_id, label, list_transform(embedding, lambda x: floor(4096.0::double * x::double)::bigint) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+p as materialized (select vec_id, label, m, v[m * (len(v) // 8) + 1:(m + 1) * (len(v) // 8)] as q from k, unnest(range(0, 8)) as t(m)),
+b0 as materialized (
+  select m, (row_number() over (partition by m order by vec_id)) - 1 as e, q from p
+  qualify row_number() over (partition by m order by vec_id) <= 16)"""
+    ]
+    for r in range(rounds + 1):
+        parts.append(f"""
+a{r} as materialized (
+  select vec_id, label, m, q, arg_min(e, s * 16 + e) as e, min(s) as s
+  from (select p.*, b.e, list_sum(list_transform(range(1, len(p.q) + 1), lambda i: (p.q[i] - b.q[i]) * (p.q[i] - b.q[i])))::bigint as s from p join b{r} b on b.m = p.m)
+  group by vec_id, label, m, q)""")
+        if r < rounds:
+            parts.append(f"""
+s{r} as materialized (
+  select m, e, list(x order by i) as q
+  from (select m, e, i, ((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*))::bigint as x
+    from (select m, e, unnest(q) as x, unnest(range(1, len(q) + 1)) as i from a{r}) group by m, e, i)
+  group by m, e),
+b{r + 1} as materialized (select b.m, b.e, coalesce(s.q, b.q) as q from b{r} b left join s{r} s on s.m = b.m and s.e = b.e)""")
+    return ",".join(parts) + f"""
+select vec_id, string_agg(printf('%02x', e), '' order by m) as code, sum(s)::bigint as error,
+  (sum(sum(s)) over (partition by label))::bigint as label_error,
+  (select sha256(string_agg(x::varchar, ',' order by m, e, i)) from (select m, e, unnest(q) as x, unnest(range(1, len(q) + 1)) as i from b{rounds})) as codebooks_sha256
+from a{rounds} group by vec_id, label
+"""
+
+
+CODES_SQL = _codes_sql(6)
