@@ -46,13 +46,16 @@ select k.doc_id, k.size::bigint as size, e.source_size, e.target,
 from k join e on k.source is not distinct from e.source
 """
 
-MINHASH_SQL = """
+
+def _near_sql(width: int, percent: int, columns: str) -> str:
+    """Components of documents whose sets of ``width``-word shingles have a Jaccard similarity of ``percent`` or more."""
+    return f"""
 with recursive w as (
   select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as words
   from documents),
 s as (
-  select distinct doc_id, case when len(words) < 3 then array_to_string(words, ' ') else array_to_string(words[i:i + 2], ' ') end as shingle
-  from (select doc_id, words, unnest(range(1, greatest(len(words) - 1, 2))) as i from w where len(words) > 0)),
+  select distinct doc_id, case when len(words) < {width} then array_to_string(words, ' ') else array_to_string(words[i:i + {width - 1}], ' ') end as shingle
+  from (select doc_id, words, unnest(range(1, greatest(len(words) - {width - 2}, 2))) as i from w where len(words) > 0)),
 n as (select doc_id, count(*) as n from s group by doc_id),
 rare as (select shingle from s group by shingle having count(*) > 1),
 p as (
@@ -61,16 +64,20 @@ p as (
   group by a.doc_id, b.doc_id),
 l as (
   select p.a, p.b from p join n x on x.doc_id = p.a join n y on y.doc_id = p.b
-  where 100 * p.common >= 85 * (x.n + y.n - p.common)),
+  where 100 * p.common >= {percent} * (x.n + y.n - p.common)),
 e as (select a, b from l union all select b, a from l),
 reach(doc_id, root) as (
   select doc_id, doc_id from documents union select e.b, reach.root from reach join e on e.a = reach.doc_id and e.b > reach.root)
-select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, m.component_id, d.doc_id = m.component_id as kept
+select {columns}
 from documents d join (select doc_id, min(root) as component_id from reach group by doc_id) m on m.doc_id = d.doc_id
 left join n on n.doc_id = d.doc_id
 """
 
 
+MINHASH_SQL = _near_sql(3, 85, "d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, m.component_id, d.doc_id = m.component_id as kept")
+NGRAM_SQL = _near_sql(4, 85, "d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, m.component_id")
+
+
 def _kind(name: str, pattern: str, rank: int, holds: str) -> str:
     return f"""
 {name} as (

@@ -53,6 +53,21 @@ def slices(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[Texts]:
         lo = hi
 
 
+def pieces(data: np.ndarray, gap: np.ndarray = SPACE, size: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Bounds of pieces of about ``size`` bytes of one text, cut before bytes of ``gap``; between two such bytes nothing is cut."""
+    start = 0
+    while start < len(data):
+        end = min(len(data), start + size)
+        while end < len(data):
+            held = np.flatnonzero(gap[data[end : end + size]])
+            if len(held):
+                end += int(held[0])
+                break
+            end = min(len(data), end + size)
+        yield start, end
+        start = end
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
     x = x ^ (x >> np.uint64(30))
@@ -128,3 +143,28 @@ def word_hash(word: bytes) -> int:
     """The hash :func:`words` gives to one word."""
     text = pa.array([word], pa.large_binary())
     return int(words(next(slices(text))).hash[0])
+
+
+def _long_word(data: np.ndarray, size: int) -> int:
+    """The hash of one word, taken from parts of ``size`` bytes."""
+    total = 0
+    for at in range(0, len(data), size):
+        part = _LETTERS[LOWER[data[at : at + size]]]
+        total += int((part * _power("up", _BASE, len(part))).sum(dtype=np.uint64)) * pow(_BASE, at, 1 << 64)
+    return int(mix(np.array([(total + len(data)) % (1 << 64)], np.uint64))[0])
+
+
+def word_hashes(data: np.ndarray, size: int = SLICE_BYTES) -> np.ndarray:
+    """Hashes of the words of one text in order, as :func:`words` gives them, in memory of a few bytes for each byte of text.
+
+    A long text is met in pieces; so is a word longer than a piece.
+    """
+    out = [np.zeros(0, np.uint64)]
+    for a, b in pieces(data, size=size):
+        if b - a > 2 * size:  # a word that begins in the first ``size`` bytes fills the rest
+            blanks = np.flatnonzero(SPACE[data[a : a + size]])
+            word = a + int(blanks[-1]) + 1 if len(blanks) else a
+            out += [words(Texts(0, 1, data[a:word], np.array([0, word - a]))).hash, np.array([_long_word(data[word:b], size)], np.uint64)]
+        else:
+            out.append(words(Texts(0, 1, data[a:b], np.array([0, b - a]))).hash)
+    return np.concatenate(out)
