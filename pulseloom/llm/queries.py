@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pulseloom.llm import gnat, minhash, mixing, mtree, ngram_join, onebit, packing, pii, ppm, quality, tokens, toxicity
-from pulseloom.llm.sql import CODES_SQL, INNER_PRODUCT_SQL, MINHASH_SQL, MIXING_SQL, NGRAM_SQL, PII_SQL
+from pulseloom.llm import divergence, gnat, minhash, mixing, mtree, ngram_join, onebit, packing, pii, ppm, quality, tokens, toxicity
+from pulseloom.llm.sql import CODES_SQL, DIVERGENCE_SQL, INNER_PRODUCT_SQL, MINHASH_SQL, MIXING_SQL, NGRAM_SQL, PII_SQL
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,10 @@ def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
 
 
+def source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
 def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_join(_table(spark, sf_dir, "documents"), width=4, percent=85)
 
@@ -83,6 +87,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_personal_data": personal_data,
         "op9_ppm_scores": ppm_scores,
         "op10_quality_classifier": quality_scores,
+        "op11_source_divergence": source_divergence,
         "op12_ngram_join": ngram_jaccard_join,
         "op13_gnat_codes": gnat_codes,
         "pipeline": corpus_pipeline.run,
@@ -95,6 +100,7 @@ def oracle_sql() -> dict[str, str]:
         "op2_minhash_near_duplicates": MINHASH_SQL,
         "op5_mix_sources": MIXING_SQL,
         "op8_personal_data": PII_SQL,
+        "op11_source_divergence": DIVERGENCE_SQL,
         "op12_ngram_join": NGRAM_SQL,
         "op13_gnat_codes": CODES_SQL,
     }

@@ -78,6 +78,37 @@ MINHASH_SQL = _near_sql(3, 85, "d.doc_id, coalesce(n.n, 0)::bigint as n_shingles
 NGRAM_SQL = _near_sql(4, 85, "d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, m.component_id")
 
 
+DIVERGENCE_SQL = """
+with d as (
+  select row_number() over () as id, coalesce(lang, '') as lang, coalesce(source, '') as source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t
+  from documents),
+w as (select id, lang, source, unnest(regexp_extract_all(t, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as term from d),
+c as materialized (select lang, source, term, count(*) as c, count(distinct id) as docs from w group by lang, source, term),
+k as materialized (select lang, term, sum(c) as c from c group by lang, term having sum(docs) >= 10),
+l as (select lang, count(*) as v, sum(c) as n from k group by lang),
+g as materialized (
+  select d.lang, d.source, coalesce(any_value(l.v), 0) as v, coalesce(any_value(l.n), 0) as n_lang, coalesce(any_value(s.n), 0) as n
+  from (select distinct lang, source from d) d left join l on l.lang = d.lang
+  left join (select c.lang, c.source, sum(c.c) as n from c semi join k on k.lang = c.lang and k.term = c.term group by c.lang, c.source) s on s.lang = d.lang and s.source = d.source
+  group by d.lang, d.source),
+p as materialized (
+  select g.lang, g.source, k.term, coalesce(c.c, 0) as c, (1 + (1000000000::hugeint * (coalesce(c.c, 0) + 2)) // (g.n + 2 * g.v))::bigint as p,
+    (1 + (1000000000::hugeint * (k.c + 2)) // (g.n_lang + 2 * g.v))::bigint as q
+  from g join k on k.lang = g.lang left join c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+f as (
+  select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) as value
+  from p a join p b on b.lang = a.lang and b.term = a.term and b.source <> a.source group by a.lang, a.source, b.source),
+r as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(f.value, 0)::bigint as value
+  from g a join g b on b.lang = a.lang and b.source <> a.source left join f on f.lang = a.lang and f.source = a.source and f.item = b.source
+  union all
+  select lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::bigint from p where c > 0 and p > q)
+select * from (select *, (row_number() over (partition by lang, source, part order by value desc, item))::int as rank from r)
+where part = 'pair' or rank <= 10
+"""
+
+
 def _kind(name: str, pattern: str, rank: int, holds: str) -> str:
     return f"""
 {name} as (
