@@ -14,6 +14,8 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,11 +57,12 @@ def best_fit(sizes: list[int], sources: list[int], clusters: list[int], capacity
     return bins, offsets
 
 
-def _bits(values) -> list[int]:
-    """Small numbers for values that occur more than once; -1 for the others, which can meet nothing."""
-    counts = values.value_counts()
-    number = {v: i for i, v in enumerate(counts.index[counts > 1])}
-    return [number.get(v, -1) for v in values]
+def _bits(values: pa.ChunkedArray) -> list[int]:
+    """Small numbers for values that occur more than once; -1 for null and for the others, which can meet nothing."""
+    counts = pc.value_counts(values.drop_null())
+    often = [v["values"] for v in counts.to_pylist() if v["counts"] > 1]
+    number = {v: i for i, v in enumerate(often)}
+    return [number.get(v, -1) for v in values.to_pylist()]
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, cluster: str | None = None, separate_sources: bool = True) -> DataFrame:
@@ -84,17 +87,16 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, cluster: str | None = None,
     shards = max(1, -(-rows // SHARD))
     sharded = held.where("tokens > 0").withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "tie"), F.lit(shards)).cast("long"))
 
-    def run(frame):
-        frame = frame.sort_values(["tokens", "doc_id", "piece", "tie"], ascending=[False, True, True, True], kind="stable", na_position="last")
-        sources = _bits(frame["source"]) if separate_sources else [-1] * len(frame)
-        bins, offsets = best_fit(frame["tokens"].tolist(), sources, _bits(frame["cluster"]), capacity)
-        shard = int(frame["shard"].iloc[0])
-        frame = frame[["doc_id", "piece", "start", "tokens"]].copy()
-        frame["bin_id"] = [(shard << 20) + b for b in bins]
-        frame["bin_offset"] = offsets
-        return frame
+    def run(rows: pa.Table) -> pa.Table:
+        order = [("tokens", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("tie", "ascending")]
+        rows = rows.take(pc.sort_indices(rows, sort_keys=order, null_placement="at_end"))
+        sources = _bits(rows["source"]) if separate_sources else [-1] * rows.num_rows
+        bins, offsets = best_fit(rows["tokens"].to_pylist(), sources, _bits(rows["cluster"]), capacity)
+        shard = rows["shard"][0].as_py()
+        placed = rows.select(["doc_id", "piece", "start", "tokens"]).append_column("bin_id", pa.array([(shard << 20) + b for b in bins], pa.int64()))
+        return placed.append_column("bin_offset", pa.array(offsets, pa.int64()))
 
     schema = "doc_id long, piece int, start long, tokens long, bin_id long, bin_offset long"
-    packed = sharded.groupBy("shard").applyInPandas(run, schema)
+    packed = sharded.groupBy("shard").applyInArrow(run, schema)
     empty = held.where("tokens <= 0").select("doc_id", "piece", "start", F.lit(0).cast("long").alias("tokens"), F.lit(None).cast("long").alias("bin_id"), F.lit(None).cast("long").alias("bin_offset"))
     return packed.unionByName(empty)

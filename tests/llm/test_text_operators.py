@@ -124,6 +124,15 @@ def test_packing_is_best_fit_without_conflicts(docs, corpus, no_docs):
         assert len({source[r.doc_id] for r in own}) == len(own) == len({text[r.doc_id] for r in own})
 
 
+def test_packing_keeps_ids_beside_null_ids(spark):
+    big = 2**60
+    rows = [(big + 1, "a b c", "x", 1), (None, "d e f", "y", None), (big + 2, "g h", "x", 2**62 + 1), (None, "i", None, 2**62 + 2), (big + 3, None, "x", 2**62 + 1)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, group long")
+    for cluster in (None, "group"):
+        got = packing.pack(frame, capacity=8, cluster=cluster).collect()
+        assert sorted((r.doc_id or 0, r.tokens) for r in got) == [(0, 1), (0, 3), (big + 1, 3), (big + 2, 2), (big + 3, 0)]
+
+
 def test_best_fit_equals_a_full_search():
     import random
 
