@@ -13,13 +13,14 @@ Scores of leaves are exact integers.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame
 
-from pulseloom.llm.vectors import best, search, usable
+from pulseloom.llm.vectors import best, scale_of, search, usable
 
 PAGE, FAN = 384, 24
 SLACK = 1e-9
@@ -54,7 +55,7 @@ def build(points: np.ndarray, rows: np.ndarray, parent: np.ndarray | None, rng:
     return Page(pivots, above, radius, children, None)
 
 
-def _nearest(root: Page, top: float, exact: np.ndarray, ids: np.ndarray, own_id: int, q: np.ndarray, q_exact: np.ndarray, k: int) -> tuple[list, list]:
+def _nearest(root: Page, top: float, exact: np.ndarray, ids: np.ndarray, own_id: int, q: np.ndarray, q_exact: np.ndarray, k: int, unit: int = 1) -> tuple[list, list]:
     size = float(q @ q) + top
     wide = np.append(q, 0.0)
     found: list[tuple] = []  # heap of (score, -id), the worst first
@@ -65,7 +66,7 @@ def _nearest(root: Page, top: float, exact: np.ndarray, ids: np.ndarray, own_id:
         """The largest distance that can still matter."""
         if len(found) < k:
             return np.inf
-        return np.sqrt(max(0.0, size - 2 * float(found[0][0])) + SLACK * size) * (1 + SLACK)
+        return np.sqrt(max(0.0, size - 2 * float(found[0][0] / unit)) + SLACK * size) * (1 + SLACK)
 
     while pages:
         least, _, to_q, page = heapq.heappop(pages)
@@ -96,22 +97,31 @@ def _nearest(root: Page, top: float, exact: np.ndarray, ids: np.ndarray, own_id:
     return [-x[1] for x in found], [x[0] for x in found]
 
 
+def _whole(block: np.ndarray) -> np.ndarray:
+    """``floor(256 x)`` in Python's own integers."""
+    exact = lambda x: int(x) * 256 if abs(x) >= 2.0**53 else math.floor(x * 256)
+    return np.array([exact(x) for x in block.ravel().tolist()], dtype=object).reshape(block.shape)
+
+
 def _in_block(k: int):
     def find(ids: np.ndarray, block: np.ndarray, query_ids: np.ndarray, queries: np.ndarray) -> Iterator[tuple]:
-        block, queries = np.floor(block * 256.0), np.floor(queries * 256.0)
-        most = max(np.abs(block).max(initial=0), np.abs(queries).max(initial=0))
+        # Geometry in doubles, divided by a power of two where squares would leave their range.
+        power = scale_of(block, queries)
+        shrink = lambda x: np.floor(x * 256.0) if not power else np.ldexp(x, 8 - power)
+        near, asked = shrink(block), shrink(queries)
+        most = max(np.abs(near).max(initial=0), np.abs(asked).max(initial=0))
         # Sums below 2^53 are exact in doubles; beyond them Python's own integers take over.
-        small = most * most * max(1, block.shape[1]) < 2.0**53
-        as_int = (lambda x: x) if small else lambda x: np.array([[int(v) for v in row] for row in x], dtype=object).reshape(x.shape)
-        exact, asked = as_int(block), as_int(queries)
-        norms = (block**2).sum(axis=1)
+        small = not power and most * most * max(1, block.shape[1]) < 2.0**53
+        exact, asked_exact = (near, asked) if small else (_whole(block), _whole(queries))
+        unit = 1 << (2 * power)
+        norms = (near**2).sum(axis=1)
         top = float(norms.max())
-        points = np.concatenate([block, np.sqrt(np.maximum(0.0, top - norms))[:, None]], axis=1)
+        points = np.concatenate([near, np.sqrt(np.maximum(0.0, top - norms))[:, None]], axis=1)
         root = build(points, np.arange(len(ids)), None, np.random.default_rng(5))
-        for own, q, q_exact in zip(query_ids, queries, asked, strict=True):
-            near, scores = _nearest(root, top, exact, ids, int(own), q, q_exact, k)
+        for own, q, q_exact in zip(query_ids, asked, asked_exact, strict=True):
+            found, scores = _nearest(root, top, exact, ids, int(own), q, q_exact, k, unit)
             scores = [max(-(2**63), min(2**63 - 1, int(s))) for s in scores]
-            yield int(own), np.array(near, np.int64), np.array(scores, np.int64)
+            yield int(own), np.array(found, np.int64), np.array(scores, np.int64)
 
     return find
 

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 
-from pulseloom.llm.vectors import best, search, usable
+from pulseloom.llm.vectors import best, scale_of, search, usable
 
 EPS = 2.5
 BATCH = 128
@@ -50,18 +50,31 @@ class Codes:
         return guess, np.linalg.norm(queries, axis=1)[:, None] * spread + 1e-6 * (1 + np.abs(guess))
 
 
+def _products(rows: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products, row by row; where a term or a sum leaves the doubles on the way, of the scaled vectors."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        exact = (rows * q).sum(axis=1)
+        odd = ~np.isfinite(exact)
+        if odd.any():
+            power = scale_of(rows, q)
+            exact[odd] = np.ldexp((np.ldexp(rows[odd], -power) * np.ldexp(q, -power)).sum(axis=1), 2 * power)
+    return exact
+
+
 def _in_block(k: int):
     def find(ids: np.ndarray, block: np.ndarray, query_ids: np.ndarray, queries: np.ndarray) -> Iterator[tuple]:
-        codes = Codes(block)
+        # Codes and estimates in units in which squares stay in range; scores come from the vectors as they are.
+        power = scale_of(block, queries)
+        codes = Codes(np.ldexp(block, -power))
         for lo in range(0, len(queries), BATCH):
-            guess, error = codes.estimate(queries[lo : lo + BATCH])
+            guess, error = codes.estimate(np.ldexp(queries[lo : lo + BATCH], -power))
             for own, q, g, e in zip(query_ids[lo : lo + BATCH], queries[lo : lo + BATCH], guess, error, strict=True):
                 other = ids != own
                 low = np.where(other, g - e, -np.inf)
                 least = np.partition(low, len(low) - k)[len(low) - k] if len(low) > k else -np.inf
                 some = np.flatnonzero((g + e >= least) & other)
                 # Row by row, so that equal vectors get equal sums wherever they lie.
-                exact = (block[some] * q).sum(axis=1)
+                exact = _products(block[some], q)
                 top = best(ids[some], exact, k)
                 yield int(own), ids[some[top]], exact[top]
 
@@ -74,6 +87,6 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     Queries are the vectors whose vec_id is divisible by ``every``; candidates all
     others. Null ids, null or zero vectors, null or non-finite components take no
     part; repeated ids count once (smallest vector); vectors of other lengths are
-    not compared. Scores are exact. Empty tables give no rows.
+    not compared. Scores are exact; those beyond the doubles are infinite. Empty tables give no rows.
     """
     return search(usable(vectors, nonzero=True), every, k, "double", _in_block(k))

@@ -71,6 +71,12 @@ def search(vectors: DataFrame, every: int, k: int, score: str, find: Search) ->
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def scale_of(*blocks: np.ndarray) -> int:
+    """The power of two to divide by before squares are taken: 0 unless squares or sums of them could leave the doubles."""
+    most = max(float(np.abs(b).max(initial=0)) for b in blocks)
+    return 0 if most < 2.0**400 else int(np.frexp(most)[1])
+
+
 def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     """Places of the k highest scores, ties to the smaller id."""
     if len(ids) > 4 * k:

@@ -1,3 +1,6 @@
+import math
+from fractions import Fraction
+
 import numpy as np
 import pytest
 
@@ -60,6 +63,32 @@ def test_huge_components_stay_exact(spark):
     assert [(r.vec_id, r.score) for r in got] == [(1, 2**63 - 1), (2, 768000000000 * 2560000 + 256 * 1280)]
 
 
+@pytest.mark.parametrize("huge", [1e160, 1e307, -1.7e308])
+def test_one_huge_component_loses_nothing(spark, huge):
+    r = np.random.default_rng(9)
+    rows = [(i, r.normal(size=8).tolist()) for i in range(300)]
+    rows[70][1][3] = huge
+    rows[100][1][3] = huge / 3
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = {i: [int(x) * 256 if abs(x) >= 2**53 else math.floor(x * 256) for x in v] for i, v in rows}
+    got = {}
+    for row in mtree.top_inner_products(frame).orderBy("query_id", "rank").collect():
+        got.setdefault(row.query_id, []).append((row.vec_id, row.score))
+    for q in range(0, 300, 50):
+        best = sorted((-sum(a * b for a, b in zip(whole[q], w, strict=True)), i) for i, w in whole.items() if i != q)[:5]
+        assert got[q] == [(i, max(-(2**63), min(2**63 - 1, -s))) for s, i in best]
+    found = {}
+    for row in onebit.nearest(frame).orderBy("query_id", "rank").collect():
+        found.setdefault(row.query_id, []).append((row.vec_id, row.score))
+    hits = 0
+    for q in range(0, 300, 20):
+        product = {i: sum(Fraction(a) * Fraction(b) for a, b in zip(rows[q][1], v, strict=True)) for i, v in rows if i != q}
+        assert len(found[q]) == 20
+        hits += len({i for i, _ in found[q]} & set(sorted(product, key=lambda i: (-product[i], i))[:20]))
+        assert not any(math.isnan(s) for _, s in found[q])
+    assert hits >= 0.9 * 20 * 15
+
+
 def test_one_bit_codes_find_the_nearest(spark, rows, monkeypatch):
     monkeypatch.setattr(vectors, "BLOCK", 300)
     got = {}
