@@ -7,9 +7,10 @@ recent word. A tanh layer encodes it; ``softmax(w . (tanh(V h) * sigmoid(U h)))`
 weighs the passages, and a logistic unit scores their weighted mean. Only a few
 bad passages in a long document can therefore decide.
 
-The fit uses at most ``sample`` labelled documents of at most ``limit`` passages
-in all (the ones with the smallest id hashes; one that does not fit is passed
-over). A document of more than ``longest`` passages gives the fit that many, evenly
+The fit uses at most ``sample`` labelled documents that have a text, of at most
+``limit`` passages in all (the ones with the smallest id hashes, but at least
+``samples.LEAST_EACH`` of either label if there are so many; one that does not fit is
+passed over). A document of more than ``longest`` passages gives the fit that many, evenly
 spread over it, so at least ``limit / longest`` documents fit. Scoring reads every
 passage.
 """
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulseloom.llm.samples import demand_both, fitting, one_row_each, spread
+from pulseloom.llm.samples import demand_both, fitting, labelled, one_row_each, spread
 from pulseloom.llm.words import Texts, slices, words
 from pulseloom.session import checkpointed
 
@@ -155,8 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, limit: int = P
     """
     usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).where(~held_out())
     usable = usable.groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = one_row_each(docs, chosen, "quality")
+    texts = one_row_each(docs, labelled(docs, usable, "quality", sample), "quality")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -6,6 +6,30 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pulseloom.session import checkpointed
+
+
+LEAST_EACH = 200  # labelled documents of either kind, if there are so many
+
+
+def labelled(docs: DataFrame, usable: DataFrame, label: str, sample: int, least: int = LEAST_EACH) -> DataFrame:
+    """At most ``sample`` rows of ``usable`` (doc_id, ``label`` 0 or 1; an id once) whose document has a text, by least id hashes.
+
+    A kind of label that would get fewer than ``least`` rows gets as many as that
+    if there are so many, and the other kind the fewer.
+    """
+    there = docs.where(F.length("text") > 0).select("doc_id")
+    drawn = checkpointed(usable.join(there, "doc_id", "left_semi"))
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    kinds = [drawn.where(F.col(label) == kind) for kind in (0, 1)]
+    counts = [kind.count() for kind in kinds]
+    taken = drawn.orderBy(*order).limit(sample).where(F.col(label) == 1).count()
+    floor = min(least, sample // 2)
+    ones = min(counts[1], max(taken, floor, sample - counts[0]))
+    ones = min(ones, max(sample - floor, sample - counts[0]))
+    zeros = min(counts[0], sample - ones)
+    return kinds[0].orderBy(*order).limit(zeros).unionByName(kinds[1].orderBy(*order).limit(ones))
+
 
 def one_row_each(docs: DataFrame, chosen: DataFrame, label: str) -> DataFrame:
     """doc_id, text and ``label`` of every document of ``chosen`` (doc_id, ``label``; small) that ``docs`` has.

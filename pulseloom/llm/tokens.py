@@ -12,6 +12,7 @@ has two levels, so one huge file is no single task.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,13 +22,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pulseloom.session import checkpointed
+from pulseloom.session import broadcast_if_small, checkpointed
 
 BLOCK = 1 << 16  # tokens
 GROUP = 1024  # blocks whose summaries are scanned together
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 END = 50256
 _PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
+# Runs of what the pattern calls blank (Unicode White_Space) that are too long for its look-ahead.
+_LONG_BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
 
 
 @lru_cache(maxsize=2)
@@ -39,6 +42,20 @@ def _encoding(ranks: str):
     return tiktoken.Encoding("flat", pat_str=_PATTERN, mergeable_ranks=table, special_tokens={})
 
 
+def encode(text: str, ranks: str = RANKS) -> list[int]:
+    """Token ids of a text.
+
+    A very long run of blanks is cut out where the pattern itself splits: before
+    it, and before its last blank if anything follows.
+    """
+    plain, out, at = _encoding(ranks).encode_ordinary, [], 0
+    for run in _LONG_BLANKS.finditer(text):
+        cut = run.end() if run.end() == len(text) else run.end() - 1
+        out += plain(text[at : run.start()]) + plain(text[run.start() : cut])
+        at = cut
+    return out + plain(text[at:])
+
+
 _FILES = "stream long, block long, data binary, first long, ids array<long>"
 
 
@@ -53,7 +70,6 @@ def write_stream(docs: DataFrame, ranks: str = RANKS, end: int = END) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stream, block, number, held, size = TaskContext.get().partitionId(), 0, 0, [], 0
-        encode = _encoding(ranks).encode_ordinary
 
         def row(block=None, data=None, first=None, ids=None):
             kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()))
@@ -63,7 +79,7 @@ def write_stream(docs: DataFrame, ranks: str = RANKS, end: int = END) -> DataFra
             yield row(first=number, ids=batch.column(0).to_pylist())
             number += batch.num_rows
             for text in batch.column(1):
-                ids = np.array([*encode(text.as_py() or ""), end], np.uint16)
+                ids = np.array([*encode(text.as_py() or "", ranks), end], np.uint16)
                 held.append(ids)
                 size += len(ids)
                 if size >= BLOCK:
@@ -78,15 +94,60 @@ def write_stream(docs: DataFrame, ranks: str = RANKS, end: int = END) -> DataFra
     return docs.select("doc_id", "text").mapInArrow(run, _FILES)
 
 
-def read_files(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
+def read_files(spark: SparkSession, path: str, width: int = 2, end: int = END) -> DataFrame:
     """Blocks (stream, block, data) of flat binary token files below ``path``; a stream is named by its path's hash.
 
-    A file is read as one value, so files may have up to 2 GB, as token shards do.
+    Files may have any size: Spark cuts them at a byte that every end id has, in
+    its own file systems, so a task reads a range of a file and no file is ever one
+    value (a document is, so one may have up to 2 GB). Ranges begin anywhere in a
+    block; a running sum of their lengths gives each its place, and the few blocks
+    that two ranges share are put together.
     """
-    files = spark.read.format("binaryFile").load(path).select(F.xxhash64("path").alias("stream"), "content", "length")
-    step = BLOCK * width
-    blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), F.ceil(F.col("length") / step) - 1).cast("long"))).alias("block")
-    return files.select("stream", blocks, "content").select("stream", "block", F.substring("content", (F.col("block") * step + 1).cast("int"), F.lit(step)).alias("data"))
+    mark, step = chr(end & 255), BLOCK * width
+    lines = spark.read.option("lineSep", mark).option("encoding", "ISO-8859-1").text(path)
+    place = [F.xxhash64("_metadata.file_path").alias("stream"), F.col("_metadata.file_block_start").alias("range")]
+    lines = lines.select(*place, F.col("_metadata.file_size").alias("size"), F.col("value").cast("binary").alias("data"))
+    # Every line ends with the mark, but perhaps the last of a file; its size tells.
+    ranges = lines.groupBy("stream", "range").agg(F.sum(F.octet_length("data") + 1).alias("n"), F.max("size").alias("size"))
+    whole = Window.partitionBy("stream")
+    ranges = ranges.withColumn("base", F.sum("n").over(whole.orderBy("range")) - F.col("n")).withColumn("spare", F.sum("n").over(whole) - F.col("size"))
+    # Readers drop a byte order mark at the start of a file: then 3 bytes are missing.
+    lost = F.when(F.col("spare") < 0, 3).otherwise(0)
+    ranges = checkpointed(ranges.select("stream", "range", (F.col("base") + F.when(F.col("range") > 0, lost).otherwise(0)).alias("base"), "size", lost.alias("lost")))
+    ordered = lines.select("stream", "range", "data", F.monotonically_increasing_id().alias("line"))
+    placed = ordered.join(broadcast_if_small(ranges), ["stream", "range"]).repartition("stream", "range").sortWithinPartitions("stream", "range", "line")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, pos, size, held = None, 0, 0, bytearray()
+
+        def parts(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal pos
+            while held and (last or len(held) > step):
+                n = min(len(held), step - pos % step)
+                part = bytes(held[:n])
+                del held[:n]
+                columns = [pa.array([v], k) for v, k in zip((at[0], pos // step, pos % step, part), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)]
+                pos += n
+                yield pa.RecordBatch.from_arrays(columns, names=["stream", "block", "first", "data"])
+
+        for batch in batches:
+            rows = zip(*(batch.column(i).to_pylist() for i in range(5)), batch.column(5), strict=True)
+            for stream, start, base, total, lost, data in rows:
+                if (stream, start) != at:
+                    if at:
+                        yield from parts(True)
+                    at, pos, size = (stream, start), base, total
+                    held += b"\xef\xbb\xbf" if lost and not start else b""
+                held += data.as_buffer()
+                if pos + len(held) < size:
+                    held += mark.encode("latin-1")
+                yield from parts(False)
+        if at:
+            yield from parts(True)
+
+    made = placed.select("stream", "range", "base", "size", "lost", "data").mapInArrow(run, "stream long, block long, first long, data binary")
+    joined = made.groupBy("stream", "block").agg(F.array_sort(F.collect_list(F.struct("first", "data"))).alias("parts"))
+    return joined.select("stream", "block", F.aggregate("parts", F.lit(b""), lambda done, part: F.concat(done, part["data"])).alias("data"))
 
 
 def scan(blocks: DataFrame, end: int = END, width: int = 2) -> DataFrame:

@@ -8,8 +8,9 @@ are the presence of words and of their first bytes (hashed), kept where they tel
 toxic labels apart. The
 output is the probability of each grade and the expected severity.
 
-The fit reads at most ``sample`` labelled documents (those with the smallest id
-hashes) and gets at most ``limit`` word hashes of them; a document that does not
+The fit reads at most ``sample`` labelled documents that have a text (those with the
+smallest id hashes, but at least ``samples.LEAST_EACH`` of either label if there are
+so many) and gets at most ``limit`` word hashes of them; a document that does not
 fit is passed over. Of more than ``longest`` hashes of a document the fit gets that
 many, evenly spread over the hash values. Scoring reads everything.
 """
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulseloom.llm.samples import demand_both, fitting, one_row_each, spread
+from pulseloom.llm.samples import demand_both, fitting, labelled, one_row_each, spread
 from pulseloom.llm.words import Texts, prefixes, slices, words
 from pulseloom.session import checkpointed
 
@@ -112,8 +113,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, limit: int = L
     """
     usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).where(~held_out())
     usable = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = one_row_each(docs, chosen, "toxic")
+    texts = one_row_each(docs, labelled(docs, usable, "toxic", sample), "toxic")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

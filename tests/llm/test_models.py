@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pulseloom.llm import ppm, quality, tokens, toxicity
+from pulseloom.llm import ppm, quality, samples, tokens, toxicity
 
 
 class Trie:
@@ -187,9 +187,145 @@ def test_scan_stitches_blocks(spark, monkeypatch):
     assert sorted((r.stream, r.number, r.n_tokens) for r in got.collect()) == sorted(want)
 
 
-def test_flat_files_on_disk(spark, tmp_path, monkeypatch):
+@pytest.mark.parametrize("split", [None, "64", "7"])
+def test_flat_files_on_disk(spark, tmp_path, monkeypatch, split):
+    """Files of any bytes, cut anywhere: blocks are the file's own bytes, and counts those of the whole files."""
     monkeypatch.setattr(tokens, "BLOCK", 10)
-    ids = [1, 2, tokens.END, *range(100, 133), tokens.END, 5]
-    (tmp_path / "part.bin").write_bytes(struct.pack(f"<{len(ids)}H", *ids))
-    got = tokens.scan(tokens.read_files(spark, str(tmp_path))).orderBy("number")
-    assert [r.n_tokens for r in got.collect()] == [2, 33, 1]
+    r = np.random.default_rng(3)
+    files = {
+        "a": [1, 2, tokens.END, *range(100, 133), tokens.END, 5],
+        "b": [0xBBEF, 0xBF, tokens.END, 0x5050, 0xC450, 0x50C4],  # begins like a byte order mark
+        "c": r.choice([0x50, 0x5000, 0x0A0D, 0x5050, 0xC4, tokens.END], 400).tolist(),
+        "d": [tokens.END],
+        "e": [7] * 90,
+        "f": [],
+        "g": [3, 0x5001],  # the last byte is the mark
+    }
+    for name, ids in files.items():
+        (tmp_path / name).write_bytes(struct.pack(f"<{len(ids)}H", *ids))
+    if split:
+        for key, value in (("spark.sql.files.maxPartitionBytes", split), ("spark.sql.files.openCostInBytes", "0"), ("spark.sql.files.minPartitionNum", "1")):
+            spark.conf.set(key, value)
+    try:
+        blocks = tokens.read_files(spark, str(tmp_path))
+        got = {}
+        for row in blocks.orderBy("stream", "block").collect():
+            got[row.stream] = got.get(row.stream, b"") + bytes(row.data)
+            assert len(row.data) <= 20
+        assert sorted(got.values()) == sorted(struct.pack(f"<{len(ids)}H", *ids) for ids in files.values() if ids)
+        counts = sorted((n.stream, n.number, n.n_tokens) for n in tokens.scan(blocks).collect())
+    finally:
+        for key in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum"):
+            spark.conf.unset(key)
+    want = []
+    for stream, data in got.items():
+        ids, size, number = struct.unpack(f"<{len(data) // 2}H", data), 0, 0
+        for i in ids:
+            if i == tokens.END:
+                want.append((stream, number, size))
+                number, size = number + 1, 0
+            else:
+                size += 1
+        want += [(stream, number, size)] if size else []
+    assert counts == sorted(want)
+
+
+def test_long_runs_are_tokenised():
+    """Two million of one class in a row; short runs beside the whole pattern."""
+    plain = tokens._encoding(tokens.RANKS)
+    for text in (" " * 2_000_000, "a" + "\n" * 2_000_000 + "b", "x" * 2_000_000, "7" * 2_000_000, "\u3000" * 700_000 + "é", "!" * 2_000_000 + "  ", " \t" * 1_000_000 + " word"):
+        ids = tokens.encode(text)
+        assert plain.decode(ids) == text
+
+
+def test_cut_blanks_change_no_token(monkeypatch):
+    import random
+    import re
+
+    monkeypatch.setattr(tokens, "_LONG_BLANKS", re.compile(tokens._LONG_BLANKS.pattern.replace("10000", "2")))
+    plain, r = tokens._encoding(tokens.RANKS).encode_ordinary, random.Random(4)
+    for _ in range(300):
+        text = "".join(r.choice([" ", "  ", "\n", "\t", "\u00a0", "\x1c", "a", "Bc", "9", "!", "é", "'s"]) for _ in range(r.randint(0, 40)))
+        assert tokens.encode(text) == plain(text)
+
+
+def test_the_sample_is_drawn_from_labelled_texts(spark):
+    """Labels without a text take no place, and the rarer label gets its rows."""
+    docs, labels = labelled(spark)
+    strangers = spark.range(10_000, 30_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    many = labels.unionByName(strangers)
+    drawn = samples.labelled(docs, many.where("quality in (0, 1) and doc_id is not null").select("doc_id", "quality"), "quality", 150)
+    assert drawn.count() == 150 and drawn.where("doc_id >= 240").count() == 0
+    few = docs.where("doc_id < 240").dropDuplicates(["doc_id"]).select("doc_id", F.when(F.col("doc_id") % 24 == 0, 1).otherwise(0).alias("toxic"))
+    counts = {r.toxic: r["count"] for r in samples.labelled(docs, few, "toxic", 40, least=8).groupBy("toxic").count().collect()}
+    assert counts == {0: 32, 1: 8}
+    counts = {r.toxic: r["count"] for r in samples.labelled(docs, few, "toxic", 1000, least=8).groupBy("toxic").count().collect()}
+    assert counts == {0: 230, 1: 10}
+    model = quality.fit(docs, many, sample=200)
+    held = quality.score(docs, model).join(labels.where("quality in (0, 1)"), "doc_id").where(quality.held_out()).collect()
+    assert sum(r.predicted == r.quality for r in held) >= 0.95 * len(held)
+
+
+def plain_attention(model, x):
+    """One document at a time, one passage at a time, in doubles."""
+    p = {k: v.astype(float) for k, v in model.p.items()}
+    hidden = [np.tanh(((row - model.mean) / model.scale) @ p["E"] + p["e"]) for row in x.astype(float)]
+    logit = [float((np.tanh(h @ p["V"]) * (1 / (1 + np.exp(-(h @ p["U"]))))) @ p["w"]) for h in hidden]
+    weight = [math.exp(s - max(logit)) for s in logit]
+    bag = sum(w * h for w, h in zip(weight, hidden, strict=True)) / sum(weight)
+    return float(1 / (1 + np.exp(-(bag @ p["c"] + p["b"][0]))))
+
+
+def test_attention_equals_a_plain_forward_pass_and_its_gradient():
+    r = np.random.default_rng(6)
+    sizes = [1, 4, 2, 7, 3]
+    owner = np.repeat(np.arange(5), sizes)
+    x = r.normal(size=(17, quality.WIDTH)).astype(np.float32)
+    y = np.array([0, 1, 1, 0, 1], np.float32)
+    model = quality.Attention(x.mean(axis=0), x.std(axis=0) + 0.05)
+    for k in model.p:
+        model.p[k] = r.normal(size=model.p[k].shape).astype(np.float32) * 0.3
+    assert model.score(x, owner) == pytest.approx([plain_attention(model, x[owner == i]) for i in range(5)], abs=1e-4)
+
+    def loss():
+        s = [plain_attention(model, x[owner == i]) for i in range(5)]
+        return -sum(math.log(p if label else 1 - p) for p, label in zip(s, y, strict=True)) / 5
+
+    # The first step of Adam moves every weight by the rate, against the sign of its gradient.
+    before = {k: v.copy() for k, v in model.p.items()}
+    trained = quality.Attention(model.mean, model.scale)
+    trained.p = {k: v.copy() for k, v in before.items()}
+    trained.fit(x, owner, y, steps=1, rate=0.02, decay=0.0)
+    for k in before:
+        flat = before[k].ravel()
+        for i in r.choice(flat.size, min(6, flat.size), replace=False):
+            values = []
+            for step in (1e-3, -1e-3):
+                model.p = {n: v.astype(float).copy() for n, v in before.items()}
+                model.p[k].ravel()[i] += step
+                values.append(loss())
+            slope = (values[0] - values[1]) / 2e-3
+            if abs(slope) > 1e-4:
+                assert np.sign(flat[i] - trained.p[k].ravel()[i]) == np.sign(slope), (k, i)
+
+
+def test_ordinal_weights_are_a_minimum_of_the_plain_likelihood():
+    r = np.random.default_rng(2)
+    x = r.random((120, 5)) < 0.4
+    grade = np.clip((x @ np.array([1.0, 2, 0, -1, 0.5]) + r.normal(size=120)).round(), 0, 2).astype(int)
+    doc, feature = np.nonzero(x)
+    decay = 1e-3
+    w, theta = toxicity.fit_ordinal(doc, feature, grade, 5, steps=4000, decay=decay)
+
+    def loss(w, theta):
+        total = 0.0
+        for row, g in zip(x, grade, strict=True):
+            above = [1.0, *(1 / (1 + math.exp(t - row @ w)) for t in theta), 0.0]
+            total -= math.log(above[g] - above[g + 1])
+        return total / len(x) + decay / 2 * float(w @ w)
+
+    for i in range(7):
+        step = np.zeros(7)
+        step[i] = 1e-4
+        slope = (loss(w + step[:5], theta + step[5:]) - loss(w - step[:5], theta - step[5:])) / 2e-4
+        assert abs(slope) < 2e-3
