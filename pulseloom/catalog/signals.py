@@ -434,7 +434,8 @@ def sessionize_1h(spark, sf_dir):
 
 @query("sessionize_bucketed", f"with {SIGNALS}, {sessions_sql(10 * MINUTE)} select id, session_start from members")
 def sessionize_bucketed(spark, sf_dir):
-    return ses.session_members(signals(spark, sf_dir), 10 * MINUTE).select("id", "session_start")
+    """Sessions found in buckets of an hour, six cells each, and stitched over the buckets they cross."""
+    return ses.session_members(signals(spark, sf_dir), 10 * MINUTE, bucket_us=HOUR).select("id", "session_start")
 
 
 @query(

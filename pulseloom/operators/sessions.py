@@ -1,14 +1,18 @@
 """Sessions per (source, env): a new one starts after a pause > ``window``.
 
 Two signals in one time cell as wide as the window always share a session, so
-signals are first reduced to cells with a map-side aggregate. Only cells take
-part in the ordered window, and a key has at most span / window cells however
-many signals it holds: a hot source costs no more than its time span.
+signals are first reduced to cells with a map-side aggregate. Cells are then
+marked by a segmented scan: local sessions per (key, time bucket), in which only
+the first fragment may have begun earlier; one row per bucket (first and last
+instant, start of its last fragment) goes through a second scan per key, which
+tells every bucket where its first fragment began. No task sees all cells of a
+key, whatever the window, the span of the key or the length of a session.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,6 +22,7 @@ from pulseloom.session import broadcast_if_small, checkpointed
 
 SESSION_KEYS = ("source", "env")
 DEFAULT_WINDOW_US = 60_000_000
+CELLS_IN_BUCKET = 4096
 PAGE_ROWS = 1_000
 
 
@@ -31,27 +36,75 @@ def with_cell(signals: DataFrame, window_us: int = DEFAULT_WINDOW_US) -> DataFra
     return signals.withColumn("ts_us", F.unix_micros("timestamp")).withColumn("cell", cell_of(F.col("ts_us"), window_us))
 
 
-def mark_sessions(cells: DataFrame, window_us: int, keys: Sequence[str] = SESSION_KEYS) -> DataFrame:
+def bucket_width(window_us: int) -> int:
+    """Microseconds of a time bucket: CELLS_IN_BUCKET cells, an hour at least."""
+    return max(int(window_us) * CELLS_IN_BUCKET, 3_600_000_000)
+
+
+def carried_starts(parts: DataFrame, window_us: int, keys: Sequence[str] = SESSION_KEYS) -> DataFrame:
+    """Where the first fragment of every bucket began.
+
+    ``parts`` has one row per key and bucket: ``first_us``, ``last_us`` and
+    ``tail_start``, the local start of its last fragment. A bucket that follows
+    within the window continues the last fragment of the one before it; if that is
+    also that bucket's first, the start is inherited from further back.
+    """
+    by_bucket = Window.partitionBy(*keys).orderBy("bucket")
+    before = parts.withColumns(
+        {
+            "_last": F.lag("last_us").over(by_bucket),
+            "_tail": F.lag("tail_start").over(by_bucket),
+            "_first": F.lag("first_us").over(by_bucket),
+        }
+    )
+    apart = F.col("_last").isNull() | (F.col("first_us") - F.col("_last") > F.lit(int(window_us)))
+    begun = F.when(apart, F.col("first_us")).when(F.col("_tail") > F.col("_first"), F.col("_tail"))
+    # Starts grow with the buckets, so the latest one that is known is the largest so far.
+    carried = F.max("_begun").over(by_bucket.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return before.withColumn("_begun", begun).select(*keys, "bucket", "first_us", carried.alias("carried_start"))
+
+
+def mark_sessions(
+    cells: DataFrame, window_us: int, keys: Sequence[str] = SESSION_KEYS, bucket_us: int | None = None
+) -> DataFrame:
     """Add ``session_start`` to rows with ``cell``, ``first_us`` and ``last_us``.
 
     Several rows may share a cell. Range frames make rows of one cell peers, so
-    they get the same session.
+    they get the same session. The cells are written once, as both scans read them.
     """
-    by_cell = Window.partitionBy(*keys).orderBy("cell")
+    width = bucket_us or bucket_width(window_us)
+    held = checkpointed(cells.withColumn("_bucket", cell_of(F.col("cell"), width)))
+    place = [*keys, "_bucket"]
+    by_cell = Window.partitionBy(*place).orderBy("cell")
     peers = by_cell.rangeBetween(Window.currentRow, Window.currentRow)
     earlier = by_cell.rangeBetween(Window.unboundedPreceding, -1)
     until_now = by_cell.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    opened = cells.withColumn("_cell_first", F.min("first_us").over(peers)).withColumn(
-        "_previous_last", F.max("last_us").over(earlier)
+
+    def local(rows: DataFrame) -> DataFrame:
+        opened = rows.withColumn("_cell_first", F.min("first_us").over(peers)).withColumn("_previous_last", F.max("last_us").over(earlier))
+        pause = F.col("_cell_first") - F.col("_previous_last")
+        starts = F.when(pause.isNull() | (pause > F.lit(int(window_us))), F.col("_cell_first"))
+        # Starts grow with the cells, so the latest start is the largest one so far.
+        return opened.withColumn("_local", F.max(starts).over(until_now)).drop("_cell_first", "_previous_last")
+
+    parts = (
+        local(held.select(*place, "cell", "first_us", "last_us"))
+        .groupBy(*place)
+        .agg(F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"), F.max("_local").alias("tail_start"))
+        .withColumnRenamed("_bucket", "bucket")
     )
-    pause = F.col("_cell_first") - F.col("_previous_last")
-    starts = F.when(pause.isNull() | (pause > F.lit(int(window_us))), F.col("_cell_first"))
-    # Starts grow with the cells, so the latest start is the largest one so far.
-    return opened.withColumn("session_start", F.max(starts).over(until_now)).drop("_cell_first", "_previous_last")
+    carried = carried_starts(parts, window_us, keys).select(
+        *[F.col(k).alias(f"_at_{i}") for i, k in enumerate(keys)], F.col("bucket").alias("_at"), F.col("first_us").alias("_head"), "carried_start"
+    )
+    marked = local(held)
+    meets = [marked[k].eqNullSafe(carried[f"_at_{i}"]) for i, k in enumerate(keys)]
+    start = F.when(F.col("_local") == F.col("_head"), F.col("carried_start")).otherwise(F.col("_local"))
+    joined = marked.join(carried, reduce(Column.__and__, [*meets, marked["_bucket"] == carried["_at"]]))
+    return joined.select(*cells.columns, start.alias("session_start"))
 
 
 def session_cells(
-    signals: DataFrame, window_us: int = DEFAULT_WINDOW_US, keys: Sequence[str] = SESSION_KEYS
+    signals: DataFrame, window_us: int = DEFAULT_WINDOW_US, keys: Sequence[str] = SESSION_KEYS, bucket_us: int | None = None
 ) -> DataFrame:
     """One row per (key, cell) with its session."""
     cells = (
@@ -64,7 +117,7 @@ def session_cells(
             max_severity(F.col("severity")).alias("max_severity"),
         )
     )
-    return mark_sessions(cells, window_us, keys)
+    return mark_sessions(cells, window_us, keys, bucket_us)
 
 
 def session_summary(
@@ -91,7 +144,7 @@ def high_severity_sessions(sessions: DataFrame) -> DataFrame:
 
 
 def session_members(
-    signals: DataFrame, window_us: int = DEFAULT_WINDOW_US, keys: Sequence[str] = SESSION_KEYS
+    signals: DataFrame, window_us: int = DEFAULT_WINDOW_US, keys: Sequence[str] = SESSION_KEYS, bucket_us: int | None = None
 ) -> DataFrame:
     """Every signal with its session; the order in a session is (timestamp, id).
 
@@ -100,11 +153,25 @@ def session_members(
     spreads a long session over many tasks; AQE splits what is left of a hot cell.
     """
     cells = broadcast_if_small(
-        session_cells(signals, window_us, keys).select(*keys, "cell", "session_start"), materialize=True
+        session_cells(signals, window_us, keys, bucket_us).select(*keys, "cell", "session_start"), materialize=True
     )
     return with_cell(signals, window_us).join(cells, [*keys, "cell"]).drop("cell")
 
 
+def members_of(
+    signals: DataFrame, sessions: DataFrame, window_us: int = DEFAULT_WINDOW_US, keys: Sequence[str] = SESSION_KEYS
+) -> DataFrame:
+    """The signals of known ``sessions`` (keys, session_start, session_end) with these columns and any others ``sessions`` has.
+
+    The bounds tell which cells a session covers, so the signals are read once,
+    for this join, and not to find sessions again.
+    """
+    width = F.lit(max(int(window_us), 1)).cast("long")
+    covered = F.sequence(cell_of(F.col("session_start"), window_us), cell_of(F.col("session_end"), window_us), width)
+    cells = broadcast_if_small(sessions.withColumn("cell", F.explode(covered)))
+    return with_cell(signals, window_us).join(cells, [*keys, "cell"]).drop("cell", "session_end")
+
+
 def add_position(rows: DataFrame, group: Sequence[str], order: Sequence[str], name: str = "position") -> DataFrame:
     """0-based rank of every row in its group without gathering the group.
 

@@ -19,7 +19,7 @@ from pulseloom.operators.incidents import (
     union_incident_signals,
 )
 from pulseloom.operators.rules import analyze_sessions
-from pulseloom.operators.sessions import DEFAULT_WINDOW_US, PAGE_ROWS, SESSION_KEYS, is_high, session_members
+from pulseloom.operators.sessions import DEFAULT_WINDOW_US, PAGE_ROWS, SESSION_KEYS, is_high, members_of
 from pulseloom.operators.suggest import DEFAULT_INSTRUCTIONS, Suggester, ask_suggester, attach_suggestions, prompt_parts
 from pulseloom.session import checkpointed
 
@@ -63,9 +63,9 @@ def correlate(
     owners = claims.unionByName(
         fresh.filter(is_high(F.col("max_severity"))).select(*session, session_incident_id(as_of).alias("incident_id"))
     )
+    owned = analyzed.select(*session, "session_end").join(owners, session)
     links = (
-        session_members(signals, window_us)
-        .join(owners, session)
+        members_of(signals, owned, window_us)
         .select("incident_id", as_of.alias("added_at"), "timestamp", F.col("id").alias("signal_id"))
     )
     if known_links is not None:
@@ -94,7 +94,7 @@ def suggested_analysis(suggester: Suggester, as_of: Column, instructions: str =
             F.lit("").alias("analysis_summary"),
             F.array().cast("array<string>").alias("recommendations"),
         )
-        evidence = session_members(signals, window_us).join(unmatched.select(*session, F.col("id").alias("incident_id")), session).select(
+        evidence = members_of(signals, unmatched.select(*session, "session_end", F.col("id").alias("incident_id")), window_us).select(
             "incident_id", F.col("id").alias("signal_id"), "event_type", "source", "env", "severity", "timestamp",
             sanitize_message(F.col("message")).alias("message"),
         )

@@ -1,6 +1,7 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from pulseloom.operators import sessions as ses
@@ -45,6 +46,38 @@ def test_negative_severity_floors_at_zero_and_old_times_work(spark):
     assert row.max_severity == 0 and row.session_start < 0
 
 
+@pytest.mark.parametrize("bucket", [1, 7_000_000, 60_000_000, 3_600_000_000])
+def test_sessions_across_many_buckets(spark, bucket):
+    """One hot key; sessions inside a bucket, across two, and across hundreds; cells finer and coarser than buckets."""
+    rng, at, rows = random.Random(3), 0.0, []
+    for n in range(1_500):
+        at += rng.choice([0, 0.5, 20, 59.999999, 60, 60.000001, 61, 61, 400, 9_000]) if n < 700 else 60
+        rows.append((f"h{n}", "hot", "production", at, n % 6))
+    rows += [(f"o{n}", f"s{n % 9}", "staging", rng.uniform(0, 20_000), 1) for n in range(500)]
+    rows += [(f"n{n}", None, "staging", 70.0 * (n // 2), 1) for n in range(20)]
+    signals = make(spark, rows)
+    for window in (0, 1_000_000, 60_000_000):
+        marked = ses.session_cells(signals, window, bucket_us=max(bucket, window, 1)).groupBy("source", "env", "session_start").agg(F.sum("signal_count").alias("n"))
+        plain = sessionize_by_lag(signals, window).groupBy("source", "env", "session_start").count()
+        assert sorted(map(tuple, marked.collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
+
+
+def test_members_of_known_sessions(spark):
+    rng = random.Random(5)
+    signals = make(spark, [(f"id-{n}", f"s{n % 3}", "e", rng.uniform(0, 4_000), 1) for n in range(400)])
+    for window in (0, 7_000_000, 60_000_000):
+        sessions = ses.session_summary(signals, window).select("source", "env", "session_start", "session_end")
+        assert members(ses.members_of(signals, sessions, window)) == members(sessionize_by_lag(signals, window))
+
+
+def test_no_window_over_all_cells_of_a_key(spark):
+    """The scan over cells is cut by bucket; the scan per key sees one row per bucket."""
+    signals = make(spark, [(f"id-{n}", "hot", "e", n * 5.0, 1) for n in range(2_000)])
+    text = ses.session_cells(signals, 1_000_000)._jdf.queryExecution().executedPlan().toString()
+    windows = [line for line in text.splitlines() if "Window [" in line]
+    assert windows and all("cell" not in line or "_bucket" in line.split("],", 1)[-1] for line in windows if "lag(" not in line and "carried" not in line)
+
+
 def test_cells_agree_with_the_plain_window_under_skew(spark):
     rng = random.Random(7)
     rows = []
@@ -81,6 +114,38 @@ def test_batches_stay_apart_when_asked(spark):
     assert ses.session_summary(signals, keys=("batch_id", "source", "env")).count() == 2
 
 
+@pytest.mark.parametrize("bucket", [1, 7_000_000, 60_000_000, 3_600_000_000])
+def test_sessions_across_many_buckets(spark, bucket):
+    """One hot key; sessions inside a bucket, across two, and across hundreds; cells finer and coarser than buckets."""
+    rng, at, rows = random.Random(3), 0.0, []
+    for n in range(1_500):
+        at += rng.choice([0, 0.5, 20, 59.999999, 60, 60.000001, 61, 61, 400, 9_000]) if n < 700 else 60
+        rows.append((f"h{n}", "hot", "production", at, n % 6))
+    rows += [(f"o{n}", f"s{n % 9}", "staging", rng.uniform(0, 20_000), 1) for n in range(500)]
+    rows += [(f"n{n}", None, "staging", 70.0 * (n // 2), 1) for n in range(20)]
+    signals = make(spark, rows)
+    for window in (0, 1_000_000, 60_000_000):
+        marked = ses.session_cells(signals, window, bucket_us=max(bucket, window, 1)).groupBy("source", "env", "session_start").agg(F.sum("signal_count").alias("n"))
+        plain = sessionize_by_lag(signals, window).groupBy("source", "env", "session_start").count()
+        assert sorted(map(tuple, marked.collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
+
+
+def test_members_of_known_sessions(spark):
+    rng = random.Random(5)
+    signals = make(spark, [(f"id-{n}", f"s{n % 3}", "e", rng.uniform(0, 4_000), 1) for n in range(400)])
+    for window in (0, 7_000_000, 60_000_000):
+        sessions = ses.session_summary(signals, window).select("source", "env", "session_start", "session_end")
+        assert members(ses.members_of(signals, sessions, window)) == members(sessionize_by_lag(signals, window))
+
+
+def test_no_window_over_all_cells_of_a_key(spark):
+    """The scan over cells is cut by bucket; the scan per key sees one row per bucket."""
+    signals = make(spark, [(f"id-{n}", "hot", "e", n * 5.0, 1) for n in range(2_000)])
+    text = ses.session_cells(signals, 1_000_000)._jdf.queryExecution().executedPlan().toString()
+    windows = [line for line in text.splitlines() if "Window [" in line]
+    assert windows and all("cell" not in line or "_bucket" in line.split("],", 1)[-1] for line in windows if "lag(" not in line and "carried" not in line)
+
+
 def test_cells_agree_with_session_windows(spark):
     rng = random.Random(9)
     signals = make(spark, [(f"id-{n}", f"s{n % 3}", "e", rng.uniform(0, 9_000), 1) for n in range(500)])
