@@ -17,11 +17,11 @@ rare to frequent, linked documents share an n-gram among the first
    ranges of hashes.
 3. Entries of one n-gram are joined. A pair must pass the length filter; the
    positional filter (what can still be shared behind the common n-gram); and the
-   suffix filter (what the ranges behind it cannot share). First everyone meets
-   the first of its group; the pairs that pass are verified on the full sets and
-   give components. Then pairs of different components are compared, in blocks,
-   the largest component of a group never with itself. Every pair that passes is
-   verified once.
+   suffix filter (what the ranges behind it cannot share). In a few rounds every
+   set meets one, two, four others of another component that pass, and so on; these
+   pairs are verified on the full sets and join components. Then all pairs of different components are
+   compared, in blocks, the largest component of a group never with itself. Every
+   pair that passes is verified once.
 
 Nothing is estimated, so no link is lost, up to 64-bit hashes of n-grams and sets.
 """
@@ -32,7 +32,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulseloom.llm.components import components
@@ -43,7 +45,8 @@ from pulseloom.session import broadcast_if_small, checkpointed
 GRAMS = 1 << 21  # n-grams of a block of documents
 BUCKET = 1 << 22  # n-grams, about, that one step counts
 WORD = 6  # bytes of text for one n-gram, about
-RANGES = 8  # of hashes, for the suffix filter
+RANGES = 32  # of hashes, for the suffix filter
+ROUNDS = 6  # of 1, 2, 4 and so on pairs for each set, before all pairs that are left
 BLOCK = 1024  # entries of one n-gram that are compared at a time
 
 _STEP = np.random.default_rng(12).integers(1, 1 << 63, 2, dtype=np.uint64) | np.uint64(1)
@@ -83,20 +86,17 @@ def _bytes(values: np.ndarray, kind) -> bytes:
     return np.ascontiguousarray(values, dtype=kind).tobytes()
 
 
-_MARKS = "bucket int, kind int, a binary, b binary, c binary, d binary"
+_MARKS = "bucket int, block long, kind int, a binary, b binary, c binary, d binary"
 
 
 def _marks(docs: DataFrame, width: int, buckets: int) -> DataFrame:
-    """Rows of kind 0: ids, row keys, set sizes and set hashes of the documents of a block. Rows of kind 1, one for each
-    bucket of hashes a block meets: row keys, how many n-grams of each only that row has in the block, these n-grams,
-    and the n-grams that several rows of the block have."""
+    """Rows of kind 0: ids, set sizes and set hashes of the documents of a block. Rows of kind 1, one for each bucket of
+    hashes a block meets: which of its documents (by their place in the block), how many n-grams of each no other
+    document of the block has, these n-grams, and the n-grams that several of them have."""
 
     def block(ids: list[int], sets: list[np.ndarray]) -> Iterator[tuple]:
         size = np.array([len(s) for s in sets], np.int64)
-        sid = np.array([set_id(s) for s in sets], np.uint64)
-        # Rows of equal id and equal set share a key, but then none of their n-grams is theirs alone.
-        key = mix(mix(np.array(ids, np.int64).view(np.uint64)) + sid)
-        yield int(key[0] % np.uint64(buckets)), 0, _bytes(ids, np.int64), _bytes(key, np.uint64), _bytes(size, np.int64), _bytes(sid, np.uint64)
+        yield 0, 0, _bytes(ids, np.int64), _bytes(size, np.int64), _bytes([set_id(s) for s in sets], np.uint64), b""
         flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
         order = np.argsort(flat)
         new = np.ones(len(flat), bool)
@@ -114,15 +114,17 @@ def _marks(docs: DataFrame, width: int, buckets: int) -> DataFrame:
             own = by[cuts[bucket] : cuts[bucket + 1]]
             who, count = np.unique(owner[own], return_counts=True)
             shared = several[by_several[cuts_several[bucket] : cuts_several[bucket + 1]]]
-            yield int(bucket), 1, _bytes(key[who], np.uint64), _bytes(count, np.uint32), _bytes(flat[own], np.uint32), _bytes(shared, np.uint32)
+            yield int(bucket), 1, _bytes(who, np.uint32), _bytes(count, np.uint32), _bytes(flat[own], np.uint32), _bytes(shared, np.uint32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 4)
+        kinds = (pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4)
+        names = ["bucket", "block", "kind", "a", "b", "c", "d"]
         ids, sets, held = [], [], 0
+        number = TaskContext.get().partitionId() << 32
 
         def rows() -> Iterator[pa.RecordBatch]:
-            for row in block(ids, sets):
-                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=["bucket", "kind", "a", "b", "c", "d"])
+            for bucket, *row in block(ids, sets):
+                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((bucket, number, *row), kinds, strict=True)], names=names)
 
         for batch in batches:
             for texts in slices(batch.column(1)):
@@ -133,6 +135,7 @@ def _marks(docs: DataFrame, width: int, buckets: int) -> DataFrame:
                 if held >= GRAMS:
                     yield from rows()
                     ids, sets, held = [], [], 0
+                    number += 1
         if ids:
             yield from rows()
 
@@ -140,50 +143,69 @@ def _marks(docs: DataFrame, width: int, buckets: int) -> DataFrame:
 
 
 def sizes_and_lone_grams(docs: DataFrame, width: int) -> DataFrame:
-    """Rows (doc_id, key, n, sid) of all documents, and rows (key, lone): n-grams of a document that no other row has.
+    """doc_id, n, sid and ``lone``, the number of its n-grams that no other row has, of every document.
 
-    The lone n-grams of a key are spread over several rows.
+    ``docs`` must be read in the same order if a task runs again, as stored tables are.
     """
     volume = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     buckets = max(1, -(-volume // (WORD * BUCKET)))
+    names = ["block", "kind", "a", "b", "c", "d"]
 
-    def count(marks: list[tuple]) -> pa.RecordBatch | None:
-        keys, counts, single, several = (np.concatenate([m[i] for m in marks]) for i in range(4))
+    def count(marks: list[tuple]) -> Iterator[pa.RecordBatch]:
+        """Of the marks of one bucket: for each block how many n-grams of its documents are lone."""
+        single, several = (np.concatenate([m[i] for m in marks]) for i in (3, 4))
         grams = np.concatenate([single, several])
         order = np.argsort(grams)
         new = np.ones(len(grams), bool)
         new[1:] = grams[order[1:]] != grams[order[:-1]]
         lone = np.zeros(len(grams), bool)
         lone[order[new & np.append(new[1:], True)]] = True
-        ends = np.cumsum(counts.astype(np.int64))
-        total = np.concatenate([[0], np.cumsum(lone[: len(single)])])
-        each = total[ends] - total[ends - counts]
-        some = each > 0
-        return _seen(key=keys[some].view(np.int64), lone=each[some])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, at = np.concatenate([[0], np.cumsum(lone[: len(single)])]), 0
+        for block, who, counts, own, _ in marks:
+            ends = at + np.cumsum(counts.astype(np.int64))
+            each = total[ends] - total[ends - counts]
+            at += len(own)
+            row = (block, 1, _bytes(who[each > 0], np.uint32), _bytes(each[each > 0], np.uint32), b"", b"")
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, (pa.int64(), pa.int32(), *[pa.binary()] * 4), strict=True)], names=names)
+
+    def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
         for batch in batches:
-            for bucket, kind, *blobs in zip(*(batch.column(i) for i in range(6)), strict=True):
-                a, b, c, d = (blob.as_buffer() for blob in blobs)
+            yield pa.RecordBatch.from_arrays(batch.filter(pc.equal(batch.column(2), 0)).columns[1:], names=names)
+            for bucket, block, kind, *blobs in zip(*(batch.column(i) for i in range(7)), strict=True):
                 if kind.as_py() == 0:
-                    yield _seen(*(np.frombuffer(x, np.int64) for x in (a, b, c, d)))
                     continue
                 if at != bucket.as_py():
                     if held:
-                        yield count(held)
+                        yield from count(held)
                     at, held = bucket.as_py(), []
-                held.append((np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint32), np.frombuffer(c, np.uint32), np.frombuffer(d, np.uint32)))
+                held.append((block.as_py(), *(np.frombuffer(blob.as_buffer(), np.uint32) for blob in blobs)))
         if held:
-            yield count(held)
+            yield from count(held)
 
-    dealt = _marks(docs, width, buckets).repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
-    return dealt.mapInArrow(run, "doc_id long, key long, n long, sid long, lone long")
+    def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        documents, lone = None, None
 
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*map(pa.array, documents), pa.array(lone)], names=["doc_id", "n", "sid", "lone"])
 
-def _seen(doc_id=None, key=None, n=None, sid=None, lone=None) -> pa.RecordBatch:
-    columns = [pa.nulls(len(key), pa.int64()) if c is None else pa.array(c, pa.int64()) for c in (doc_id, key, n, sid, lone)]
-    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "n", "sid", "lone"])
+        for batch in batches:
+            for kind, *blobs in zip(*(batch.column(i) for i in range(1, 6)), strict=True):
+                a, b, c, _ = (blob.as_buffer() for blob in blobs)
+                if kind.as_py() == 0:  # the first row of its block
+                    if documents:
+                        yield done()
+                    documents = [np.frombuffer(x, np.int64) for x in (a, b, c)]
+                    lone = np.zeros(len(documents[0]), np.int64)
+                else:
+                    lone[np.frombuffer(a, np.uint32)] += np.frombuffer(b, np.uint32)
+        if documents:
+            yield done()
+
+    marks = _marks(docs, width, buckets).repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
+    counts = marks.mapInArrow(by_bucket, "block long, kind int, a binary, b binary, c binary, d binary")
+    dealt = counts.repartition("block").sortWithinPartitions("block", "kind")
+    return dealt.mapInArrow(by_block, "doc_id long, n long, sid long, lone long")
 
 
 def class_sets(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
@@ -229,7 +251,7 @@ def prefix_entries(sets: DataFrame, percent: int) -> DataFrame:
         some = min(len(gram), prefix - lone)
         if some <= 0:
             return None
-        part = (gram.view(np.uint64) >> np.uint64(61)).astype(np.int64)
+        part = (gram.view(np.uint64) >> np.uint64(59)).astype(np.int64)
         seen = np.cumsum(part[:some, None] == np.arange(RANGES), axis=0)
         behind = np.bincount(part, minlength=RANGES) - seen
         lists = pa.ListArray.from_arrays(pa.array(np.arange(some + 1) * RANGES, pa.int32()), pa.array(behind.ravel(), pa.int32()))
@@ -262,8 +284,7 @@ def may_link(a, b, percent: int) -> Column:
     total = a["n"] + b["n"]
     enough = lambda common: common * (100 + percent) >= total * percent
     length = F.least(a["n"], b["n"]) * 100 >= F.greatest(a["n"], b["n"]) * percent
-    apart = F.aggregate(F.zip_with(a["behind"], b["behind"], lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
-    behind = F.shiftright(total - a["pos"] - b["pos"] - apart, 1)
+    behind = F.shiftright(total - _gap(a, b), 1)
     return length & enough(F.least(a["n"] - a["pos"], b["n"] - b["pos"])) & enough(behind)
 
 
@@ -283,6 +304,37 @@ def _compare(left: dict, right: dict, same: bool, percent: int) -> Iterator[tupl
                 yield min(int(left["sid"][i]), x), max(int(left["sid"][i]), x)
 
 
+def _gap(a, b) -> Column:
+    """How far two entries must at least lie apart, in n-grams that only one has."""
+    ranges = F.zip_with(a["behind"], b["behind"], lambda x, y: F.abs(x - y))
+    return a["pos"] + b["pos"] + F.aggregate(ranges, F.lit(0), lambda s, x: s + x)
+
+
+def some_each(entries: DataFrame, groups: DataFrame, percent: int, seed: int, most: int) -> DataFrame:
+    """At most ``most`` pairs (a, b) for every set that may be linked with another component (``groups``: doc_id, component).
+
+    Every n-gram names ``most`` members of the largest component that holds it; sets
+    of other components that pass the filters with them take, of all that are named
+    to them, the ones that may be nearest.
+    """
+    placed = _placed(entries, groups).select("gram", F.struct("sid", "n", "pos", "behind", "component").alias("own"))
+    parts = placed.groupBy("gram", "own.component").agg(F.count(F.lit(1)).alias("size"))
+    largest = parts.groupBy("gram").agg(F.max(F.struct("size", "component"))["component"].alias("largest"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    split = placed.join(largest.select("gram", "largest"), "gram")
+    draw = Window.partitionBy("gram").orderBy(F.xxhash64("own.sid", F.lit(seed)), "own.sid")
+    named = split.where("own.component = largest").withColumn("draw", F.row_number().over(draw)).where(F.col("draw") <= most)
+    met = split.where("own.component <> largest").join(named.select("gram", F.col("own").alias("other")), "gram").where(may_link(F.col("own"), F.col("other"), percent))
+    pairs = met.groupBy("own.sid", F.col("other.sid").alias("other")).agg(F.min(_gap(F.col("own"), F.col("other"))).alias("gap"))
+    nearest = Window.partitionBy("sid").orderBy("gap", "other")
+    best = pairs.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= most)
+    return best.select(F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b")).distinct()
+
+
+def _placed(entries: DataFrame, groups: DataFrame) -> DataFrame:
+    placed = entries.join(groups.withColumnRenamed("doc_id", "sid"), "sid", "left")
+    return placed.withColumn("component", F.coalesce("component", "sid"))
+
+
 def open_pairs(entries: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components (``groups``: doc_id, component) that share a prefix n-gram and pass the filters.
 
@@ -291,8 +343,7 @@ def open_pairs(entries: DataFrame, groups: DataFrame, percent: int) -> DataFrame
     any other block, so members of the largest component travel once for each
     block of the rest and never meet each other.
     """
-    placed = entries.join(groups.withColumnRenamed("doc_id", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    placed = checkpointed(placed)
+    placed = checkpointed(_placed(entries, groups))
     parts = placed.groupBy("gram", "component").agg(F.count(F.lit(1)).alias("n"))
     several = parts.groupBy("gram").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
     few = F.col("size") <= BLOCK
@@ -350,26 +401,27 @@ def jaccard_join(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFram
     are not read. ``docs`` is read three times and should be a stored table.
     """
     known = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
-    seen = checkpointed(sizes_and_lone_grams(known, width))
-    every = seen.where("n is not null").select("doc_id", "key", "n", "sid")
-    lone = seen.where("lone is not null").groupBy("key").agg(F.sum("lone").alias("lone"))
-    left = every.where("n > 0").join(lone, "key", "left").where((F.col("n") - F.coalesce("lone", F.lit(0))) * 100 >= F.col("n") * percent)
-    alive = checkpointed(left.select("doc_id", "sid"))
+    every = checkpointed(sizes_and_lone_grams(known, width))
+    alive = every.where("n > 0").where((F.col("n") - F.col("lone")) * 100 >= F.col("n") * percent).select("doc_id", "sid")
     classes = checkpointed(alive.groupBy("sid").agg(F.min("doc_id").alias("class_id")))
     copies = alive.join(classes, "sid").where("class_id < doc_id").select(F.col("class_id").alias("a"), F.col("doc_id").alias("b"))
     sets = checkpointed(class_sets(known, classes, width))
     entries = checkpointed(prefix_entries(sets, percent))
-    met = checkpointed(entries.groupBy("gram").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("sid", "n", "pos", "behind")).alias("first")).where("size > 1"))
-    own = F.struct("sid", "n", "pos", "behind").alias("own")
-    star = entries.select("gram", own).join(met, "gram").where(F.col("own.sid") != F.col("first.sid")).where(may_link(F.col("own"), F.col("first"), percent))
-    star = checkpointed(star.select(F.col("first.sid").alias("a"), F.col("own.sid").alias("b")).distinct())
+    met = entries.groupBy("gram").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("gram")
+    crowded = checkpointed(entries.join(met, "gram", "left_semi"))
     of = sets.select(F.col("sid").alias("doc_id"), F.col("grams").alias("shingles"))
     linked = F.col("common") * 100 >= F.col("total") * percent
-    led = checkpointed(verify(of, star).where(linked).select("a", "b"))
-    crowded = entries.join(met.select("gram"), "gram", "left_semi")
-    more = open_pairs(crowded, components(led), percent).join(star, ["a", "b"], "left_anti")
-    rest = verify(of, checkpointed(more)).where(linked).select("a", "b")
-    links = led.unionByName(rest)
+    tried = links = docs.sparkSession.createDataFrame([], "a long, b long")
+    groups = components(links)
+    for seed in range(ROUNDS):
+        pairs = checkpointed(some_each(crowded, groups, percent, seed, 1 << seed).join(tried, ["a", "b"], "left_anti"))
+        found = checkpointed(verify(of, pairs).where(linked).select("a", "b"))
+        if found.isEmpty():
+            break
+        tried, links = tried.unionByName(pairs), links.unionByName(found)
+        groups = components(links)
+    more = checkpointed(open_pairs(crowded, groups, percent).join(tried, ["a", "b"], "left_anti"))
+    links = links.unionByName(verify(of, more).where(linked).select("a", "b"))
     for end in ("a", "b"):
         links = links.withColumnRenamed(end, "sid").join(classes, "sid").drop("sid").withColumnRenamed("class_id", end)
     whole = components(links.select("a", "b").unionByName(copies))

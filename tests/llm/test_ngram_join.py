@@ -71,12 +71,7 @@ def test_lone_grams_are_counted_across_blocks(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BUCKET", 2)
     rows = [(1, "a b c d e"), (2, "c d e f g"), (3, "q r s t u v")]
     seen = ngram_join.sizes_and_lone_grams(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 2).collect()
-    names = {r.key: r.doc_id for r in seen if r.n is not None}
-    lone = {}
-    for r in seen:
-        if r.lone is not None:
-            lone[names[r.key]] = lone.get(names[r.key], 0) + r.lone
-    assert lone == {1: 2, 2: 2, 3: 5}
+    assert {r.doc_id: (r.n, r.lone) for r in seen} == {1: (4, 2), 2: (4, 2), 3: (5, 5)}
 
 
 def test_long_texts_in_pieces(monkeypatch):
