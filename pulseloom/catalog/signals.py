@@ -25,6 +25,7 @@ from pulseloom.functions.payload import keys_error, normalize_keys, redact_paylo
 from pulseloom.operators import ingest as ing
 from pulseloom.operators import sessions as ses
 from pulseloom.plans.ingest import ingest
+from pulseloom.session import scratch_folder
 from pulseloom.sources import envelopes as env
 from pulseloom.sources.tables import raw_signals, signals, table
 
@@ -47,7 +48,7 @@ def validated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def envelope_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One JSON text per batch of 100 events; five of 25 batches are broken, each in its own way."""
+    """One JSON text per batch of 100 events, and beside them broken texts, each in its own way, under negative batch ids."""
     item = F.struct(
         "id",
         F.col("event_type").alias("eventType"),
@@ -64,26 +65,31 @@ def envelope_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy("batch_id")
         .agg(F.array_sort(F.collect_list(F.struct("pos", "json"))).alias("items"))
     )
-    body = F.concat(F.lit('{"sourceContext":"test","signals":['), F.array_join("items.json", ","), F.lit("]}"))
-    value = (
+    context = F.concat(F.lit('{"sourceContext":"batch '), F.col("batch_id").cast("string"), F.lit('","signals":['))
+    body = F.concat(context, F.array_join("items.json", ","), F.lit("]}"))
+    broken = (
         F.when(F.col("batch_id") % 25 == 7, F.lit("{"))
         .when(F.col("batch_id") % 25 == 8, F.lit('{"signals":[]}'))
         .when(F.col("batch_id") % 25 == 10, F.lit('{"signals":[{"eventType":"log","source":5,"severity":1}]}'))
         .when(F.col("batch_id") % 25 == 11, F.concat(body, F.lit(" tail")))
         .when(F.col("batch_id") % 25 == 9, F.lit('{"signals":[{"eventType":"log","source":"s","severity":"high"}]}'))
-        .otherwise(body)
     )
-    return batches.select("batch_id", value.alias("value"))
+    both = F.array(F.struct("batch_id", body.alias("value")), F.struct((-F.col("batch_id") - 1).alias("batch_id"), broken.alias("value")))
+    return batches.select(F.explode(both).alias("batch")).select("batch.*").where("value is not null")
 
 
 @query(
     "read_envelopes",
     f"""with {RAW} select batch_id, pos, id, event_type, source, environment, ts_text as "timestamp", severity, message,
-      cast(json_extract(payload, '$.k') as bigint) as k from raw where batch_id % 25 not in (7, 8, 9, 10, 11)""",
+      cast(json_extract(payload, '$.k') as bigint) as k from raw""",
 )
 def read_envelopes(spark, sf_dir):
-    rows = env.envelope_signals(env.parse_envelopes(envelope_texts(spark, sf_dir)))
-    return rows.select(
+    """Written to files, one text a line, the broken ones among them, and read from there."""
+    folder = scratch_folder(spark)
+    envelope_texts(spark, sf_dir).select("value").write.text(folder)
+    parsed = env.read_envelopes(spark, folder)
+    sent = F.regexp_extract("envelope.sourceContext", "^batch ([0-9]+)$", 1).try_cast("bigint")
+    return env.envelope_signals(parsed.withColumn("batch_id", sent)).select(
         "batch_id", "pos", "id", "event_type", "source", "environment", "timestamp", "severity", "message",
         F.get_json_object("payload", "$.k").cast("bigint").alias("k"),
     )
@@ -91,7 +97,7 @@ def read_envelopes(spark, sf_dir):
 
 @query(
     "quarantine_batches",
-    f"""with {RAW} select distinct batch_id, case when batch_id % 25 = 8
+    f"""with {RAW} select distinct -batch_id - 1 as batch_id, case when batch_id % 25 = 8
       then 'signals is required and must contain at least one item' else 'malformed body' end as reason
       from raw where batch_id % 25 in (7, 8, 9, 10, 11)""",
 )

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pulseloom.catalog.analysis import tables_of
-from pulseloom.catalog.base import ANALYZED, CANDIDATES, FLAGGED, MINUTE, RULES, SIGNALS, query, sessions_sql, sql_mask
+from pulseloom.catalog.base import ANALYZED, AS_OF_US, CANDIDATES, FLAGGED, MINUTE, RULES, SIGNALS, as_of, query, sessions_sql, sql_mask
 from pulseloom.catalog.signals import validated
 from pulseloom.operators.ingest import classified_signals
 from pulseloom.operators.sessions import session_summary
 from pulseloom.session import scratch_folder
-from pulseloom.sources.tables import event_stream, raw_signals_of, signals, signals_of
+from pulseloom.sources.signal_store import SignalStore
+from pulseloom.sources.tables import event_stream, raw_signals_of, signals, signals_of, table
 from pulseloom.streaming.ingest import stream_incidents, stream_ingest
 from pulseloom.streaming.metrics import rolling_counts
 from pulseloom.streaming.sessions import repaired_sessions, stream_sessions, unsessioned_signals
@@ -34,7 +35,57 @@ def _run_ingest(spark, sf_dir) -> str:
 )
 def stream_ingest_query(spark, sf_dir):
     base = _run_ingest(spark, sf_dir)
-    return spark.read.parquet(f"{base}/signals").select("id", "event_type", "source", "env", "severity", "message")
+    return SignalStore(spark, f"{base}/signals").read().select("id", "event_type", "source", "env", "severity", "message")
+
+
+@query(
+    "stream_ingest_batches",
+    f"""with {_ACCEPTED} select id, event_type, source, env, case when ts_text is not null then ts_us end as ts_us, severity,
+      {sql_mask('message')} as message, payload from accepted""",
+)
+def stream_ingest_batches(spark, sf_dir):
+    """Three micro-batches of whole batches; each of the later ones also sends a third of the first again."""
+    base = scratch_folder(spark)
+    events = table(spark, sf_dir, "events")
+    last = events.agg(F.max("event_id").alias("n")).first()["n"]
+    third = (last // 300 + 1) * 100
+    for number in range(3):
+        again = (F.col("event_id") < third) & (F.floor(F.col("event_id") / 100) % 3 == number)
+        part = events.where((F.floor(F.col("event_id") / third) == number) | again)
+        part.coalesce(1).write.mode("append").parquet(f"{base}/feed")
+    feed = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/feed")
+    stream_ingest(raw_signals_of(feed), base, f"{base}/checkpoint").awaitTermination()
+    # Missing times became the moment of arrival.
+    at = F.when(F.col("timestamp") < F.lit("2025-01-01").cast("timestamp"), F.unix_micros("timestamp"))
+    return SignalStore(spark, f"{base}/signals").read().select("id", "event_type", "source", "env", at.alias("ts_us"), "severity", "message", "payload")
+
+
+@query(
+    "expire_signals",
+    f"""with {SIGNALS} select id, env, ts_us, severity, message, payload from signals
+      where ts_us >= {AS_OF_US} - 86400000000 * case env when 'production' then 30 when 'staging' then 14 else 7 end""",
+)
+def expire_signals(spark, sf_dir):
+    """A store of two epochs, compacted and expired; what is left."""
+    store = SignalStore(spark, f"{scratch_folder(spark)}/signals")
+    rows = signals(spark, sf_dir)
+    for epoch, part in enumerate((rows.where("severity < 3"), rows.where("severity >= 3"))):
+        store.append(part, epoch)
+    store.compact()
+    store.expire(as_of())
+    return store.read().select("id", "env", F.unix_micros("timestamp").alias("ts_us"), "severity", "message", "payload")
+
+
+@query(
+    "stored_ids",
+    f"""with {SIGNALS} select id from signals where cast(substr(id, 5) as bigint) % 2 = 0
+      and id in (select 'evt-' || o_custkey from orders)""",
+)
+def stored_ids(spark, sf_dir):
+    """Ids of another table against the index of a store that has every second signal."""
+    store = SignalStore(spark, f"{scratch_folder(spark)}/signals")
+    store.append(signals(spark, sf_dir).where("cast(substr(id, 5) as bigint) % 2 = 0"), 0)
+    return store.known_ids(table(spark, sf_dir, "orders").select(F.concat(F.lit("evt-"), F.col("o_custkey").cast("string")).alias("id")))
 
 
 @query(

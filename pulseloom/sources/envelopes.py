@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pulseloom.functions.strict import not_text, one_value
+from pulseloom.session import broadcast_if_small
 
 TEXTS = ("id", "eventType", "source", "environment", "timestamp", "message")
 _TYPED = (
@@ -79,13 +80,19 @@ def envelope_signals(parsed: DataFrame) -> DataFrame:
 def read_envelopes(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
     """Envelopes from files: one per line, or one per file.
 
-    ``batch_id`` names the place: the file and, for lines, where its block begins
-    and the line's number in the task that reads it, so that equal lines differ and
-    earlier lines of a block come first.
+    ``batch_id`` names the place: the file and, for lines, the line's number in
+    it. It does not depend on how Spark cuts files into tasks, so a job that
+    runs again with other settings gives signals without ids the same ids. For this
+    the lines of every block are counted before they are read.
     """
-    texts = spark.read.text(path, wholetext=whole_files)
-    number = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).cast("string")
-    block = F.col("_metadata.file_block_start").cast("string")
-    line = F.concat_ws("#", F.col("_metadata.file_path"), F.lpad(block, 16, "0"), F.lpad(number, 10, "0"))
-    place = F.col("_metadata.file_path") if whole_files else line
-    return parse_envelopes(texts.select(place.alias("batch_id"), "value"))
+    file = F.col("_metadata.file_path").alias("file")
+    if whole_files:
+        return parse_envelopes(spark.read.text(path, wholetext=True).select(file.alias("batch_id"), "value"))
+    # A task may read several blocks: lines are numbered in the task, blocks tell where they begin.
+    lines = spark.read.text(path).select(file, F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    blocks = lines.groupBy("file", "block").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = blocks.select("file", "block", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
+    placed = lines.join(broadcast_if_small(offsets, materialize=True), ["file", "block"])
+    number = F.lpad((F.col("at") + F.col("shift")).cast("string"), 12, "0")
+    return parse_envelopes(placed.select(F.concat_ws("#", "file", number).alias("batch_id"), "value"))

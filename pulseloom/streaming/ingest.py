@@ -11,12 +11,14 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from pulseloom.operators.incidents import upsert_incidents
+from pulseloom.operators.ingest import default_id
 from pulseloom.operators.sessions import DEFAULT_WINDOW_US
 from pulseloom.plans.correlate import correlate
 from pulseloom.plans.ingest import Ingested, ingest
-from pulseloom.schemas import INCIDENTS, SIGNALS
+from pulseloom.schemas import INCIDENT_SIGNALS, INCIDENTS
 from pulseloom.session import checkpointed
-from pulseloom.sources.store import append_signals, overwrite_partitions, read_table
+from pulseloom.sources.signal_store import SignalStore
+from pulseloom.sources.store import overwrite_partitions, read_table
 from pulseloom.streaming.metrics import append_summary
 
 
@@ -35,20 +37,20 @@ def epoch_time(spark: SparkSession, folder: str, epoch: int) -> Column:
     return F.timestamp_micros(F.lit(spark.read.parquet(path).first()["as_of_us"]))
 
 
-def stored_before(spark: SparkSession, path: str, epoch: int) -> DataFrame:
-    """Stored ids without those the same epoch wrote in an earlier, unfinished run."""
-    schema = T.StructType([*SIGNALS.fields, T.StructField("epoch", T.LongType())])
-    return read_table(spark, path, schema).filter(F.col("epoch") != epoch).select("id")
-
-
 def ingest_epoch(
     raw: DataFrame, epoch: int, base: str, allow_list: Column | DataFrame | None = None, metrics: bool = True
 ) -> Ingested:
-    """Store one micro-batch below ``base``. Late rows are stored like any other."""
+    """Store one micro-batch below ``base``. Late rows are stored like any other.
+
+    Which ids are stored the store's index tells, without a look at other ids;
+    those the same epoch stored in an earlier run do not count.
+    """
     spark = raw.sparkSession
     as_of = epoch_time(spark, f"{base}/epochs", epoch)
-    result = ingest(raw, as_of, stored_before(spark, f"{base}/signals", epoch), allow_list, materialize=True)
-    append_signals(result.stored.drop("batch_id", "pos"), f"{base}/signals", epoch)
+    store = SignalStore(spark, f"{base}/signals")
+    ids = raw.select(default_id(F.col("id"), F.col("batch_id"), F.col("pos")).alias("id"))
+    result = ingest(raw, as_of, store.known_ids(ids, epoch), allow_list, materialize=True)
+    store.append(result.stored.drop("batch_id", "pos"), epoch)
     if metrics:
         append_summary(result.summary, f"{base}/metrics", epoch, as_of)
     return result
@@ -66,7 +68,8 @@ def correlate_epoch(
     table, changes, links = f"{base}/incidents", f"{base}/changes/epoch={epoch}", f"{base}/links"
     as_of = epoch_time(spark, f"{base}/epochs", epoch)
     if not _exists(spark, f"{changes}/_SUCCESS"):
-        result = correlate(accepted, read_table(spark, table, INCIDENTS).select(*INCIDENTS.names), rules, patterns, as_of, window_us)
+        known = read_table(spark, links, T.StructType([*INCIDENT_SIGNALS.fields, T.StructField("epoch", T.LongType())])).filter(F.col("epoch") != epoch)
+        result = correlate(accepted, read_table(spark, table, INCIDENTS).select(*INCIDENTS.names), rules, patterns, as_of, window_us, known_links=known)
         (
             result.links.withColumn("epoch", F.lit(epoch).cast("long"))
             .write.mode("overwrite")

@@ -99,6 +99,26 @@ def test_read_envelopes_from_files(spark, tmp_path):
     assert envelope_signals(read_envelopes(spark, str(tmp_path), whole_files=True)).count() == 1
 
 
+@pytest.mark.parametrize("whole", [False, True])
+def test_batch_ids_do_not_depend_on_the_split(spark, tmp_path, whole):
+    """Equal lines get different ids, and every line the same one however files are cut and packed into tasks."""
+    for name in ("a", "b"):
+        (tmp_path / name).write_text("".join(batch({**GOOD, "message": "m" * (n % 7 * 40)}) + "\n" for n in range(40)) + batch(GOOD))
+    seen = []
+    try:
+        for size, cores in (("128m", "1"), ("700", "3"), ("3k", "1"), ("64", "8")):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "0")
+            spark.conf.set("spark.sql.files.minPartitionNum", cores)
+            seen.append(sorted((r.batch_id, r.value) for r in read_envelopes(spark, str(tmp_path), whole_files=whole).collect()))
+    finally:
+        for key in ("maxPartitionBytes", "openCostInBytes", "minPartitionNum"):
+            spark.conf.unset(f"spark.sql.files.{key}")
+    assert all(rows == seen[0] for rows in seen) and len({i for i, _ in seen[0]}) == len(seen[0]) == (2 if whole else 82)
+    if not whole:
+        assert [i.split("#")[1] for i, _ in seen[0][:41]] == [f"{n:012d}" for n in range(41)]
+
+
 def test_duplicates_and_summary(spark):
     texts = [batch({**GOOD, "id": "a"}, {**GOOD, "id": "a"}, {**GOOD, "id": "s"}, {**GOOD, "severity": 7}), batch({**GOOD, "id": "a"})]
     stored = spark.createDataFrame([("s",)], "id string")

@@ -8,6 +8,7 @@ from pulseloom.operators.ingest import classified_signals, valid_signals, valida
 from pulseloom.operators.sessions import session_summary
 from pulseloom.schemas import INCIDENTS, PATTERNS, RULES, SIGNALS
 from pulseloom.sources.envelopes import envelope_signals, parse_envelopes
+from pulseloom.sources.signal_store import SignalStore
 from pulseloom.sources.store import append_signals, expire_signals, read_table
 from pulseloom.sources.tables import sample_patterns, sample_rules
 from pulseloom.streaming.ingest import correlate_epoch, ingest_epoch, stream_incidents, stream_ingest
@@ -45,7 +46,7 @@ def test_ingest_stream_stores_each_id_once_and_late_rows_too(spark, tmp_path):
         stream_ingest(envelope_stream(spark, str(feed)), base, f"{base}/ckpt").awaitTermination()
     write(feed, 3, item("b", 5), item("c", 700))
     stream_ingest(envelope_stream(spark, str(feed)), base, f"{base}/ckpt").awaitTermination()
-    assert sorted(r.id for r in spark.read.parquet(f"{base}/signals").collect()) == ["a", "b", "c", "late"]
+    assert sorted(r.id for r in SignalStore(spark, f"{base}/signals").read().collect()) == ["a", "b", "c", "late"]
     totals = spark.read.parquet(f"{base}/metrics").agg(
         F.sum("accepted_count"), F.sum("duplicate_count"), F.sum("rejected_count")
     ).first()
@@ -61,7 +62,7 @@ def test_a_repeated_epoch_changes_nothing(spark, tmp_path):
     for _ in range(2):
         accepted = ingest_epoch(raw, 7, base).accepted
         correlate_epoch(accepted, 7, base, rules, patterns)
-        tables = [spark.read.parquet(f"{base}/{t}").collect() for t in ("signals", "incidents", "links", "metrics")]
+        tables = [SignalStore(spark, f"{base}/signals").read().collect(), *[spark.read.parquet(f"{base}/{t}").collect() for t in ("incidents", "links", "metrics")]]
         seen.append([sorted(map(repr, rows)) for rows in tables])
     assert seen[0] == seen[1]
     assert [len(rows) for rows in seen[0]] == [3, 2, 3, 1]
