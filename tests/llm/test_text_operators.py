@@ -49,6 +49,33 @@ def test_context_words_after_a_span_count(spark):
     assert pii.mask_personal_data(found.drop("spans")).orderBy("doc_id").first().text == "[SSN] (SSN)"
 
 
+def test_a_long_text_full_of_spans(spark):
+    """A megabyte with tens of thousands of spans, some next to each other, some overlapping; chunks end anywhere."""
+    import random
+
+    r = random.Random(7)
+    parts = [lambda: f"u{r.randrange(10**4)}@ex-{r.randrange(99)}.com", lambda: f"10.{r.randrange(300)}.0.{r.randrange(256)}", lambda: "+1 (555) 123-4567", lambda: "4111 1111 1111 1111", lambda: "call 555-123-4567,", lambda: "4111111111111111@a.bc", lambda: "é😀 word" * r.randrange(9), lambda: "\n"]
+    text = "".join(r.choice(parts)() + r.choice((" ", ",", ", and ")) for _ in range(60_000))
+    frame = spark.createDataFrame([(1, text, 0), (2, text[:700], 0)], "doc_id long, text string, n_chars long")
+    found = pii.find_personal_data(frame).orderBy("doc_id").select("spans", pii.digest(F.col("base_spans")).alias("base")).collect()
+    assert [x.base for x in found] == [base_spans(text), base_spans(text[:700])]
+    masked = [x.text for x in pii.mask_personal_data(frame).orderBy("doc_id").collect()]
+    for whole, out, row in zip((text, text[:700]), masked, found, strict=True):
+        spans, plain, at, k = [(x.start, x.end, x.kind) for x in row.spans], [], 0, 0
+        while k < len(spans):
+            start, end, kind = spans[k]
+            while k + 1 < len(spans) and spans[k + 1][0] < end:
+                k += 1
+                end = max(end, spans[k][1])
+            plain += [whole[at:start], f"[{kind.upper()}]"]
+            at, k = end, k + 1
+        assert out == "".join(plain) + whole[at:]
+        base = [x for x in spans if x[2] in pii.BASE]
+        more = [x for x in spans if x[2] not in pii.BASE]
+        assert not any(b[0] < m[1] and m[0] < b[1] for m in more[:200] for b in base)
+    assert len(found[0].spans) > 30_000 and any(x.kind == "local_phone" for x in found[0].spans)
+
+
 def test_masking_keeps_rows_and_columns(spark):
     rows = [(1, "mail a@b.cc or +1 (988) 555-2485!", 0), (2, None, None), (3, "4111111111111111@a.b", 0)]
     got = pii.mask_personal_data(spark.createDataFrame(rows, "doc_id long, text string, n_chars long"))
