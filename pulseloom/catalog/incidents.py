@@ -139,6 +139,43 @@ def claim_incidents(spark, sf_dir):
     return claims(spark, sf_dir).select(*KEYS, "incident_id")
 
 
+# Incidents that touch a pair of services and, half of them, two environments: the keys of a pair depend on each other.
+_NEXT = "concat('svc-', cast(substr(source, 5) as int) + 1 - 2 * (cast(substr(source, 5) as int) % 2))"
+_SHARED = f"""{SIGNALS}, {sessions_sql(2 * HOUR)},
+offers as (
+  select 'inc-' || source || '-' || env || '-' || session_start as id, [source, {_NEXT}] as services,
+    case when session_start % 2 = 0 then [env, 'production'] else [env] end as envs, {UPDATED} as updated_us
+  from sessions where session_start % 3 > 0)"""
+
+
+@query(
+    "claim_shared_incidents",
+    f"""with recursive {_SHARED},
+    turns as (select *, row_number() over (order by source, env, session_start) as n from sessions),
+    wanted as (
+      select t.n, list(o.id order by o.updated_us, o.id) as ids
+      from turns t join offers o on list_contains(o.services, t.source) and list_contains(o.envs, t.env) and t.session_end - o.updated_us <= {2 * HOUR}
+      group by t.n),
+    walk(n, taken, id) as (
+      select 0::bigint, []::varchar[], null::varchar
+      union all
+      select n, case when id is null then taken else list_append(taken, id) end, id from (
+        select w.n + 1 as n, w.taken, list_filter(x.ids, lambda i: not list_contains(w.taken, i))[1] as id
+        from walk w left join wanted x on x.n = w.n + 1 where w.n < (select count(*) from turns)))
+    select t.source, t.env, t.session_start, w.id as incident_id from walk w join turns t on t.n = w.n where w.id is not null""",
+)
+def claim_shared_incidents(spark, sf_dir):
+    """One session after the other takes its first free incident; the twin walks just so."""
+    rows = session_summary(signals(spark, sf_dir), 2 * HOUR)
+    offers = _incident_rows(rows).withColumn("status", F.lit("new")).where("unix_micros(created_at) % 3 > 0")
+    source, env = F.col("impacted_services")[0], F.col("environments")[0]
+    number = F.substring(source, 5, 9).cast("int")
+    following = F.concat(F.lit("svc-"), number + 1 - 2 * (number % 2))
+    wide = F.when(F.unix_micros("created_at") % 2 == 0, F.array(env, F.lit("production"))).otherwise(F.array(env))
+    offers = checkpointed(offers.withColumn("environments", wide).withColumn("impacted_services", F.array(source, following)))
+    return inc.claim_incidents(rows, offers, 2 * HOUR).select(*KEYS, "incident_id")
+
+
 # -- creation and merging ---------------------------------------------------
 
 _CREATED = f"""select sha256(source || '|' || env || '|' || session_start || '|{AS_OF_US}') as id, 'Auto-generated incident' as title,
@@ -212,6 +249,50 @@ def union_signal_links(spark, sf_dir):
     return inc.union_incident_signals(known, extra.drop("severity").unionByName(known))
 
 
+@query(
+    "correlate_known_links",
+    f"""with {FULL}, {CLAIMS} select c.incident_id, m.id as signal_id from members m join claims c using (source, env, session_start)
+      where m.severity < 5 union all
+      select sha256(m.source || '|' || m.env || '|' || m.session_start || '|{AS_OF_US}'), m.id
+      from members m join sessions s using (source, env, session_start)
+      where s.max_severity >= 4 and (m.source, m.env, m.session_start) not in (select source, env, session_start from claims)""",
+)
+def correlate_known_links(spark, sf_dir):
+    """A correlation whose incidents have the links of their severity 5 signals already: only the rest is linked."""
+    rules, patterns = tables_of(spark)
+    rows, stored = signals(spark, sf_dir), stored_incidents(spark, sf_dir)
+    taken = inc.claim_incidents(sessions(spark, sf_dir), stored, HOUR)
+    known = session_members(rows, HOUR).where("severity >= 5").join(taken, list(KEYS)).select("incident_id", F.col("id").alias("signal_id"))
+    return correlate(rows, stored, rules, patterns, as_of(), HOUR, known_links=known).links.select("incident_id", "signal_id")
+
+
+def _by_event_type(signals_, rules, patterns, window_us):
+    """An analyzer of another kind: it names a session's event types and reads no rule."""
+    types = session_members(signals_, window_us).groupBy(*KEYS).agg(F.array_sort(F.collect_set("event_type")).alias("types"))
+    found = session_summary(signals_, window_us).join(types, list(KEYS))
+    return found.select(
+        *KEYS, "session_end", "max_severity",
+        F.concat(F.lit("seen: "), F.array_join("types", ", ")).alias("analysis_summary"),
+        F.transform("types", lambda t: F.concat(F.lit("Look at "), t)).alias("recommendations"),
+    )
+
+
+@query(
+    "correlate_with_analyzer",
+    f"""with {BASE}, {CLAIMS},
+    analyzed as (
+      select s.*, 'seen: ' || string_agg(distinct m.event_type, ', ' order by m.event_type) as analysis_summary,
+        string_agg(distinct 'Look at ' || m.event_type, '|' order by 'Look at ' || m.event_type) as recommendations
+      from sessions s join members m using (source, env, session_start)
+      group by s.source, s.env, s.session_start, s.session_end, s.signal_count, s.max_severity),
+    {_CHANGES} select * from changes""",
+)
+def correlate_with_analyzer(spark, sf_dir):
+    rules, patterns = tables_of(spark)
+    stored = stored_incidents(spark, sf_dir)
+    return flat(correlate(signals(spark, sf_dir), stored, rules, patterns, as_of(), HOUR, analyzer=_by_event_type).changes)
+
+
 @query(
     "upsert_incidents",
     f"""with {FULL}, {CLAIMS}, {_CHANGES} select * from changes union all

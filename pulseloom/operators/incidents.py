@@ -9,13 +9,16 @@ window per key. A key with many incidents or sessions is therefore split.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulseloom.functions.analysis import append_recommendations, is_open
 from pulseloom.operators.changes import last_request
+from pulseloom.operators.groups import connected
 from pulseloom.operators.sessions import DEFAULT_WINDOW_US, SESSION_KEYS, cell_of, is_high
-from pulseloom.session import checkpointed
+from pulseloom.session import broadcast_if_small, checkpointed
 
 BUCKET_US = 86_400_000_000
 TITLE = "Auto-generated incident"
@@ -151,32 +154,57 @@ def _claims(sessions: DataFrame, places: DataFrame, window_us: int, bucket_us: i
     return taken.join(offered, [*keys, "_rank"]).drop("_rank")
 
 
+def dependent_keys(places: DataFrame) -> DataFrame:
+    """source, env, part: the keys that share an open incident with another key; keys of one part depend on each other."""
+    key = F.to_json(F.struct(*SESSION_KEYS))
+    named = places.select("incident_id", *SESSION_KEYS, key.alias("key"))
+    several = named.groupBy("incident_id").agg(F.min("key").alias("head"), F.max("key").alias("last")).where("head < last")
+    links = named.join(several, "incident_id").select(F.col("head").alias("a"), F.col("key").alias("b")).distinct()
+    parts = connected(links).withColumnRenamed("group", "part")
+    return named.select(*SESSION_KEYS, "key").distinct().join(parts, F.col("key") == F.col("node")).select(*SESSION_KEYS, "part")
+
+
 def claim_incidents(
     sessions: DataFrame, incidents: DataFrame, window_us: int = DEFAULT_WINDOW_US, bucket_us: int = BUCKET_US
 ) -> DataFrame:
     """(source, env, session_start, incident_id): an incident taken by one session
     is resolved and not available to the next one.
 
-    Keys act in (source, env) order. Incidents that touch several keys make keys
-    depend on each other; then claims are repeated, each key without what smaller
-    keys claimed last time, until nothing changes. After round r the first r keys
-    are final, so this ends.
+    Keys act in (source, env) order. Keys that share no incident with another are
+    claimed in one pass. Incidents that touch several keys tie keys into parts;
+    inside these, claims are repeated, each key without what smaller keys of its
+    part claimed last time, and a part leaves the rounds as soon as nothing in it
+    changes. After round r the first r keys of a part are final, so this ends.
     """
     places = open_places(incidents)
-    claims = _claims(sessions, places, window_us, bucket_us)
-    shared = places.groupBy("incident_id").count().filter("count > 1").select("incident_id")
+    shared = places.groupBy("incident_id").count().filter("count > 1")
     if shared.isEmpty():
-        return claims
+        return _claims(sessions, places, window_us, bucket_us)
     keys = list(SESSION_KEYS)
     place = F.struct(*keys)
-    claims = checkpointed(claims)
+    places = checkpointed(places)
+    tied = broadcast_if_small(dependent_keys(places), materialize=True)
+    alone = _claims(sessions.join(tied, keys, "left_anti"), places.join(tied, keys, "left_anti"), window_us, bucket_us)
+    asking = checkpointed(sessions.select(*keys, "session_start", "session_end").join(tied, keys))
+    offered = places.join(tied, keys)
+
+    def claimed(open_parts: DataFrame | None, free: DataFrame) -> DataFrame:
+        wanted = asking if open_parts is None else asking.join(open_parts, "part", "left_semi")
+        return checkpointed(_claims(wanted, free, window_us, bucket_us).join(tied, keys))
+
+    settled, claims, open_parts = [alone], claimed(None, offered), None
     while True:
-        owners = claims.join(shared, "incident_id", "left_semi").groupBy("incident_id").agg(F.min(place).alias("_owner"))
-        free = places.join(owners, "incident_id", "left").filter(F.col("_owner").isNull() | (place <= F.col("_owner")))
-        again = checkpointed(_claims(sessions, free.drop("_owner"), window_us, bucket_us))
-        if claims.exceptAll(again).isEmpty() and again.exceptAll(claims).isEmpty():
-            return again
-        claims = again
+        owners = claims.groupBy("incident_id").agg(F.min(place).alias("_owner"))
+        live = offered if open_parts is None else offered.join(open_parts, "part", "left_semi")
+        free = live.join(owners, "incident_id", "left").filter(F.col("_owner").isNull() | (place <= F.col("_owner"))).drop("_owner")
+        again = claimed(open_parts, free)
+        both = claims.withColumn("_n", F.lit(1)).unionByName(again.withColumn("_n", F.lit(-1)))
+        moved = both.groupBy(*again.columns).agg(F.sum("_n").alias("_n")).where("_n <> 0").select("part").distinct()
+        open_parts = broadcast_if_small(moved, materialize=True)
+        settled.append(again.join(open_parts, "part", "left_anti").drop("part"))
+        if open_parts.isEmpty():
+            return reduce(DataFrame.unionByName, settled)
+        claims = again.join(open_parts, "part", "left_semi").select(*again.columns)
 
 
 def session_incident_id(as_of: Column) -> Column:

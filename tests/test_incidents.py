@@ -82,6 +82,27 @@ def test_claims_of_shared_incidents_agree_with_the_greedy_loop(spark):
     assert len(set(want.values())) == len(want)
 
 
+def test_only_parts_that_still_change_are_claimed_again(spark, monkeypatch):
+    """Two chains of keys of unlike length and a crowd of keys that share nothing."""
+    sessions, incidents = [], []
+    for part, length in (("a", 5), ("b", 2)):
+        for k in range(length):
+            sessions += [(f"{part}{k}", "prod", BASE_US + (n * 100 + k) * SECOND, BASE_US + (n * 100 + k + 1) * SECOND) for n in range(4)]
+        for k in range(length - 1):
+            incidents += [incident(f"{part}{k}-{n}", n * 90, (f"{part}{k}", f"{part}{k + 1}"), ("prod",)) for n in range(5)]
+    for k in range(30):
+        sessions.append((f"c{k}", "prod", BASE_US, BASE_US + SECOND))
+        incidents.append(incident(f"c{k}", 5, (f"c{k}",), ("prod",)))
+    places = inc.open_places(spark.createDataFrame(incidents, INCIDENTS))
+    assert sorted((r.source, r.part) for r in inc.dependent_keys(places).collect() if r.source[0] == "a") == [(f"a{k}", '{"source":"a0","env":"prod"}') for k in range(5)]
+    asked = []
+    plain = inc._claims
+    monkeypatch.setattr(inc, "_claims", lambda s, *rest: asked.append({r.source[0] for r in s.collect()}) or plain(s, *rest))
+    found = inc.claim_incidents(*frames(spark, sessions, incidents), 60 * SECOND).collect()
+    assert {(r.source, r.env, r.session_start): r.incident_id for r in found} == greedy(sessions, incidents, 60 * SECOND)
+    assert asked[0] == {"c"} and asked[1] == {"a", "b"} and asked[-1] == {"a"}
+
+
 def test_related_agrees_with_a_plain_search(spark):
     sessions, incidents = random_case(8, shared=True)
     for bucket in (3_600 * SECOND, inc.BUCKET_US):
