@@ -141,7 +141,7 @@ def claim_incidents(spark, sf_dir):
 
 # Incidents that touch a pair of services and, half of them, two environments: the keys of a pair depend on each other.
 _NEXT = "concat('svc-', cast(substr(source, 5) as int) + 1 - 2 * (cast(substr(source, 5) as int) % 2))"
-_SHARED = f"""{SIGNALS}, {sessions_sql(2 * HOUR)},
+_SHARED = f"""{SIGNALS}, {sessions_sql(4 * HOUR)},
 offers as (
   select 'inc-' || source || '-' || env || '-' || session_start as id, [source, {_NEXT}] as services,
     case when session_start % 2 = 0 then [env, 'production'] else [env] end as envs, {UPDATED} as updated_us
@@ -154,7 +154,7 @@ offers as (
     turns as (select *, row_number() over (order by source, env, session_start) as n from sessions),
     wanted as (
       select t.n, list(o.id order by o.updated_us, o.id) as ids
-      from turns t join offers o on list_contains(o.services, t.source) and list_contains(o.envs, t.env) and t.session_end - o.updated_us <= {2 * HOUR}
+      from turns t join offers o on list_contains(o.services, t.source) and list_contains(o.envs, t.env) and t.session_end - o.updated_us <= {4 * HOUR}
       group by t.n),
     walk(n, taken, id) as (
       select 0::bigint, []::varchar[], null::varchar
@@ -166,14 +166,14 @@ offers as (
 )
 def claim_shared_incidents(spark, sf_dir):
     """One session after the other takes its first free incident; the twin walks just so."""
-    rows = session_summary(signals(spark, sf_dir), 2 * HOUR)
+    rows = session_summary(signals(spark, sf_dir), 4 * HOUR)
     offers = _incident_rows(rows).withColumn("status", F.lit("new")).where("unix_micros(created_at) % 3 > 0")
     source, env = F.col("impacted_services")[0], F.col("environments")[0]
     number = F.substring(source, 5, 9).cast("int")
     following = F.concat(F.lit("svc-"), number + 1 - 2 * (number % 2))
     wide = F.when(F.unix_micros("created_at") % 2 == 0, F.array(env, F.lit("production"))).otherwise(F.array(env))
     offers = checkpointed(offers.withColumn("environments", wide).withColumn("impacted_services", F.array(source, following)))
-    return inc.claim_incidents(rows, offers, 2 * HOUR).select(*KEYS, "incident_id")
+    return inc.claim_incidents(rows, offers, 4 * HOUR).select(*KEYS, "incident_id")
 
 
 # -- creation and merging ---------------------------------------------------
