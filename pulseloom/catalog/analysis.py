@@ -292,6 +292,37 @@ def pattern_hits(spark, sf_dir):
     return hits.filter("pattern_id is not null").select("id", "pattern_id")
 
 
+# As many patterns as there are parts, of every kind, some too short to be indexed.
+_PART_PATTERNS = """select concat('q', p_partkey) as id, concat('svc-', p_partkey % 5) as source,
+    case p_partkey % 3 when 0 then 'production' when 1 then 'staging' else 'development' end as environment,
+    case p_partkey % 4 when 1 then 'exact' when 2 then 'regex' else 'contains' end as message_match_type,
+    case when p_partkey % 40 = 3 then '' when p_partkey % 4 = 0 then concat('item ', p_partkey % 700)
+      when p_partkey % 4 = 1 then concat('retry succeeded item ', p_partkey % 700)
+      when p_partkey % 4 = 2 then concat('it[e]m [0-9]*', p_partkey % 10, ',? ?$') else concat('m ', p_partkey % 70) end as message_pattern"""
+
+
+@query(
+    "indexed_pattern_hits",
+    f"""with {SIGNALS}, many as ({_PART_PATTERNS} from part),
+    said as (select id, source, env, concat(message, ' item ', cast(substr(id, 5) as bigint) % 700) as message from signals)
+    select s.id, p.id as pattern_id from said s join many p on p.source = s.source and p.environment = s.env
+      where case p.message_match_type when 'exact' then s.message = p.message_pattern when 'contains' then contains(s.message, p.message_pattern)
+        else regexp_matches(s.message, p.message_pattern) end""",
+)
+def indexed_pattern_hits(spark, sf_dir):
+    """Every signal against thousands of patterns through the index of their required texts."""
+    expressions = _PART_PATTERNS.removeprefix("select ")
+    many = spark.sql(f"select {expressions} from {{parts}}", parts=table(spark, sf_dir, "part")).select(
+        "*",
+        F.when(F.col("message_match_type") == "regex", F.col("message_pattern")).alias("message_regex"),
+        F.array().cast("array<struct<field:string,operator:string,value:string>>").alias("payload_conditions"),
+        F.lit(0).alias("severity_min"),
+    )
+    said = signals(spark, sf_dir).withColumn("message", F.concat("message", F.lit(" item "), F.substring("id", 5, 20).cast("long") % 700))
+    found = ru.indexed_pattern_hits(said, many, ru.literal_index(many))
+    return found.where("pattern_id is not null").select("id", "pattern_id")
+
+
 @query(
     "rule_any",
     f"with {ANALYSIS_CTES} select source, env, session_start, rule_id, any_hit as matched from judged where match_type = 'single'",

@@ -23,9 +23,11 @@ from pulseloom.functions.analysis import (
     fallback_recommendations,
     max_severity,
 )
+from pulseloom.functions.literals import message_grams, pattern_grams
 from pulseloom.functions.payload import typed_conditions, typed_conditions_hold
 from pulseloom.functions.text import strip
 from pulseloom.operators.sessions import DEFAULT_WINDOW_US, SESSION_KEYS, is_high, mark_sessions, with_cell
+from pulseloom.session import broadcast_if_small, checkpointed
 
 MATCH_SINGLE = "single"  # any pattern; every other match type asks for all
 
@@ -82,7 +84,13 @@ def pattern_hits(signals: DataFrame, patterns: DataFrame, enforce_severity_min:
     selects candidates for a whole session, not single signals. The message is
     tested in the join, the payload is parsed only for rows that pass it.
     """
-    wanted = patterns.select(
+    wanted = _pattern_columns(patterns)
+    meets = _pattern_meets(signals, enforce_severity_min)
+    return signals.join(wanted, meets, "left").select(*signals.columns, _conditions_hit().alias("pattern_id"))
+
+
+def _pattern_columns(patterns: DataFrame, *more: str) -> DataFrame:
+    return patterns.select(
         F.col("id").alias("pattern_id"),
         F.col("source").alias("_p_source"),
         F.col("environment").alias("_p_env"),
@@ -91,18 +99,50 @@ def pattern_hits(signals: DataFrame, patterns: DataFrame, enforce_severity_min:
         F.col("message_regex").alias("_p_regex"),
         typed_conditions("payload_conditions").alias("_p_conditions"),
         F.col("severity_min").alias("_p_severity"),
+        *more,
     )
+
+
+def _pattern_meets(signals: DataFrame, enforce_severity_min: bool) -> Column:
     meets = (
         (strip(signals["source"]) == F.col("_p_source"))
         & (strip(signals["env"]) == F.col("_p_env"))
         & message_matches(signals["message"], F.col("_p_type"), F.col("_p_text"), F.col("_p_regex"))
     )
-    if enforce_severity_min:
-        meets = meets & (signals["severity"] >= F.col("_p_severity"))
-    hit = F.when(
-        F.col("pattern_id").isNotNull() & typed_conditions_hold("payload", "_p_conditions"), F.col("pattern_id")
-    )
-    return signals.join(wanted, meets, "left").select(*signals.columns, hit.alias("pattern_id"))
+    return meets & (signals["severity"] >= F.col("_p_severity")) if enforce_severity_min else meets
+
+
+def _conditions_hit() -> Column:
+    return F.when(F.col("pattern_id").isNotNull() & typed_conditions_hold("payload", "_p_conditions"), F.col("pattern_id"))
+
+
+def literal_index(patterns: DataFrame) -> DataFrame:
+    """pattern_id, gram: for every pattern the piece of text each of its matches has that fewest patterns have; null if none is sure.
+
+    Made once when rules are saved; a row per pattern.
+    """
+    grams = patterns.select(F.col("id").alias("pattern_id"), pattern_grams(F.col("message_match_type"), F.col("message_pattern")).alias("grams"))
+    each = checkpointed(grams.select("pattern_id", F.explode_outer("grams").alias("gram")))
+    common = each.groupBy(F.col("gram").alias("_of")).agg(F.count(F.lit(1)).alias("n"))
+    counted = each.join(common, F.col("gram").eqNullSafe(F.col("_of")))
+    return counted.groupBy("pattern_id").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+
+
+def indexed_pattern_hits(signals: DataFrame, patterns: DataFrame, index: DataFrame, enforce_severity_min: bool = False) -> DataFrame:
+    """:func:`pattern_hits` for many patterns: a message is tested only against patterns whose gram it has.
+
+    A signal is spread over its message's grams, which meet the index by equality,
+    and over one row without a gram, which meets the patterns that have none, or
+    comes out with a null pattern. So each signal comes out at least once, and once
+    with each pattern it meets. The index is joined
+    by broadcast if it is small, as rule tables are; signals then stay in place.
+    """
+    spread = F.explode(F.concat(F.array(F.lit(None).cast("string")), message_grams(F.col("message")))).alias("_gram")
+    rows = signals.select("*", spread)
+    indexed = patterns.join(index.select(F.col("pattern_id").alias("id"), "gram"), "id")
+    wanted = broadcast_if_small(_pattern_columns(indexed, "gram"), materialize=True)
+    found = rows.join(wanted, _pattern_meets(rows, enforce_severity_min) & F.col("_gram").eqNullSafe(F.col("gram")), "left")
+    return found.select(*signals.columns, "_gram", _conditions_hit().alias("pattern_id")).where("_gram is null or pattern_id is not null").drop("_gram")
 
 
 def session_evidence(
@@ -111,14 +151,19 @@ def session_evidence(
     window_us: int = DEFAULT_WINDOW_US,
     keys: Sequence[str] = SESSION_KEYS,
     enforce_severity_min: bool = False,
+    index: DataFrame | None = None,
 ) -> DataFrame:
     """One row per session: bounds, largest severity, event types, hit patterns.
 
     Both arrays are sets whose size is bounded by the rule tables and the event
     types, not by the signals. All aggregates ignore the repeats the join adds.
+    With an ``index`` of the patterns (:func:`literal_index`) messages meet only
+    the patterns it names.
     """
     columns = list(dict.fromkeys([*keys, "source", "env", "event_type", "severity", "message", "payload", "timestamp"]))
-    hits = with_cell(pattern_hits(signals.select(*columns), patterns, enforce_severity_min), window_us)
+    rows = signals.select(*columns)
+    found = pattern_hits(rows, patterns, enforce_severity_min) if index is None else indexed_pattern_hits(rows, patterns, index, enforce_severity_min)
+    hits = with_cell(found, window_us)
     cells = hits.groupBy(*keys, "cell", "event_type", "pattern_id").agg(
         F.min("ts_us").alias("first_us"),
         F.max("ts_us").alias("last_us"),
@@ -274,9 +319,10 @@ def analyze_sessions(
     keys: Sequence[str] = SESSION_KEYS,
     high_only: bool = False,
     enforce_severity_min: bool = False,
+    index: DataFrame | None = None,
 ) -> DataFrame:
     """Sessions with their analysis, in one plan over one scan of the signals."""
-    evidence = session_evidence(signals, active_patterns(rules, patterns), window_us, keys, enforce_severity_min)
+    evidence = session_evidence(signals, active_patterns(rules, patterns), window_us, keys, enforce_severity_min, index)
     if high_only:
         evidence = evidence.filter(is_high(F.col("max_severity")))
     return analyze_evidence(evidence, rules, patterns, keys)

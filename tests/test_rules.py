@@ -54,6 +54,45 @@ def test_any_and_all(spark, match_type, texts, hit):
     assert row.analysis_source == ("rule-based" if hit else "hybrid")
 
 
+def test_required_literals_are_in_every_match():
+    import re
+
+    from pulseloom.functions.literals import required_literals
+
+    rng = random.Random(11)
+    parts = ["ab", "c", "x?", "y*", "z+", "d{0,2}", "(ef)?", "(gh)", "[ij]", "[^k]", r"\.", r"\d", r"\s+", ".", "^", "$", " lm", r"\?", "n+?"]
+    letters = "abcdefghijklmnxyz .?5 k"
+    seen = 0
+    for _ in range(3_000):
+        regex = "".join(rng.choice(parts) for _ in range(rng.randint(1, 5)))
+        for _ in range(12):
+            text = "".join(rng.choice(letters) for _ in range(rng.randint(0, 8)))
+            if re.search(regex, text):
+                seen += 1
+                assert all(literal in text for literal in required_literals(regex)), (regex, text)
+    assert seen > 1_000
+    assert required_literals("timeout after [0-9]+ms") == ["timeout after ", "ms"]
+    assert required_literals(r"a|b") == required_literals("(?i)abc") == required_literals(r"\x41bc") == []
+
+
+def test_indexed_hits_equal_plain_hits(spark):
+    rng = random.Random(12)
+    words = ["time", "timeout", "error 5", "é日本", "a", "", "conn", " pool", "x.y"]
+    signals = [signal(str(n), " ".join(rng.choice(words) for _ in range(rng.randint(0, 4))) if n else None, source=f"s{n % 3}", env=rng.choice(["prod", " prod "]), severity=n % 6) for n in range(300)]
+    kinds = ("contains", "exact", "regex", "other")
+    patterns = [pattern(f"p{n}", "r", rng.choice(kinds), rng.choice([*words, "time.*5", "(conn|pool)", "^a", "error [0-9]", "日本?"]), source=f"s{n % 4}", severity=n % 4) for n in range(80)]
+    frames = spark.createDataFrame(signals, SIGNALS), spark.createDataFrame(patterns, PATTERNS)
+    index = ru.literal_index(frames[1])
+    assert index.count() == 80 and 0 < index.where("gram is null").count() < 60
+    for enforce in (False, True):
+        plain = ru.pattern_hits(*frames, enforce).where("pattern_id is not null").select("id", "pattern_id")
+        found = ru.indexed_pattern_hits(*frames, index, enforce)
+        assert sorted(map(tuple, found.where("pattern_id is not null").select("id", "pattern_id").collect())) == sorted(map(tuple, plain.collect()))
+        assert found.select("id").distinct().count() == 300
+    evidence = [ru.session_evidence(frames[0], frames[1], index=i).selectExpr("source", "env", "session_start", "session_end", "max_severity", "array_sort(event_types)", "array_sort(hit_patterns)") for i in (None, index)]
+    assert sorted(map(repr, evidence[0].collect())) == sorted(map(repr, evidence[1].collect()))
+
+
 def test_event_type_selects_for_the_session_not_the_signal(spark):
     signals = [signal("1", "nothing", event="queue"), signal("2", "boom x", event="log", at=1)]
     hit = analyze(spark, signals, [rule("r")], [pattern("p", "r", event="queue")])[0]
