@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulseloom.llm.words import LOWER, Texts, mix, slices, words
@@ -213,11 +213,12 @@ def score(docs: DataFrame) -> DataFrame:
     context = F.shiftright("key", 8).bitwiseAND(0xFFFF)
     costs = counts.withColumn("context", context).groupBy("context").applyInArrow(lambda t: lengths(t.select(["key", "n"])), "key long, value double")
     gram_values = grams.select("kind", "block", "key").join(costs, "key").select("kind", "block", "key", "value")
-    of_word = Window.partitionBy("key")
-    word_values = keys.where("kind = 2").select("kind", "block", "key", F.sum("n").over(of_word).cast("double").alias("value"))
+    by_block = keys.where("kind = 2")
+    in_all = checkpointed(by_block.groupBy("key").agg(F.sum("n").alias("n")))
+    word_values = by_block.select("kind", "block", "key").join(in_all, "key").select("kind", "block", "key", F.col("n").cast("double").alias("value"))
     texts = table.where("kind = 0").select("block", "ids", "sizes", "texts")
     training = docs.where(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 != 2).count()
-    known = keys.where("kind = 2").groupBy("key").agg(F.sum("n").alias("n")).where("n > 0").agg(F.sum("n"), F.count(F.lit(1))).first()
+    known = in_all.where("n > 0").agg(F.sum("n"), F.count(F.lit(1))).first()
     total = int(known[0] or 0) + training
     distinct = int(known[1]) + (training > 0)
 
