@@ -9,12 +9,12 @@ from pulseloom.catalog.base import ANALYZED, AS_OF_US, CANDIDATES, FLAGGED, MINU
 from pulseloom.catalog.signals import validated
 from pulseloom.operators.ingest import classified_signals
 from pulseloom.operators.sessions import session_summary
-from pulseloom.session import scratch_folder
+from pulseloom.session import checkpointed, scratch_folder
 from pulseloom.sources.signal_store import SignalStore
 from pulseloom.sources.tables import event_stream, raw_signals_of, signals, signals_of, table
 from pulseloom.streaming.ingest import stream_incidents, stream_ingest
 from pulseloom.streaming.metrics import rolling_counts
-from pulseloom.streaming.sessions import repaired_sessions, stream_sessions, unsessioned_signals
+from pulseloom.streaming.sessions import repair_sessions, repaired_sessions, stream_sessions, unsessioned_signals
 
 _LATENESS_US = 10 * MINUTE
 
@@ -170,6 +170,28 @@ def repaired(spark, sf_dir):
     return repaired_sessions(signals(spark, sf_dir), _emitted(spark, sf_dir), MINUTE)
 
 
+@query(
+    "repair_sessions",
+    f"""with {_LATE},
+    missed as (select s.* from signals s where s.severity >= 5 and not exists (select 1 from sessions e
+      where e.source = s.source and e.env = s.env and s.ts_us between e.session_start and e.session_end)),
+    whole as (select source, env, ts_us, ts_us as until_us, 1 as n, severity from missed union all
+      select source, env, session_start, session_end, signal_count, max_severity from sessions),
+    cut as (select *, case when ts_us - max(until_us) over (partition by source, env order by ts_us, until_us rows between unbounded preceding and 1 preceding)
+      <= {MINUTE} then null else ts_us end as st from whole),
+    placed as (select *, max(st) over (partition by source, env order by ts_us, until_us rows unbounded preceding) as start_us from cut)
+    select source, env, start_us as session_start, max(until_us) as session_end, cast(sum(n) as bigint) as signal_count,
+      cast(max(severity) as integer) as max_severity from placed group by 1, 2, 3""",
+)
+def repair_sessions_query(spark, sf_dir):
+    """Emitted sessions without the retracted ones, and what takes their place."""
+    emitted = checkpointed(_emitted(spark, sf_dir))
+    missed = unsessioned_signals(signals(spark, sf_dir), emitted, MINUTE)
+    repair = repair_sessions(missed, emitted, MINUTE)
+    kept = emitted.join(repair.retracted, ["source", "env", "session_start"], "left_anti")
+    return kept.unionByName(repair.repaired).select("source", "env", "session_start", "session_end", "signal_count", "max_severity")
+
+
 @query(
     "classified_signals",
     f"""with {FLAGGED} select batch_id, pos, case when is_duplicate then 'duplicate' else 'accepted' end as outcome from flagged

@@ -1,6 +1,7 @@
 import datetime as dt
 import json
 import os
+import random
 
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ from pulseloom.sources.store import append_signals, expire_signals, read_table
 from pulseloom.sources.tables import sample_patterns, sample_rules
 from pulseloom.streaming.ingest import correlate_epoch, ingest_epoch, stream_incidents, stream_ingest
 from pulseloom.streaming.metrics import OutcomeListener, observe_outcomes
-from pulseloom.streaming.sessions import repaired_sessions, stream_sessions, unsessioned_signals
+from pulseloom.streaming.sessions import repair_sessions, repaired_sessions, stream_sessions, unsessioned_signals
 from tests.test_rules import T0, pattern, rule, signal
 
 
@@ -130,6 +131,26 @@ def test_stream_sessions_equal_batch_sessions_and_late_ones_are_repaired(spark,
     assert {r for r in repaired if r[0] == "v0"} == {tuple(r) for r in session_summary(stored).filter("source = 'v0'").select(columns).collect()}
 
 
+def test_late_signals_change_only_what_they_reach(spark):
+    rng = random.Random(4)
+    rows = [signal(f"s{n}", "m", at=rng.randrange(0, 40 * 86_400), source=f"v{n % 3}", severity=n % 6) for n in range(1_500)]
+    rows += [signal(f"d{n}", "m", at=9 * 86_400 + n * 45, source="v0") for n in range(300)]  # a session of hours
+    on_time = [s for s in rows if not (9 * 86_400 <= int((s[4] - T0).total_seconds()) < 9.3 * 86_400 and int(s[0][1:]) % 3 == 0)]
+    late = [s for s in rows if s not in on_time]
+    emitted = session_summary(spark.createDataFrame(on_time, SIGNALS))
+    missed = unsessioned_signals(spark.createDataFrame(late, SIGNALS), emitted)
+    repair = repair_sessions(missed, emitted)
+    columns = ["source", "env", "session_start", "session_end"]
+    key = lambda frame: {tuple(r) for r in frame.select(columns).collect()}
+    whole = key(session_summary(spark.createDataFrame(rows, SIGNALS)))
+    assert (key(emitted) - key(repair.retracted)) | key(repair.repaired) == whole
+    assert key(repair.retracted) <= key(emitted) and not key(repair.repaired) & (key(emitted) - key(repair.retracted))
+    first, last = (int((T0 + dt.timedelta(days=d)).timestamp() * 1e6) for d in (8.9, 9.4))
+    assert all(first < r[2] and r[3] < last for r in key(repair.retracted))
+    none = repair_sessions(missed.limit(0), emitted)
+    assert none.retracted.count() == none.repaired.count() == 0
+
+
 def test_observed_outcomes(spark, tmp_path):
     feed = tmp_path / "feed"
     write(feed, 1, item("a", 0), item("a", 0), item("x", 1, severity=8))
