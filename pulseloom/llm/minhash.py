@@ -179,7 +179,8 @@ def _links_in_blocks(members: DataFrame, sets: DataFrame, percent: int, coordina
 
     A task holds two blocks of one bucket. It verifies, on the full sets, the
     pairs whose sizes and signatures allow a link, each pair in the first band
-    where both meet, and returns only links.
+    where both meet, and returns the links that join components there: at most one
+    for each row, so copies that nearly all are links do not come out as all pairs.
     """
     least = least_matches(percent, coordinates)
     by_bucket = members.groupBy("band", "key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
@@ -196,19 +197,24 @@ def _links_in_blocks(members: DataFrame, sets: DataFrame, percent: int, coordina
         brief = np.frombuffer(b"".join(r[4] for r in right), np.uint8).reshape(len(right), -1)
         bands = np.array([r[3] for r in right])[:, :band]
         comp = np.array([r[2] for r in right])
+        of = comp if i == j else np.array([r[2] for r in left])
         size = np.array([len(r[5]) for r in right])
-        for _, doc, of, own_bands, own_brief, own_set in left:
-            fits = (comp != of) & (np.minimum(size, len(own_set)) * 100 >= np.maximum(size, len(own_set)) * percent)
+        for n, (_, doc, _, own_bands, own_brief, own_set) in enumerate(left):
+            fits = (comp != of[n]) & (np.minimum(size, len(own_set)) * 100 >= np.maximum(size, len(own_set)) * percent)
             if band and fits.any():
                 fits &= ~(bands == np.array(own_bands[:band])).any(axis=1)
             at = np.flatnonzero(fits)
             at = at[(brief[at] == np.frombuffer(own_brief, np.uint8)).sum(axis=1) >= least] if len(at) else at
             for x in at:
-                if i == j and right[x][1] < doc:
+                # What an earlier link of this cell has joined needs no other.
+                if comp[x] == of[n] or (i == j and right[x][1] < doc):
                     continue
                 common = len(np.intersect1d(own_set, right[x][5], assume_unique=True))
                 if common * 100 >= (len(own_set) + size[x] - common) * percent:
                     yield min(doc, right[x][1]), max(doc, right[x][1])
+                    gone, stays = comp[x], of[n]
+                    comp[comp == gone] = stays
+                    of[of == gone] = stays
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def groups():
