@@ -43,18 +43,28 @@ def test_plans_stay_in_the_engine(spark, name):
     assert "Python" not in text and "Pandas" not in text
 
 
-def test_analysis_reads_the_signals_once(spark):
+def written_plans(monkeypatch):
+    """Plans of the tables that session marking writes from now on."""
+    from pulseloom.operators import sessions as ses
+
+    seen, plain = [], ses.checkpointed
+    monkeypatch.setattr(ses, "checkpointed", lambda frame, *rest: seen.append(plan(frame)) or plain(frame, *rest))
+    return seen
+
+
+def test_analysis_reads_the_signals_once(spark, monkeypatch):
+    written = written_plans(monkeypatch)
     text = plan(catalog.queries()["flagship_incidents"](spark, SF))
-    assert text.count("FileScan") == 1
-    assert text.count("Exchange hashpartitioning") == 2
-    # Signals are reduced before the first shuffle.
-    before = text[text.index("Exchange hashpartitioning(source"):]
-    assert "partial_min" in text and "partial_max" in before
+    # Cells are written from one scan, reduced before its only shuffle; all else reads cells.
+    assert len(written) == 1 and written[0].count("FileScan") == 1 and written[0].count("Exchange hashpartitioning") == 1
+    assert "partial_min" in written[0] and "partial_max" in written[0][written[0].index("Exchange hashpartitioning(source") :]
+    assert "events.parquet" in written[0] and "events.parquet" not in text
 
 
-def test_session_summary_prunes_columns(spark):
-    text = plan(catalog.queries()["sessionize_60s"](spark, SF))
-    assert "props" not in text and "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz,user_id:bigint,value:double>" in text
+def test_session_summary_prunes_columns(spark, monkeypatch):
+    written = written_plans(monkeypatch)
+    catalog.queries()["sessionize_60s"](spark, SF)
+    assert "props" not in written[0] and "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz,user_id:bigint,value:double>" in written[0]
 
 
 def test_ids_are_reduced_before_their_shuffle(spark):
