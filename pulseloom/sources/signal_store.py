@@ -87,8 +87,10 @@ class SignalStore:
     def _commit(self, files: DataFrame, limits: DataFrame, loads: DataFrame, filters: str) -> int:
         number = self.version() + 1
         folder = f"{self.path}/versions/v={number}"
-        for name, part in (("files", files), ("limits", limits), ("loads", loads), ("about", self.spark.createDataFrame([(filters,)], "filters string"))):
-            part.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{folder}/{name}")
+        about = self.spark.createDataFrame([(filters,)], "filters string")
+        # A few rows each, but the list of files, which has a row for every file.
+        for name, part, parts in (("files", files, 8), ("limits", limits, 1), ("loads", loads, 1), ("about", about, 1)):
+            part.coalesce(parts).write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{folder}/{name}")
         files_, marker = self._fs(f"{folder}/_COMMITTED")
         files_.create(marker, True).close()
         return number
