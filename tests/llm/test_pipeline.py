@@ -30,7 +30,7 @@ def test_stages_take_effect_and_keep_columns(spark, tmp_path):
 
 
 def test_every_operator_has_a_query():
-    assert [k.split("_")[0] for k in queries()] == [f"op{i}" for i in range(1, 11)] + ["pipeline"]
+    assert [k.split("_")[0] for k in queries()] == [f"op{i}" for i in range(1, 14)] + ["pipeline"]
     assert set(oracle_sql()) <= set(queries())
 
 
