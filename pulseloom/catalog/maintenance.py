@@ -395,6 +395,48 @@ def add_allow_keys_conflicts(spark, sf_dir):
     return conflicts.select("request_id")
 
 
+# Every customer asks for its own key and the next one's; some keys are stored already. Between
+# two that fail for a stored key, every second request is in the way of the next.
+_CHAIN_SQL = """able as (
+  select c_custkey as k from customer
+  where c_acctbal >= -990 and c_custkey + 1 not in (select c_custkey from customer where c_acctbal < -990)),
+run as (select k, k - row_number() over (order by k) as island from able),
+placed as (select k, row_number() over (partition by island order by k) % 2 = 1 as won from run)"""
+
+
+def chained_requests(spark, sf_dir):
+    key = "concat('customer-', {})".format
+    customers = table(spark, sf_dir, "customer")
+    stored = customers.where("c_acctbal < -990").selectExpr("'production' as environment", f"{key('c_custkey')} as allow_payload")
+    asked = customers.selectExpr(
+        "c_custkey as request_id", "'prod' as environment", f"array({key('c_custkey')}, {key('c_custkey + 1')}) as payloads"
+    )
+    return rt.add_allow_keys(stored, asked, as_of())
+
+
+@query(
+    "add_allow_keys_chain",
+    f"""with {_CHAIN_SQL}
+    select 'customer-' || k as allow_payload from placed where won
+    union all select 'customer-' || (k + 1) from placed where won""",
+)
+def add_allow_keys_chain(spark, sf_dir):
+    return chained_requests(spark, sf_dir)[0].select("allow_payload")
+
+
+@query(
+    "add_allow_keys_chain_conflicts",
+    f"""with {_CHAIN_SQL}, there as (
+      select c_custkey as k, 0 as since from customer where c_acctbal < -990
+      union all select k, k from placed where won
+      union all select k + 1, k from placed where won),
+    asked as (select c_custkey as request_id, c_custkey as k from customer union all select c_custkey, c_custkey + 1 from customer)
+    select a.request_id, 'customer-' || a.k as allow_payload from asked a join there t on a.k = t.k and t.since < a.request_id""",
+)
+def add_allow_keys_chain_conflicts(spark, sf_dir):
+    return chained_requests(spark, sf_dir)[1].select("request_id", "allow_payload")
+
+
 @query(
     "add_allow_keys_ignore",
     f"with {_ADDED_SQL} select distinct environment, allow_payload from fresh",

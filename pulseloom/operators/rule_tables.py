@@ -11,10 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulseloom.operators.changes import last_request
+from pulseloom.operators.transactions import accepted_requests
 from pulseloom.functions.payload import comparable_conditions, condition_error, normalize_keys
 from pulseloom.functions.regex import jvm_regex
 from pulseloom.functions.text import empty_to_null, environment_error, normalize_environment, strip
-from pulseloom.session import checkpointed
 
 # Texts and limits of the request checks.
 RULE_MATCH_TYPES = ("single", "correlation")
@@ -280,34 +280,24 @@ def add_allow_keys(
     """Returns (rows to append, conflicts: request_id and key).
 
     Requests act in request_id order. A key that is there already is a conflict.
-    With "error" it fails its whole request, as one transaction; with "ignore"
-    only that key is left out.
-
-    A request waits while a smaller undecided one asks for one of its keys. Each
-    round settles all requests that need not wait, at least the smallest one.
+    With "error" it fails its whole request, as one transaction, and all its keys
+    that are there when its turn comes are named; with "ignore" only that key is
+    left out. ``operators.transactions`` settles who succeeds. Requests without an
+    id have no place in the order and take no part.
     """
     if on_conflict not in ("error", "ignore"):
         raise ValueError(f"on_conflict must be error or ignore, not {on_conflict}")
     pair = ["environment", "allow_payload"]
     known = filters.select(*pair)
-    asked = requested_keys(requests)
+    asked = requested_keys(requests).where("request_id is not null")
     conflicts = asked.join(known, pair, "left_semi")
     if on_conflict == "ignore":
         rows = asked.join(known, pair, "left_anti").groupBy(*pair).agg(F.min("request_id").alias("_first"))
-        late = asked.join(rows, pair).filter(F.col("request_id") != F.col("_first")).select(*asked.columns)
-        return rows.select(*pair).withColumn("updated_at", as_of), conflicts.unionByName(late)
-    undecided = checkpointed(asked.join(conflicts.select("request_id").distinct(), "request_id", "left_anti"))
-    accepted = undecided.limit(0)
-    while not undecided.isEmpty():
-        first = undecided.groupBy(*pair).agg(F.min("request_id").alias("_first"))
-        waiting = undecided.join(first, pair).filter(F.col("request_id") != F.col("_first")).select("request_id").distinct()
-        settled = checkpointed(undecided.join(waiting, "request_id", "left_anti"))
-        rest = undecided.join(waiting, "request_id", "left_semi")
-        lost = rest.join(settled.select(*pair), pair, "left_semi")
-        conflicts = conflicts.unionByName(lost)
-        accepted = accepted.unionByName(settled)
-        undecided = checkpointed(rest.join(lost.select("request_id").distinct(), "request_id", "left_anti"))
-    return accepted.select(*pair).withColumn("updated_at", as_of), conflicts
+    else:
+        able = asked.join(conflicts.select("request_id").distinct(), "request_id", "left_anti")
+        rows = accepted_requests(able, pair).withColumnRenamed("request_id", "_first")
+    late = asked.join(rows, pair).filter(F.col("request_id") > F.col("_first")).select(*asked.columns)
+    return rows.select(*pair).withColumn("updated_at", as_of), conflicts.unionByName(late)
 
 
 def remove_allow_keys(filters: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:

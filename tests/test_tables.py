@@ -8,7 +8,9 @@ from pulseloom.operators import delivery as dl
 from pulseloom.operators import retention as rt
 from pulseloom.operators import rule_tables as tables
 from pulseloom.operators import suggest as su
+from pulseloom.operators import transactions
 from pulseloom.schemas import DELIVERY_LOG, INCIDENTS, PAYLOAD_FILTERS
+from pulseloom.session import checkpointed
 from tests.test_incidents import T0, as_of, incident
 from tests.test_rules import signal
 
@@ -136,6 +138,47 @@ def test_allow_list_requests_are_transactions_in_order(spark):
         assert {r.request_id for r in conflicts.collect()} == set(failed)
 
 
+def test_failed_requests_name_all_keys_in_their_way_and_requests_without_id_wait_for_ever(spark):
+    filters = spark.createDataFrame([("production", "old", T0)], PAYLOAD_FILTERS)
+    requests = [(1, "prod", ["a", "b"]), (2, "prod", ["b", "c"]), (3, "prod", ["c", "old", "a"]), (4, "prod", ["c", "c"]), (None, "prod", ["z"])]
+    asked = spark.createDataFrame(requests, "request_id int, environment string, payloads array<string>")
+    rows, conflicts = tables.add_allow_keys(filters, asked, as_of())
+    assert sorted(r.allow_payload for r in rows.collect()) == ["a", "b", "c"]
+    assert sorted((r.request_id, r.allow_payload) for r in conflicts.collect()) == [(2, "b"), (3, "a"), (3, "old")]
+    none, _ = tables.add_allow_keys(filters, asked.limit(0), as_of())
+    assert none.count() == 0
+
+
+def wanted_rows(spark, requests):
+    return spark.createDataFrame([(n, k) for n, keys in requests for k in keys], "request_id long, key string")
+
+
+def test_requests_settle_alike_by_scan_and_by_chains(spark):
+    rng = random.Random(5)
+    for keys in (6, 40):
+        requests = [(n, rng.sample([f"k{i}" for i in range(keys)], rng.randrange(1, 4))) for n in range(60)]
+        added, failed = sequential([], [(n, None, ks) for n, ks in requests])
+        won = {n for n, _ in requests} - set(failed)
+        for scan_rows in (0, 10, 1_000):
+            rows = transactions.accepted_requests(wanted_rows(spark, requests), ["key"], scan_rows).collect()
+            assert {r.request_id for r in rows} == won and {(None, r.key) for r in rows} == added
+
+
+def test_a_chain_of_ten_thousand_requests_takes_log_rounds(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(transactions, "checkpointed", lambda df: written.append(1) or checkpointed(df))
+    chain = spark.range(10_000).selectExpr("id as request_id", "explode(array(id, id + 1)) as key")
+    row = transactions.accepted_requests(chain, ["key"], scan_rows=0).agg(F.count_distinct("request_id").alias("n"), F.max(F.col("request_id") % 2).alias("odd")).first()
+    assert tuple(row) == (5_000, 0)
+    assert len(written) < 30
+
+
+def test_one_key_that_everybody_wants(spark):
+    asked = spark.range(50_000).selectExpr("id as request_id", "explode(array('hot', concat('own', id))) as key")
+    rows = transactions.accepted_requests(asked, ["key"]).collect()
+    assert sorted((r.request_id, r.key) for r in rows) == [(0, "hot"), (0, "own0")]
+
+
 def test_allow_list_removal_counts(spark):
     filters = spark.createDataFrame([("production", k, T0) for k in ("traceId", "sessionId", "requestId")], PAYLOAD_FILTERS)
     asked = spark.createDataFrame([(1, "prod", [" traceId ", "traceId", "sessionId"])], "request_id int, environment string, payloads array<string>")
