@@ -518,22 +518,41 @@ def told_by_evidence(prompts):
     return answers
 
 
-@query(
-    "suggested_analysis",
-    f"""with {ANALYSIS_CTES},
+_SUGGESTED = f"""with {ANALYSIS_CTES},
     told as (select source, env, session_start, count(*) as lines, array_agg(id order by ts_us, id) as ids from members group by 1, 2, 3)
     select source, env, session_start, case when analysis_source = 'hybrid' then 'saw ' || lines || ' signals' end as hypotheses,
       case when analysis_source = 'hybrid' then 'first ' || ids[1] || '|last ' || ids[-1] end as recommendations
-    from analyzed join told using (source, env, session_start)""",
-)
-def suggested_analysis(spark, sf_dir):
-    """Every session; those without a rule match show what the suggester made of their whole prompt of many pages."""
+    from analyzed join told using (source, env, session_start)"""
+
+
+def _suggested(spark, sf_dir, suggester, **options):
     rules, patterns = tables_of(spark)
-    rows = ask_for_analysis(told_by_evidence, as_of(), page_rows=_PAGE)(signals(spark, sf_dir), rules, patterns, HOUR)
+    rows = ask_for_analysis(suggester, as_of(), page_rows=_PAGE, **options)(signals(spark, sf_dir), rules, patterns, HOUR)
     told = F.col("analysis_source") == an.HYBRID
     return rows.select(*KEYS, F.when(told, joined("hypotheses")).alias("hypotheses"), F.when(told, joined("recommendations")).alias("recommendations"))
 
 
+@query("suggested_analysis", _SUGGESTED)
+def suggested_analysis(spark, sf_dir):
+    """Every session; those without a rule match show what the suggester made of their whole prompt of many pages."""
+    return _suggested(spark, sf_dir, told_by_evidence)
+
+
+def told_by_pages(_, pages):
+    """The answer of told_by_evidence, from one page after the other."""
+    lines, first, last = 0, None, None
+    for page in pages:
+        for found in re.finditer(r"^- #\d+ id=(\S+) ", page, re.M):
+            lines, first, last = lines + 1, first or found[1], found[1]
+    return json.dumps({"hypothesisTemplate": f"saw {lines} signals", "recommendations": [f"first {first}", f"last {last}"]}), None
+
+
+@query("suggested_analysis_pages", _SUGGESTED)
+def suggested_analysis_pages(spark, sf_dir):
+    """As suggested_analysis, but the suggester reads each prompt as a stream of pages."""
+    return _suggested(spark, sf_dir, told_by_pages, ask=su.ask_by_pages)
+
+
 @query(
     "fallback_analysis",
     f"""with {ANALYSIS_CTES} select source, env, session_start, '{an.FALLBACK_HYPOTHESIS}' as hypotheses,

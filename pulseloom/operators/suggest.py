@@ -8,8 +8,10 @@ parts of an incident in order are its prompt.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from itertools import chain, groupby
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -182,6 +184,35 @@ def ask_suggester(parts: DataFrame, suggester: Suggester, instructions: str = DE
     return ordered.mapInPandas(run, "id string, answer string, provider_error string")
 
 
+# Gets an incident's id and its prompt piece by piece; need not read it to the end.
+PageSuggester = Callable[[str, Iterator[str]], tuple[str | None, str | None]]
+
+
+def ask_by_pages(parts: DataFrame, suggester: PageSuggester, instructions: str = DEFAULT_INSTRUCTIONS) -> DataFrame:
+    """As :func:`ask_suggester`, for prompts too long to lie in memory: (answer, error) for each id.
+
+    The suggester reads the prompt from an iterator (the instructions, the header,
+    then pages) over the Arrow batches of a sorted partition. A task holds one
+    batch, whatever the length of a prompt; pages the suggester leaves unread are
+    passed over. Joined, the pieces are the prompt :func:`ask_suggester` hands over.
+    """
+    ordered = parts.select("id", "part", "text").repartition("id").sortWithinPartitions("id", "part").drop("part")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, str | None]]:
+        for batch in batches:
+            ids, texts = batch.columns
+            for at in range(batch.num_rows):
+                yield ids[at].as_py(), texts[at].as_py()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for id_, own in groupby(rows(batches), key=lambda row: row[0]):
+            answer, error = suggester(id_, chain([instructions], (text or "" for _, text in own)))
+            columns = [pa.array([value], pa.string()) for value in (id_, answer, error)]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "answer", "provider_error"])
+
+    return ordered.mapInArrow(run, "id string, answer string, provider_error string")
+
+
 def attach_suggestions(unmatched: DataFrame, answers: DataFrame) -> DataFrame:
     """Hypotheses and recommendations of unmatched incidents from parsed answers.
 

@@ -20,7 +20,14 @@ from pulseloom.operators.incidents import (
 )
 from pulseloom.operators.rules import analyze_sessions
 from pulseloom.operators.sessions import DEFAULT_WINDOW_US, PAGE_ROWS, SESSION_KEYS, is_high, members_of
-from pulseloom.operators.suggest import DEFAULT_INSTRUCTIONS, Suggester, ask_suggester, attach_suggestions, prompt_parts
+from pulseloom.operators.suggest import (
+    DEFAULT_INSTRUCTIONS,
+    PageSuggester,
+    Suggester,
+    ask_suggester,
+    attach_suggestions,
+    prompt_parts,
+)
 from pulseloom.session import checkpointed
 
 # An analyzer turns (signals, rules, patterns, window_us) into one row per
@@ -73,11 +80,18 @@ def correlate(
     return Correlated(create_incidents(fresh, as_of), merge_incidents(analyzed, claims, incidents, as_of), links)
 
 
-def suggested_analysis(suggester: Suggester, as_of: Column, instructions: str = DEFAULT_INSTRUCTIONS, page_rows: int = PAGE_ROWS) -> Analyzer:
+def suggested_analysis(
+    suggester: Suggester | PageSuggester,
+    as_of: Column,
+    instructions: str = DEFAULT_INSTRUCTIONS,
+    page_rows: int = PAGE_ROWS,
+    ask: Callable[..., DataFrame] = ask_suggester,
+) -> Analyzer:
     """An analyzer that asks ``suggester`` about every session no rule matches.
 
     Its whole prompt holds the session's signals in order, messages sanitised. A
     usable answer replaces the fallback; otherwise the fallback names the error.
+    With ``ask=ask_by_pages`` the suggester gets each prompt as an iterator.
     """
 
     def analyze(signals: DataFrame, rules: DataFrame, patterns: DataFrame, window_us: int) -> DataFrame:
@@ -98,7 +112,7 @@ def suggested_analysis(suggester: Suggester, as_of: Column, instructions: str =
             "incident_id", F.col("id").alias("signal_id"), "event_type", "source", "env", "severity", "timestamp",
             sanitize_message(F.col("message")).alias("message"),
         )
-        answers = checkpointed(ask_suggester(prompt_parts(incidents, evidence, page_rows), suggester, instructions))
+        answers = checkpointed(ask(prompt_parts(incidents, evidence, page_rows), suggester, instructions))
         found = attach_suggestions(unmatched, answers).select(
             F.col("id").alias("_id"), F.col("hypotheses").alias("_hypotheses"), F.col("recommendations").alias("_advice")
         )

@@ -299,3 +299,27 @@ def test_prompts_and_suggester(spark):
     assert (rows["a"].hypotheses, rows["a"].recommendations) == (["h"], ["2 lines"])
     assert rows["b"].recommendations == ["5 lines"]  # two pages, asked as one prompt
     assert rows["c"].recommendations[-1].startswith("OpenAI rate limit reached")
+
+
+def test_prompts_as_page_streams(spark):
+    """One prompt of 300 MB: the task sees it piece by piece, in order, and others may stop early."""
+    body = "x" * 1_000_000
+    long = spark.range(300).selectExpr("'long' as id", "id as part", f"concat(lpad(id, 3, '0'), '{body}') as text")
+    short = spark.createDataFrame([("a", 1, "2"), ("a", 0, "1"), ("b", 0, None), ("c", 0, "1"), ("c", 1, "2")], "id string, part long, text string")
+
+    def suggester(id_, pages):
+        import resource
+
+        head = next(pages)
+        if id_ == "c":
+            return None, "429"
+        if id_ != "long":
+            return head + "".join(pages), None
+        before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+        numbers = [int(page[:3]) for page in pages]
+        grown = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before
+        return f"{numbers == list(range(300))} {grown < 200_000}", None
+
+    rows = su.ask_by_pages(long.unionByName(short), suggester, "go:").collect()
+    assert sorted(tuple(r) for r in rows) == sorted([("a", "go:12", None), ("b", "go:", None), ("c", None, "429"), ("long", "True True", None)], key=lambda r: r[0])
+    assert su.ask_by_pages(short.limit(0), suggester).count() == 0
