@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from pulseloom.catalog.analysis import tables_of
@@ -12,8 +14,8 @@ from pulseloom.operators.sessions import session_summary
 from pulseloom.session import checkpointed, scratch_folder
 from pulseloom.sources.signal_store import SignalStore
 from pulseloom.sources.tables import event_stream, raw_signals_of, signals, signals_of, table
-from pulseloom.streaming.ingest import stream_incidents, stream_ingest
-from pulseloom.streaming.metrics import rolling_counts
+from pulseloom.streaming.ingest import ingest_epoch, stream_incidents, stream_ingest
+from pulseloom.streaming.metrics import read_counts, rolling_counts, stream_counts
 from pulseloom.streaming.sessions import repair_sessions, repaired_sessions, stream_sessions, unsessioned_signals
 
 _LATENESS_US = 10 * MINUTE
@@ -99,6 +101,33 @@ def ingestion_metrics(spark, sf_dir):
     return counts.drop("window_start")
 
 
+# Minutes after AS_OF at which the thirds of the batches arrive: the last one is late.
+_ARRIVALS = (10, 80, 50)
+
+
+@query(
+    "live_counters",
+    f"""with {FLAGGED}, outcome as (
+      select batch_id, case when is_duplicate then 'd' else 'a' end as o from flagged
+      union all select batch_id, 'r' from validated where len(errors) > 0),
+    timed as (select o, {AS_OF_US} + cast({MINUTE} as bigint) * [{', '.join(map(str, _ARRIVALS))}][batch_id // (select max(event_id) // 300 + 1 from events) + 1] as at_us from outcome)
+    select cast(at_us // {60 * MINUTE} * {60 * MINUTE} as bigint) as window_us, count(*) filter (o = 'a') as accepted_count,
+      count(*) filter (o = 'd') as duplicate_count, count(*) filter (o = 'r') as rejected_count from timed group by 1""",
+)
+def live_counters(spark, sf_dir):
+    """Hourly counters kept by a stream: two epochs, then a restart and a third epoch of an earlier hour, sent twice."""
+    base = scratch_folder(spark)
+    events = table(spark, sf_dir, "events")
+    third = (events.agg(F.max("event_id").alias("n")).first()["n"] // 300 + 1) * 100
+    start = dt.datetime.fromtimestamp(AS_OF_US / 1e6, dt.timezone.utc)
+    for epoch in (0, 1, 2, 2):
+        part = events.where(F.floor(F.col("event_id") / third) == epoch)
+        ingest_epoch(raw_signals_of(part), epoch, base, now=start + dt.timedelta(minutes=_ARRIVALS[epoch]))
+        if epoch:
+            stream_counts(spark, base, f"{base}/counting").awaitTermination()
+    return read_counts(spark, base).select(F.unix_micros("window_start").alias("window_us"), "accepted_count", "duplicate_count", "rejected_count")
+
+
 @query(
     "stream_sessions",
     f"""with {SIGNALS}, {sessions_sql(MINUTE)} select * from sessions where session_end + {MINUTE} + 1

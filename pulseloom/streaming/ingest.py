@@ -27,18 +27,26 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
 
 
-def epoch_time(spark: SparkSession, folder: str, epoch: int) -> Column:
-    """The instant an epoch first ran, so a repeated run sees the same "now"."""
+def epoch_time(spark: SparkSession, folder: str, epoch: int, now: dt.datetime | None = None) -> Column:
+    """The instant an epoch first ran, so a repeated run sees the same "now".
+
+    ``now`` (with its time zone) takes the clock's place in the first run.
+    """
     path = f"{folder}/epoch={epoch}"
     if not _exists(spark, f"{path}/_SUCCESS"):
-        now = dt.datetime.now(dt.timezone.utc)
-        row = spark.range(1).select(F.lit(int(now.timestamp() * 1_000_000)).alias("as_of_us"))
+        at = (now or dt.datetime.now(dt.timezone.utc)) - dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)
+        row = spark.range(1).select(F.lit(at // dt.timedelta(microseconds=1)).alias("as_of_us"))
         row.coalesce(1).write.mode("overwrite").parquet(path)
     return F.timestamp_micros(F.lit(spark.read.parquet(path).first()["as_of_us"]))
 
 
 def ingest_epoch(
-    raw: DataFrame, epoch: int, base: str, allow_list: Column | DataFrame | None = None, metrics: bool = True
+    raw: DataFrame,
+    epoch: int,
+    base: str,
+    allow_list: Column | DataFrame | None = None,
+    metrics: bool = True,
+    now: dt.datetime | None = None,
 ) -> Ingested:
     """Store one micro-batch below ``base``. Late rows are stored like any other.
 
@@ -46,7 +54,7 @@ def ingest_epoch(
     those the same epoch stored in an earlier run do not count.
     """
     spark = raw.sparkSession
-    as_of = epoch_time(spark, f"{base}/epochs", epoch)
+    as_of = epoch_time(spark, f"{base}/epochs", epoch, now)
     store = SignalStore(spark, f"{base}/signals")
     ids = raw.select(default_id(F.col("id"), F.col("batch_id"), F.col("pos")).alias("id"))
     result = ingest(raw, as_of, store.known_ids(ids, epoch), allow_list, materialize=True)

@@ -13,7 +13,7 @@ from pulseloom.sources.signal_store import SignalStore
 from pulseloom.sources.store import append_signals, expire_signals, read_table
 from pulseloom.sources.tables import sample_patterns, sample_rules
 from pulseloom.streaming.ingest import correlate_epoch, ingest_epoch, stream_incidents, stream_ingest
-from pulseloom.streaming.metrics import OutcomeListener, observe_outcomes
+from pulseloom.streaming.metrics import OutcomeListener, observe_outcomes, read_counts, rolling_counts, stream_counts
 from pulseloom.streaming.sessions import repair_sessions, repaired_sessions, stream_sessions, unsessioned_signals
 from tests.test_rules import T0, pattern, rule, signal
 
@@ -179,6 +179,24 @@ def test_observed_outcomes(spark, tmp_path):
         spark.streams.removeListener(listener)
 
 
+def test_live_counters_follow_late_and_repeated_epochs(spark, tmp_path):
+    base = str(tmp_path / "base")
+    zone = dt.timezone.utc
+    assert read_counts(spark, base).count() == 0
+    epochs = [(0, 5, ["a", "b"]), (1, 70, ["c", "a"]), (1, 70, ["c", "a"]), (2, 200, ["d"]), (3, 30, ["e", "e", "f"])]
+    for epoch, minutes, ids in epochs:
+        texts = spark.createDataFrame([(epoch, envelope(*[item(i, 0) for i in ids], item("bad", 0, severity=9)))], "batch_id int, value string")
+        raw = envelope_signals(parse_envelopes(texts))
+        ingest_epoch(raw, epoch, base, now=dt.datetime(2024, 1, 1, tzinfo=zone) + dt.timedelta(minutes=minutes))
+        stream_counts(spark, base, f"{base}/counting").awaitTermination()
+        live = {tuple(r) for r in read_counts(spark, base).collect()}
+        assert live == {tuple(r) for r in rolling_counts(spark.read.parquet(f"{base}/metrics")).collect()}
+    # Two epochs in the first hour: a and b, then e and f with a repeat.
+    assert {(r.window_start.hour, r.accepted_count, r.duplicate_count, r.rejected_count) for r in read_counts(spark, base).collect()} == {
+        (0, 4, 1, 2), (1, 1, 1, 1), (3, 1, 0, 1)
+    }
+
+
 def test_expiry_rewrites_only_what_it_must(spark, tmp_path):
     path = str(tmp_path / "signals")
     day = 86_400
