@@ -7,13 +7,16 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from pulseloom.catalog.analysis import tables_of
-from pulseloom.catalog.base import ANALYZED, AS_OF_US, CANDIDATES, FLAGGED, MINUTE, RULES, SIGNALS, as_of, query, sessions_sql, sql_mask
+from pulseloom.catalog.base import ANALYZED, AS_OF_US, CANDIDATES, FLAGGED, HOUR, MINUTE, RULES, SIGNALS, as_of, query, sessions_sql, sql_mask
+from pulseloom.catalog.incidents import BASE, CLAIMS, stored_incidents
+from pulseloom.catalog.incidents import sessions as hour_sessions
 from pulseloom.catalog.signals import validated
 from pulseloom.operators.ingest import classified_signals
 from pulseloom.operators.sessions import session_summary
 from pulseloom.session import checkpointed, scratch_folder
 from pulseloom.sources.signal_store import SignalStore
 from pulseloom.sources.tables import event_stream, raw_signals_of, signals, signals_of, table
+from pulseloom.streaming.claims import EVENTS, opened_events, session_events, stream_claims
 from pulseloom.streaming.ingest import ingest_epoch, stream_incidents, stream_ingest
 from pulseloom.streaming.metrics import read_counts, rolling_counts, stream_counts
 from pulseloom.streaming.sessions import repair_sessions, repaired_sessions, stream_sessions, unsessioned_signals
@@ -176,6 +179,29 @@ def stream_incidents_query(spark, sf_dir):
     ).agg(F.count(F.lit(1)).alias("incidents"))
 
 
+@query(
+    "incident_state",
+    f"""with {BASE}, {CLAIMS} select source, env, s.session_start, s.session_end, c.incident_id,
+      case when c.incident_id is not null then 'merged' when s.max_severity >= 4 then 'created' else 'dropped' end as outcome
+    from sessions s left join claims c using (source, env, session_start)""",
+)
+def incident_state(spark, sf_dir):
+    """Open incidents as streaming state: three micro-batches of sessions in time order, with a restart after the first."""
+    base = scratch_folder(spark)
+    sessions = checkpointed(hour_sessions(spark, sf_dir))
+    events = session_events(sessions)
+    first, last = sessions.agg(F.min("session_start"), F.max("session_start")).first()
+    third = F.floor((F.col("first_us") - F.lit(first)) * 3 / F.lit(last - first + 1))
+    known = opened_events(stored_incidents(spark, sf_dir), F.timestamp_micros(F.lit(first)))
+    for number in range(3):
+        part = events.where(third == number)
+        (known.unionByName(part) if number == 0 else part).coalesce(1).write.mode("append").parquet(f"{base}/feed")
+        if number != 1:
+            feed = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(f"{base}/feed")
+            stream_claims(feed, f"{base}/decisions", f"{base}/checkpoint", HOUR, watermark="60 days").awaitTermination()
+    return spark.read.parquet(f"{base}/decisions").drop("epoch")
+
+
 _LATE = f"""{SIGNALS}, early as (select * from signals where severity < 5), {sessions_sql(MINUTE, 'early')}"""
 
 
