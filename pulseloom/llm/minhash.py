@@ -174,6 +174,35 @@ def verify(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long, common long, total long")
 
 
+def in_blocks(members: DataFrame, block: int) -> DataFrame:
+    """``members`` (band, key, doc_id, component, ...) once for each cell (i, j) they go to, with their own ``block``.
+
+    A bucket of up to ``block`` members is one cell. In a larger one the blocks of
+    its largest component come behind those of the others and meet only these:
+    members of one component need no comparison. So with few others a member of a
+    huge component goes to one cell, not to as many as the bucket has blocks.
+    """
+    bucket = ["band", "key"]
+    sizes = members.groupBy(*bucket, "component").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.groupBy(*bucket).agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("component", F.struct("n", "component")).alias("largest"))
+    whole = F.col("n") <= block
+    cut = lambda n: F.ceil(n / F.lit(block)).cast("int")
+    sizes = sizes.select(
+        *bucket,
+        F.when(~whole, F.col("largest")).alias("largest"),
+        F.when(whole, F.lit(1)).otherwise(cut(F.col("n") - F.col("most"))).alias("others"),
+        F.when(whole, F.lit(0)).otherwise(cut(F.col("most"))).alias("behind"),
+    )
+    spread = F.xxhash64("doc_id", F.lit(3))
+    large = F.coalesce(F.col("component") == F.col("largest"), F.lit(False))
+    own = members.join(sizes, bucket).withColumn("large", large)
+    own = own.withColumn("block", F.when(F.col("large"), F.col("others") + F.pmod(spread, F.greatest("behind", F.lit(1)))).otherwise(F.pmod(spread, "others")).cast("int"))
+    last = F.col("others") + F.when(F.col("large"), F.lit(0)).otherwise(F.col("behind")) - 1
+    placed = own.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    placed = placed.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    return placed.drop("largest", "others", "behind", "large", "other")
+
+
 def _links_in_blocks(members: DataFrame, sets: DataFrame, percent: int, coordinates: int) -> DataFrame:
     """Links (a, b) between different components of one bucket, found block by block.
 
@@ -183,10 +212,7 @@ def _links_in_blocks(members: DataFrame, sets: DataFrame, percent: int, coordina
     for each row, so copies that nearly all are links do not come out as all pairs.
     """
     least = least_matches(percent, coordinates)
-    by_bucket = members.groupBy("band", "key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    own = members.join(by_bucket, ["band", "key"]).withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(3)), "blocks").cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    placed = own.select("*", other).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    placed = in_blocks(members, BLOCK)
     rows = placed.join(sets, "doc_id").select("band", "key", "i", "j", "block", "doc_id", "component", "bands", "brief", "shingles")
 
     def compare(group, held):

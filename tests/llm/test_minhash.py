@@ -69,6 +69,28 @@ def test_only_near_equal_texts_of_an_id_fold(spark):
     assert sorted(got, key=str) == sorted([(1, None), (1, long), (2, "u v w x y z"), (2, "m n o p q r"), (None, "k k l l m m"), (4, "s t")], key=str)
 
 
+def test_a_huge_component_meets_only_the_others_of_its_bucket(spark):
+    big = spark.range(100_000).selectExpr("0 as band", "7L as key", "id as doc_id", "0L as component")
+    strangers = spark.range(100_000, 100_100).selectExpr("0 as band", "7L as key", "id as doc_id", "id as component")
+    row = minhash.in_blocks(big.unionByName(strangers), 1024).selectExpr("count(*) as n", "count(distinct doc_id) as docs", "max(j) as last").first()
+    # Members once each, strangers once for each of 98 blocks and once among themselves.
+    assert (row.n, row.docs, row.last) == (100_000 + 100 * 99, 100_100, 98)
+
+
+def test_every_pair_of_components_meets_in_one_cell(spark):
+    for sizes in ([30, 1, 1, 9], [5, 5], [1] * 40, [12, 12, 12], [1, 1]):
+        rows = [(0, 1, 100 * c + n, c) for c, size in enumerate(sizes) for n in range(size)]
+        placed = minhash.in_blocks(spark.createDataFrame(rows, "band int, key long, doc_id long, component long"), 8).collect()
+        of = {r.doc_id: r.component for r in placed}
+        met = {}
+        for a in placed:
+            for b in placed:
+                if a.doc_id < b.doc_id and (a.i, a.j) == (b.i, b.j) and (a.i == a.j or a.block != b.block):
+                    met[a.doc_id, b.doc_id] = met.get((a.doc_id, b.doc_id), 0) + 1
+        apart = {(a, b) for a in of for b in of if a < b and of[a] != of[b]}
+        assert len(of) == sum(sizes) and {p for p in met if of[p[0]] != of[p[1]]} == apart and set(met.values()) == {1}
+
+
 def test_a_chain_is_one_component(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     got = {r.doc_id: r.component for r in components(links).collect()}
