@@ -200,3 +200,21 @@ def test_input_order_does_not_matter(spark):
     shuffled = random.Random(1).sample(signals, len(signals))
     rules, patterns = [rule("r")], [pattern("p", "r", source="svc1")]
     assert analyze(spark, signals, rules, patterns) == analyze(spark, shuffled, rules, patterns)
+
+
+def test_patterns_that_ask_the_same_are_tested_once(spark):
+    signals = [signal("1", "disk 7 full"), signal("2", "disk 8"), signal("3", None)]
+    patterns = [pattern(f"p{n}", "r", "regex", "[f]ull") for n in range(40)] + [pattern(f"q{n}", "r", "contains", "disk 8") for n in range(30)]
+    frames = spark.createDataFrame(signals, SIGNALS), spark.createDataFrame(patterns, PATTERNS)
+    found = ru.indexed_pattern_hits(*frames, ru.literal_index(frames[1]))
+    rows = sorted((r.id, r.pattern_id) for r in found.where("pattern_id is not null").collect())
+    assert rows == sorted([("1", f"p{n}") for n in range(40)] + [("2", f"q{n}") for n in range(30)])
+    assert found.select("id").distinct().count() == 3
+    # The join that tests messages holds one row for each test, not for each pattern.
+    kept = []
+    ru.broadcast_if_small, small = lambda df, **options: kept.append(df.count()) or small(df, **options), ru.broadcast_if_small
+    try:
+        ru.indexed_pattern_hits(*frames, ru.literal_index(frames[1]))
+    finally:
+        ru.broadcast_if_small = small
+    assert kept == [2, 70]
