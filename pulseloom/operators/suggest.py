@@ -146,6 +146,16 @@ Suggester = Callable[[Sequence[str]], Sequence[tuple[str | None, str | None]]]
 ASK_ROWS = 16  # prompts handed over at a time
 
 
+def _in_order(parts: DataFrame) -> DataFrame:
+    """The parts of each prompt in one partition, in order.
+
+    Dealt by a hash of the id. By the id itself Spark may leave this shuffle out, as
+    headers and pages come from joins by id; but those may still turn into broadcast
+    joins while the query runs, and a header then lies apart from its pages.
+    """
+    return parts.select("id", "part", "text").repartition(F.xxhash64("id")).sortWithinPartitions("id", "part")
+
+
 def ask_suggester(parts: DataFrame, suggester: Suggester, instructions: str = DEFAULT_INSTRUCTIONS) -> DataFrame:
     """Run a user function over the whole prompts of ``parts`` (id, part, text): (answer, error) for each id.
 
@@ -153,7 +163,7 @@ def ask_suggester(parts: DataFrame, suggester: Suggester, instructions: str = DE
     prompt of any number of pages is asked whole and no stored row grows. Only
     sessions without a rule match should come here.
     """
-    ordered = parts.select("id", "part", "text").repartition("id").sortWithinPartitions("id", "part")
+    ordered = _in_order(parts)
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str, str]]:
         current, texts = None, []
@@ -196,7 +206,7 @@ def ask_by_pages(parts: DataFrame, suggester: PageSuggester, instructions: str =
     batch, whatever the length of a prompt; pages the suggester leaves unread are
     passed over. Joined, the pieces are the prompt :func:`ask_suggester` hands over.
     """
-    ordered = parts.select("id", "part", "text").repartition("id").sortWithinPartitions("id", "part").drop("part")
+    ordered = _in_order(parts).drop("part")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, str | None]]:
         for batch in batches:

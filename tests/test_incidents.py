@@ -190,3 +190,23 @@ def test_correlate_with_a_suggester_and_known_links(spark):
     known = first.links.filter("signal_id = '1'").select("incident_id", "signal_id")
     again = correlate(signals, none, rules, patterns, as_of(), analyzer=analyzer, known_links=known)
     assert [(r.incident_id, r.signal_id) for r in again.links.collect()] == [(row.id, "2")]
+
+
+def test_prompts_are_whole_when_joins_by_id_turn_into_broadcasts(spark):
+    from pulseloom.operators import suggest as su
+
+    known = spark.createDataFrame([(f"i{n}", "t", "s", 1, ["a"], ["e"], "", []) for n in range(40)], "id string, title string, status string, severity int, impacted_services array<string>, environments array<string>, analysis_summary string, recommendations array<string>")
+    lines = spark.createDataFrame([(f"i{n}", f"e{n}-{k}", "log", "a", "e", 1, "m") for n in range(40) for k in range(5)], "incident_id string, signal_id string, event_type string, source string, env string, severity int, message string")
+    parts = su.prompt_parts(known, lines.withColumn("timestamp", as_of()), 2)
+
+    def whole(prompts):
+        return [(f"{p.count('- id: ')} {p.count('- #')}", None) for p in prompts]
+
+    def by_pages(_, pages):
+        return whole(["".join(pages)])[0]
+
+    for ask, suggester in ((su.ask_suggester, whole), (su.ask_by_pages, by_pages)):
+        asked = ask(parts, suggester)
+        # A shuffle of its own, whatever the joins below deal by.
+        assert "Exchange hashpartitioning(xxhash64(id" in asked._jdf.queryExecution().executedPlan().toString()
+        assert sorted((r.id, r.answer) for r in asked.collect()) == sorted((f"i{n}", "1 5") for n in range(40))
