@@ -27,7 +27,7 @@ from pulseloom.catalog.base import (
     sql_text,
 )
 from pulseloom.functions import analysis as an
-from pulseloom.functions.payload import condition_error, typed_conditions, typed_conditions_hold
+from pulseloom.functions.payload import condition_error, typed_conditions, typed_payload, typed_payload_holds
 from pulseloom.functions.regex import to_jvm_regex
 from pulseloom.functions.text import sanitize_message
 from pulseloom.operators import rules as ru
@@ -239,11 +239,12 @@ def payload_conditions(spark, sf_dir):
     tests = {name: literal((f, o, v)) for name, f, o, v, _ in _CONDITION_TESTS}
     tests["no_conditions"] = literal()
     tests["both_hold"] = literal(("k", "greater_than", "20"), ("svc", "equals", '"s3"'))
-    rich = table(spark, sf_dir, "events").selectExpr("event_id", f"{_RICH_SPARK} as payload").withColumns(
-        {f"c_{name}": conditions for name, conditions in tests.items()}
-    )
-    typed = rich.withColumns({f"c_{name}": typed_conditions(f"c_{name}") for name in tests})
-    return typed.select("event_id", *[typed_conditions_hold("payload", f"c_{name}").alias(name) for name in tests])
+    # Conditions are decoded once, in a row of their own, and payloads once per row.
+    one = spark.range(1).select(*[conditions.alias(f"c_{name}") for name, conditions in tests.items()])
+    typed = checkpointed(one.select(*[typed_conditions(f"c_{name}").alias(f"c_{name}") for name in tests]))
+    rich = table(spark, sf_dir, "events").selectExpr("event_id", f"{_RICH_SPARK} as payload")
+    decoded = rich.select("event_id", typed_payload("payload").alias("typed"))
+    return decoded.crossJoin(F.broadcast(typed)).select("event_id", *[typed_payload_holds("typed", f"c_{name}").alias(name) for name in tests])
 
 
 @query(

@@ -237,3 +237,20 @@ def test_every_script_compiles_and_nested_counts_are_bounded(spark):
     assert [script for script, hit in found.first().asDict().items() if hit] == ["Common"]
     assert spark.range(1).filter(F.lit("\u03e2").rlike(to_jvm_regex(r"\p{Coptic}"))).count() == 1
     assert to_jvm_regex("(a{1000}){1000}") is None and to_jvm_regex("((a{10})+b){100}") is not None
+
+
+def test_conditions_on_a_payload_decoded_once(spark):
+    from pulseloom.functions import payload as pl
+
+    payloads = ['{"k":42,"s":"a7","t":"7","b":true,"n":null,"l":[1],"k":1,"d":2.0}', "{}", "oops", None]
+    values = ["42", "2", '"a7"', '"7"', '"a"', "true", "null", "[1]", "7"]
+    operators = ["equals", "contains", "greater_than", "less_than_equal", "eq"]
+    tests = [(f, o, v) for f in "kstbnldz" for o in operators for v in values]
+    rows = spark.createDataFrame([(p, [t]) for p in payloads for t in [*tests]], "payload string, c array<struct<field:string,operator:string,value:string>>")
+    typed = rows.select("payload", pl.typed_conditions("c").alias("c")).withColumn("typed", pl.typed_payload("payload"))
+    both = typed.select(pl.typed_conditions_hold("payload", "c").alias("a"), pl.typed_payload_holds("typed", "c").alias("b"))
+    assert both.where("not (a <=> b)").isEmpty() and both.where("a").count() > 10
+    from pulseloom import catalog
+
+    plan = catalog.queries()["payload_conditions"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1 or plan.count("jsontostructs") == 1
