@@ -294,9 +294,9 @@ def add_allow_keys(
     if on_conflict == "ignore":
         rows = asked.join(known, pair, "left_anti").groupBy(*pair).agg(F.min("request_id").alias("_first"))
     else:
-        able = asked.join(conflicts.select("request_id").distinct(), "request_id", "left_anti")
+        able = asked.join(conflicts.select("request_id").distinct().hint("merge"), "request_id", "left_anti")
         rows = accepted_requests(able, pair).withColumnRenamed("request_id", "_first")
-    late = asked.join(rows, pair).filter(F.col("request_id") > F.col("_first")).select(*asked.columns)
+    late = asked.join(rows.hint("merge"), pair).filter(F.col("request_id") > F.col("_first")).select(*asked.columns)
     return rows.select(*pair).withColumn("updated_at", as_of), conflicts.unionByName(late)
 
 

@@ -16,6 +16,7 @@ it. Four rules settle them, none of which emits the pairs of a key:
 Each pass settles the smallest request of every component at least. In the worst
 case (a huge component in which everybody waits for several others) the order is
 inherently sequential and passes are many; they stay linear in the rows left.
+Joins are merged, as broadcasts of every pass would add up on the driver.
 """
 
 from __future__ import annotations
@@ -37,17 +38,17 @@ SCAN_ROWS = 100_000  # rows (request, key) of a component that one ordered scan
 def _heads(rows: DataFrame, key: list[str]) -> DataFrame:
     """``rows`` with _first, the smallest request of the key, and _second, the next one or null."""
     first = rows.groupBy(*key).agg(F.min("request_id").alias("_first"))
-    led = rows.join(first, key)
+    led = rows.join(first.hint("merge"), key)
     later = F.when(F.col("request_id") != F.col("_first"), F.col("request_id"))
     second = led.groupBy(*key).agg(F.min(later).alias("_second"))
-    return led.join(second, key)
+    return led.join(second.hint("merge"), key)
 
 
 def free_requests(rows: DataFrame, key: list[str]) -> DataFrame:
     """request_id, accepted (true) of the requests that are first at all their keys."""
     first = rows.groupBy(*key).agg(F.min("request_id").alias("_first"))
     waits = F.bool_or(F.col("request_id") != F.col("_first"))
-    return rows.join(first, key).groupBy("request_id").agg((~waits).alias("accepted")).where("accepted")
+    return rows.join(first.hint("merge"), key).groupBy("request_id").agg((~waits).alias("accepted")).where("accepted")
 
 
 def chain_outcomes(rows: DataFrame, key: list[str]) -> DataFrame:
@@ -75,7 +76,7 @@ def chain_outcomes(rows: DataFrame, key: list[str]) -> DataFrame:
     )
     while True:
         far = links.select(F.col("request_id").alias("at"), F.col("at").alias("_at"), F.col("odd").alias("_odd"), F.col("free").alias("_free"))
-        step = links.join(far, "at").select(
+        step = links.join(far.hint("merge"), "at").select(
             "request_id",
             F.col("_at").alias("at"),
             (F.col("odd") != F.col("_odd")).alias("odd"),
@@ -91,9 +92,9 @@ def chain_outcomes(rows: DataFrame, key: list[str]) -> DataFrame:
 def _with_component(rows: DataFrame, key: list[str]) -> DataFrame:
     """``rows`` with group, the smallest request tied to theirs, and _rows, the rows of that group."""
     first = rows.groupBy(*key).agg(F.min("request_id").alias("a"))
-    links = rows.join(first, key).select("a", F.col("request_id").alias("b")).distinct()
-    grouped = rows.join(connected(links).withColumnRenamed("node", "request_id"), "request_id")
-    return grouped.join(grouped.groupBy("group").agg(F.count(F.lit(1)).alias("_rows")), "group")
+    links = rows.join(first.hint("merge"), key).select("a", F.col("request_id").alias("b")).distinct()
+    grouped = rows.join(connected(links).withColumnRenamed("node", "request_id").hint("merge"), "request_id")
+    return grouped.join(grouped.groupBy("group").agg(F.count(F.lit(1)).alias("_rows")).hint("merge"), "group")
 
 
 def scan_outcomes(rows: DataFrame, key: list[str]) -> DataFrame:
@@ -141,11 +142,11 @@ def accepted_requests(asked: DataFrame, key: list[str], scan_rows: int = SCAN_RO
     undecided = checkpointed(asked.select(*columns).dropna().distinct())
     decided, accepted = checkpointed(free_requests(undecided, key)), []
     while True:
-        won = checkpointed(undecided.join(decided.where("accepted"), "request_id", "left_semi").select(*columns))
+        won = checkpointed(undecided.join(decided.where("accepted").hint("merge"), "request_id", "left_semi").select(*columns))
         accepted.append(won)
-        lost = undecided.join(won.select(*key), key, "left_semi").select("request_id")
+        lost = undecided.join(won.select(*key).hint("merge"), key, "left_semi").select("request_id")
         out = decided.select("request_id").unionByName(lost).distinct()
-        undecided = checkpointed(undecided.join(out, "request_id", "left_anti"))
+        undecided = checkpointed(undecided.join(out.hint("merge"), "request_id", "left_anti"))
         if undecided.isEmpty():
             return reduce(DataFrame.unionByName, accepted)
         grouped = checkpointed(_with_component(undecided, key))

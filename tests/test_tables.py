@@ -323,3 +323,20 @@ def test_prompts_as_page_streams(spark):
     rows = su.ask_by_pages(long.unionByName(short), suggester, "go:").collect()
     assert sorted(tuple(r) for r in rows) == sorted([("a", "go:12", None), ("b", "go:", None), ("c", None, "429"), ("long", "True True", None)], key=lambda r: r[0])
     assert su.ask_by_pages(short.limit(0), suggester).count() == 0
+
+
+def test_settling_requests_broadcasts_nothing(spark, monkeypatch):
+    from pulseloom.operators import groups
+
+    plans = []
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return checkpointed(df)
+
+    monkeypatch.setattr(transactions, "checkpointed", noted)
+    monkeypatch.setattr(groups, "checkpointed", noted)
+    chain = spark.range(60).selectExpr("id as request_id", "explode(array(id, id + 1)) as key")
+    for scan_rows in (0, 1_000):
+        assert transactions.accepted_requests(chain, ["key"], scan_rows).count() == 60
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
