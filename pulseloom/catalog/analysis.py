@@ -515,7 +515,8 @@ def told_by_evidence(prompts):
     answers = []
     for prompt in prompts:
         ids = re.findall(r"^- #\d+ id=(\S+) ", prompt, re.M)
-        answers.append((json.dumps({"hypothesisTemplate": f"saw {len(ids)} signals", "recommendations": [f"first {ids[0]}", f"last {ids[-1]}"]}), None))
+        first, last = (ids[0], ids[-1]) if ids else (None, None)
+        answers.append((json.dumps({"hypothesisTemplate": f"saw {len(ids)} signals", "recommendations": [f"first {first}", f"last {last}"]}), None))
     return answers
 
 
