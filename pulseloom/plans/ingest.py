@@ -36,13 +36,15 @@ def ingest(
 ) -> Ingested:
     """All results start from the same flagged rows.
 
-    ``materialize`` fixes those rows first; needed when storing them changes
+    ``materialize`` fixes the checked and the flagged rows first; needed when storing them changes
     what ``stored_ids`` reads.
     """
     validated = validate_signals(raw, as_of)
-    flagged = flag_duplicates(valid_signals(validated), stored_ids, validated)
+    # Several passes go over the checked rows; the lists of errors are left to who reads them.
+    checked = checkpointed(validated.drop("errors")) if materialize else validated
+    flagged = flag_duplicates(valid_signals(checked), stored_ids, checked)
     if materialize:
         flagged = checkpointed(flagged)
     accepted = flagged.filter(~F.col("is_duplicate")).drop("is_duplicate")
-    summary = ingest_summary(outcomes(flagged, validated))
+    summary = ingest_summary(outcomes(flagged, checked))
     return Ingested(accepted, stored_form(accepted, allow_list), summary, rejected_errors(validated))

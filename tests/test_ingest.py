@@ -167,3 +167,27 @@ def test_blank_and_unset_times_become_now(spark):
     rows = ing.validate_signals(envelope_signals(parsed(spark, batch(*signals))), as_of()).orderBy("pos")
     times = [r.us for r in rows.select("pos", F.unix_micros("timestamp").alias("us")).collect()]
     assert times == [1_706_745_600_000_000, 1_706_745_600_000_000, 1_704_067_200_000_000]
+
+
+def test_a_fixed_ingest_checks_its_rows_once(spark):
+    from pyspark.sql import functions as F
+
+    from pulseloom.plans import ingest as plan
+
+    looked = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def noted(kind):
+        looked.add(1)
+        return kind
+
+    rows = [(1, n, f"a{n % 8}", "log" if n < 9 else "oops", "svc", "prod", "2024-01-01T00:00:00Z", 1, "m", "{}", {}) for n in range(12)]
+    columns = "batch_id long, pos int, id string, event_type string, source string, environment string, timestamp string, severity int, message string, payload string, metadata map<string,string>"
+    raw = spark.createDataFrame(rows, columns).withColumn("event_type", noted("event_type"))
+    stored = spark.createDataFrame([("a3",)], "id string")
+    result = plan.ingest(raw, F.lit("2024-02-01").cast("timestamp"), stored, materialize=True)
+    row = result.summary.first()
+    assert (row.accepted_count, row.duplicate_count, row.rejected_count) == (7, 2, 3)
+    assert sorted(r.id for r in result.accepted.collect()) == sorted({f"a{n}" for n in range(8)} - {"a3"})
+    assert looked.value == 12
+    assert result.errors.count() == 3
