@@ -57,9 +57,10 @@ def stream_ingest_batches(spark, sf_dir):
     for number in range(3):
         again = (F.col("event_id") < third) & (F.floor(F.col("event_id") / 100) % 3 == number)
         part = events.where((F.floor(F.col("event_id") / third) == number) | again)
-        part.coalesce(1).write.mode("append").parquet(f"{base}/feed")
-    feed = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/feed")
-    stream_ingest(raw_signals_of(feed), base, f"{base}/checkpoint").awaitTermination()
+        part.write.mode("append").parquet(f"{base}/feed")
+        # All new files are one micro-batch, so a batch is written and read by many tasks.
+        feed = spark.readStream.schema(events.schema).parquet(f"{base}/feed")
+        stream_ingest(raw_signals_of(feed), base, f"{base}/checkpoint").awaitTermination()
     # Missing times became the moment of arrival.
     at = F.when(F.col("timestamp") < F.lit("2025-01-01").cast("timestamp"), F.unix_micros("timestamp"))
     return SignalStore(spark, f"{base}/signals").read().select("id", "event_type", "source", "env", at.alias("ts_us"), "severity", "message", "payload")
