@@ -218,3 +218,25 @@ def test_patterns_that_ask_the_same_are_tested_once(spark):
     finally:
         ru.broadcast_if_small = small
     assert kept == [2, 70]
+
+
+def test_hits_of_many_ids_pack_well_and_lose_nothing(spark, tmp_path, monkeypatch):
+    signals = [signal(str(n), f"disk {n % 7} full" if n % 5 else None, source=f"s{n % 2}") for n in range(500)]
+    many = [pattern(f"p{n:05d}", "r", "regex", "[f]ull", source="s0") for n in range(12_000)]
+    few = [pattern(f"q{n}", "r", "contains", f"disk {n}", source="s1") for n in (1, 1, 2, 3)]
+    frames = spark.createDataFrame(signals, SIGNALS), spark.createDataFrame(many + few, PATTERNS)
+    found = ru.indexed_pattern_hits(*frames, ru.literal_index(frames[1])).select("id", "pattern_id")
+    found.where("pattern_id is not null").write.parquet(out := str(tmp_path / "hits"))
+    hits = spark.read.parquet(out)
+    full = {str(n) for n in range(0, 500, 2) if n % 5}
+    of_many = hits.where("startswith(pattern_id, 'p')").groupBy("id").agg({"pattern_id": "count", "*": "count"}).collect()
+    assert {r.id: tuple(r[1:]) for r in of_many} == {i: (12_000, 12_000) for i in full}
+    assert hits.distinct().where("startswith(pattern_id, 'p')").count() == 12_000 * len(full)
+    # Signals times patterns: two bytes a row if each signal's ids follow one another, all 12,000 of them.
+    assert sum(f.stat().st_size for f in (tmp_path / "hits").glob("*.parquet")) < 0.6 * hits.count()
+    monkeypatch.setattr(ru, "ID_GROUP", 8)
+    patterns = spark.createDataFrame(many[:100] + many[:9] + few, PATTERNS)
+    plain, grouped = ru.pattern_hits(frames[0], patterns), ru.indexed_pattern_hits(frames[0], patterns, ru.literal_index(patterns))
+    pairs = [sorted((r.id, r.pattern_id) for r in f.where("pattern_id is not null").collect()) for f in (plain, grouped)]
+    assert pairs[0] == pairs[1] and len(pairs[1]) > 109 * len(full)
+    assert grouped.select("id").distinct().count() == 500 and grouped.columns == [*frames[0].columns, "pattern_id"]
