@@ -103,6 +103,13 @@ def _whole(block: np.ndarray) -> np.ndarray:
     return np.array([exact(x) for x in block.ravel().tolist()], dtype=object).reshape(block.shape)
 
 
+def _beyond_long(score: int) -> bytes:
+    """Bytes in the order of the scores, for scores of one sign at the ends of a long or beyond."""
+    size = -(-abs(score).bit_length() // 8)
+    held = size.to_bytes(4, "big") + abs(score).to_bytes(size, "big")
+    return held if score > 0 else bytes(255 - b for b in held)
+
+
 def _in_block(k: int):
     def find(ids: np.ndarray, block: np.ndarray, query_ids: np.ndarray, queries: np.ndarray) -> Iterator[tuple]:
         # Geometry in doubles, divided by a power of two where squares would leave their range.
@@ -120,8 +127,9 @@ def _in_block(k: int):
         root = build(points, np.arange(len(ids)), None, np.random.default_rng(5))
         for own, q, q_exact in zip(query_ids, asked, asked_exact, strict=True):
             found, scores = _nearest(root, top, exact, ids, int(own), q, q_exact, k, unit)
-            scores = [max(-(2**63), min(2**63 - 1, int(s))) for s in scores]
-            yield int(own), np.array(found, np.int64), np.array(scores, np.int64)
+            cut = [max(-(2**63), min(2**63 - 1, int(s))) for s in scores]
+            apart = [_beyond_long(int(s)) if c in (-(2**63), 2**63 - 1) else None for c, s in zip(cut, scores, strict=True)]
+            yield int(own), np.array(found, np.int64), np.array(cut, np.int64), apart
 
     return find
 
@@ -132,6 +140,6 @@ def top_inner_products(vectors: DataFrame, every: int = 50, k: int = 5) -> DataF
     Queries are the vectors whose vec_id is divisible by ``every``; candidates all
     others. Null ids, null vectors, null or non-finite components take no part;
     repeated ids count once (smallest vector); vectors of other lengths are not
-    compared. Scores beyond a long are cut to its range. Empty tables give no rows.
+    compared. Scores beyond a long are ranked as they are, then cut to its range. Empty tables give no rows.
     """
     return search(usable(vectors, nonzero=False), every, k, "long", _in_block(k))

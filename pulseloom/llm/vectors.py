@@ -34,15 +34,16 @@ def usable(vectors: DataFrame, nonzero: bool) -> DataFrame:
     return kept.groupBy("vec_id").agg(F.min(v).alias("vector"))
 
 
-Search = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], Iterator[tuple[int, np.ndarray, np.ndarray]]]
+Search = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], Iterator[tuple]]
 
 
 def search(vectors: DataFrame, every: int, k: int, score: str, find: Search) -> DataFrame:
     """The ``k`` best other vectors of every vector whose id is divisible by ``every``.
 
     ``find(ids, block, query_ids, queries)`` yields for a query its best ids and
-    scores in one block, its own id left out. Only vectors of equal length are
-    compared. Ties go to the smaller id. Without vectors the result is empty.
+    scores in one block, its own id left out; it may also yield a list of bytes (or
+    nulls) by which equal scores are told apart, the larger first. Only vectors of
+    equal length are compared. Ties go to the smaller id. Without vectors the result is empty.
     """
     held = checkpointed(vectors)
     asked = F.col("vec_id") % every == 0
@@ -58,16 +59,18 @@ def search(vectors: DataFrame, every: int, k: int, score: str, find: Search) ->
         return table["vec_id"].to_numpy(), flat.reshape(table.num_rows, -1)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = [(np.zeros(0, np.int64),) * 3]
+        out, apart = [(np.zeros(0, np.int64),) * 3], []
         if left.num_rows and right.num_rows:
-            for query, ids, scores in find(*matrix(left), *matrix(right)):
+            for query, ids, scores, *beyond in find(*matrix(left), *matrix(right)):
                 out.append((np.full(len(ids), query), ids, scores))
+                apart += beyond[0] if beyond else [None] * len(ids)
         a, b, c = (np.concatenate(x) for x in zip(*out, strict=True))
-        return pa.table({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(c.tolist(), pa.int64() if score == "long" else pa.float64())})
+        scored = pa.array(c.tolist(), pa.int64() if score == "long" else pa.float64())
+        return pa.table({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": scored, "apart": pa.array(apart, pa.binary())})
 
     keys = ["block", "chunk", "size"]
-    near = rows.select(*keys, "vec_id", "vector").groupBy(*keys).cogroup(asks.select(*keys, "vec_id", "vector").groupBy(*keys)).applyInArrow(run, f"query_id long, vec_id long, score {score}")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    near = rows.select(*keys, "vec_id", "vector").groupBy(*keys).cogroup(asks.select(*keys, "vec_id", "vector").groupBy(*keys)).applyInArrow(run, f"query_id long, vec_id long, score {score}, apart binary")
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("apart").desc(), "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
